@@ -86,7 +86,7 @@ def percent_tokens(c: Column) -> Column:
 
 def clean_entity_name(c: Column) -> Column:
     """Drop broken blanks, squeeze and trim list punctuation."""
-    plain = F.regexp_replace(c, "&nsp;|&nbsp;| ", " ")
+    plain = F.regexp_replace(c, "&nsp;|&nbsp;", " ")
     return F.btrim(F.trim(F.regexp_replace(plain, SPACE, " ")), F.lit(ENTITY_EDGE))
 
 
