@@ -77,7 +77,7 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), pairs.alias("row"), F.monotonically_increasing_id().alias("_i"))
     first = rows.groupBy("file").agg(F.min("_i").alias("_0"))
     # One multi-line CSV file is read by one task, so ids inside a file are consecutive.
-    return rows.join(F.broadcast(first), "file").withColumn("row_number", (F.col("_i") - F.col("_0") + 1).cast("int")).drop("_i", "_0")
+    return rows.join(first, "file").withColumn("row_number", (F.col("_i") - F.col("_0") + 1).cast("int")).drop("_i", "_0")
 
 
 def first_text(row: Column, names: Sequence[str]) -> Column:

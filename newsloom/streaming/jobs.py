@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,17 +76,19 @@ def accepted_before(spark: SparkSession, state_path: str, epoch: int, columns: l
 def failure_streaks(runs: DataFrame, source: str = "source_name", pause_after: int = 5) -> DataFrame:
     """Failures since the last success, kept per source as runs arrive.
 
-    State is the newest success mark and the failures after it that are still open; a late run
-    older than the last success changes nothing.  Columns: source, ``mark`` (bigint order of
-    the run) and ``failed``.
+    Columns: source, ``mark`` (bigint order of the run) and ``failed``.  State is two numbers per
+    source: the newest success and the open failures after it.  Batches of a source must arrive in
+    order; inside a batch the order is free, and only open failure marks are held.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ok, open_count = state.get if state.exists else (-1, 0)
-        frame = pd.concat(list(batches))
-        good = frame.loc[~frame["failed"], "mark"]
-        last = max(ok, int(good.max())) if len(good) else ok
-        fresh = int((frame["failed"] & (frame["mark"] > last)).sum())
-        open_count = fresh + (open_count if last == ok else 0)
+        last, marks = ok, np.empty(0, dtype="int64")
+        for frame in batches:
+            good = frame.loc[~frame["failed"], "mark"]
+            last = max(last, int(good.max())) if len(good) else last
+            marks = np.concatenate([marks, frame.loc[frame["failed"], "mark"].to_numpy("int64")])
+            marks = marks[marks > last]
+        open_count = len(marks) + (open_count if last == ok else 0)
         state.update((last, open_count))
         yield pd.DataFrame({"source_name": [key[0]], "consecutive_failures": [open_count], "paused": [open_count >= pause_after]})
 
@@ -130,7 +133,7 @@ def backfill_window(rows: DataFrame, start: datetime, end: datetime, done: DataF
     """
     at: Column = F.col("published_at")
     stop = rows.filter(at < F.lit(start)).groupBy("run_id").agg(F.min("page_number").alias("_stop"))
-    open_rows = rows.join(F.broadcast(stop), "run_id", "left").filter(F.col("_stop").isNull() | (F.col("page_number") <= F.col("_stop"))).drop("_stop")
+    open_rows = rows.join(stop, "run_id", "left").filter(F.col("_stop").isNull() | (F.col("page_number") <= F.col("_stop"))).drop("_stop")
     if done is not None:
         open_rows = open_rows.join(done.select("run_id", "page_number").distinct(), ["run_id", "page_number"], "left_anti")
     return open_rows.filter(at.isNull() | ((at >= F.lit(start)) & (at <= F.lit(end))))
