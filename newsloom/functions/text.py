@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +17,7 @@ MONEY = (
 )
 PERCENT = r"(?U)\d+(?:\.\d+)?%"
 UNSTABLE = r"[^a-z0-9一-鿿]+"
+LABEL_SEP = "\x1f"
 ENTITY_EDGE = " \t\r\n。、，；"
 NAME_NOISE = r"(?U)[\s，（）()·•—/_-]+"
 PERSON_SHAPE = r"^[一-鿿]{2,4}(?:·[一-鿿]{1,4})?$"
@@ -38,11 +39,26 @@ def contains_any(c: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(t) for t in terms])
 
 
+def labels_where(pairs: Sequence[tuple[str, Column]]) -> Column:
+    """Labels whose condition holds, in order.
+
+    Built from concat_ws and split instead of a lambda over an array, so the conditions stay in
+    generated code and share their common parts.
+    """
+    if not pairs:
+        return F.array().cast("array<string>")
+    joined = F.concat_ws(LABEL_SEP, *[F.when(cond, F.lit(label)) for label, cond in pairs])
+    return F.array_remove(F.split(joined, LABEL_SEP), "")
+
+
 def terms_found(c: Column, terms: Sequence[str]) -> Column:
     """The literal terms that occur, in list order."""
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t))
+    return labels_where([(t, c.contains(t)) for t in terms])
+
+
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``fn``."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
 
 
 def word_key(c: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import contains_any, display_title, evidence_excerpt, squeeze, terms_found
+from newsloom.functions.text import contains_any, display_title, evidence_excerpt, labels_where, squeeze, terms_found
 from newsloom.operators.tagging import _strings, products_for
 from newsloom.rules import EventRule, RelevanceRules
 
@@ -42,7 +43,7 @@ def external_parties(title: Column, text: Column, r: RelevanceRules) -> Column:
         every,
         lambda p: (F.trim(p) != "") & ~F.contains(p, F.lit("\n")) & ~contains_any(p, r.own_names) & (F.char_length(p) <= 45),
     )
-    return F.array_distinct(F.transform(plain, F.trim))
+    return F.array_distinct(F.transform(plain, lambda p: F.trim(p)))
 
 
 def leaders(content: Column, r: RelevanceRules) -> Column:
@@ -50,7 +51,8 @@ def leaders(content: Column, r: RelevanceRules) -> Column:
     kind = "array<struct<name:string,title:string,role_in_event:string>>"
     if not r.leader_pattern:
         return F.array().cast(kind)
-    segments = F.filter(F.split(content, r.leader_split), lambda s: s.rlike(r.leader_pattern))
+    hint = lambda s: contains_any(s, r.leader_terms) if r.leader_terms else F.lit(True)
+    segments = F.filter(F.split(content, r.leader_split), lambda s: hint(s) & s.rlike(r.leader_pattern))
     found = F.transform(
         segments,
         lambda s: F.struct(
@@ -94,14 +96,14 @@ def event_types(text: Column, foreign_party: Column, rules: tuple[EventRule, ...
         rest = [contains_any(text, g) for g in rule.groups[1:]]
         gate = foreign_party if rule.foreign else F.lit(True)
         if rule.otherwise:
-            label = F.when(reduce(lambda a, b: a & b, rest, F.lit(True)), rule.label).otherwise(rule.otherwise)
-            values.append(F.when(gate & first, label))
+            strict = reduce(lambda a, b: a & b, rest, F.lit(True))
+            values += [(rule.label, gate & first & strict), (rule.otherwise, gate & first & ~strict)]
         else:
             hit = reduce(lambda a, b: a & b, rest, first)
             if rule.or_terms:
                 hit = hit | contains_any(text, rule.or_terms)
-            values.append(F.when(gate & hit, F.lit(rule.label)))
-    return F.array_distinct(F.array_compact(F.array(*values)))
+            values.append((rule.label, gate & hit))
+    return F.array_distinct(labels_where(values))
 
 
 def first_stage(text: Column, r: RelevanceRules) -> Column:
@@ -113,9 +115,15 @@ def first_stage(text: Column, r: RelevanceRules) -> Column:
 
 def project_name(text: Column, r: RelevanceRules) -> Column:
     """First pattern match without a generic word, at most 50 characters."""
-    if not r.project_pattern:
+    if not r.project_suffixes:
         return F.lit(None).cast("string")
-    found = F.transform(F.regexp_extract_all(text, F.lit(r.project_pattern), F.lit(1)), F.trim)
+    # A name never crosses a delimiter, so the costly pattern only sees pieces with a suffix.
+    ends = "|".join(re.escape(s) for s in r.project_suffixes)
+    pattern = rf"([^{r.project_delimiters}]{{3,50}}(?:{ends}))"
+    pieces = F.filter(F.split(text, f"[{r.project_delimiters}]"), lambda s: contains_any(s, r.project_suffixes))
+    found = F.transform(
+        F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(1)))), lambda v: F.trim(v)
+    )
     return F.get(
         F.filter(found, lambda v: ~contains_any(v, r.generic_project_terms) & (F.char_length(v) <= 50)), F.lit(0)
     )
@@ -126,10 +134,9 @@ def topic_tags(text: Column, r: RelevanceRules) -> Column:
     if not r.topics:
         return F.array().cast("array<string>")
     low = F.lower(text)
-    return F.array_compact(F.array(*[
-        F.when(contains_any(low, [t.lower() for t in terms]) if fold else contains_any(text, terms), F.lit(label))
-        for label, terms, fold in r.topics
-    ]))
+    return labels_where([
+        (label, contains_any(low, [t.lower() for t in terms]) if fold else contains_any(text, terms)) for label, terms, fold in r.topics
+    ])
 
 
 def analyze(df: DataFrame, r: RelevanceRules, title: str, content: str, source_type: str, reliability: str) -> DataFrame:
@@ -153,8 +160,7 @@ def analyze(df: DataFrame, r: RelevanceRules, title: str, content: str, source_t
         "external_parties": external_parties(F.col("display_title"), F.col("_text"), r),
         "involved_leaders": leaders(F.col(content), r),
         "involved_departments": departments(F.col("_text"), r),
-        "industry_tags": F.array_compact(F.array(*[F.when(has(t), F.lit(n)) for n, t in r.industries]))
-        if r.industries else F.array().cast("array<string>"),
+        "industry_tags": labels_where([(n, has(t)) for n, t in r.industries]),
         "project_stage": first_stage(F.col("_text"), r),
         "project_name": project_name(F.col("_text"), r),
         "topic_tags": topic_tags(F.col("_text"), r),

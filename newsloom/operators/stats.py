@@ -75,11 +75,16 @@ def facets(events: DataFrame, kind: str, arrays: dict[str, str]) -> DataFrame:
     """(facet, value, n) for a scalar column and several array columns in one pass."""
     entries = [F.array(F.struct(F.lit("event_type").alias("facet"), F.coalesce(kind, F.lit("unknown")).alias("value")))]
     for name, column in arrays.items():
-        entries.append(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda v, n=name: F.struct(F.lit(n).alias("facet"), v.alias("value"))))
+        entries.append(_facet_entries(name, column))
     long = events.select(F.explode(F.concat(*entries)).alias("e")).select("e.*")
     return long.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _facet_entries(name: str, column: str) -> Column:
+    values = F.coalesce(column, F.array().cast("array<string>"))
+    return F.transform(values, lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+
 def source_health_counts(sources: DataFrame) -> DataFrame:
     """Failing, backfill completed, pending and unsupported sources."""
     status = F.col("backfill_status")

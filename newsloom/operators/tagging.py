@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import contains_any, percent_tokens, terms_found
+from newsloom.functions.text import bind, contains_any, labels_where, percent_tokens, terms_found
 from newsloom.rules import Alias, Gazetteer, Rule
 
 # Evidence weights and thresholds of the gates.
@@ -100,7 +100,7 @@ def rule_labels(text_low: Column, rules: Sequence[Rule], match: str = "substring
             return text_low.rlike(r"(?<![\p{L}\p{N}_])(?:" + "|".join(re.escape(t) for t in terms) + r")(?![\p{L}\p{N}_])")
         return contains_any(text_low, terms)
 
-    return F.array_compact(F.array(*[F.when(hit(r), F.lit(r.label)) for r in rules]))
+    return labels_where([(r.label, hit(r)) for r in rules])
 
 
 def intelligence_labels(
@@ -114,13 +114,23 @@ def intelligence_labels(
     is a label added when any of its member labels is present.
     """
     labels = rule_labels(F.lower(text), rules, match)
-    base = labels
-    for kind, label, enough in fallbacks:
-        need = (source_type == kind) & ~F.arrays_overlap(base, _strings(enough))
-        labels = F.when(F.coalesce(need, F.lit(False)), F.array_append(labels, F.lit(label))).otherwise(labels)
-    if rollup:
+    none = F.array().cast("array<string>")
+
+    def extend(base: Column) -> Column:
+        parts = [base]
+        for kind, label, enough in fallbacks:
+            need = (source_type == kind) & ~F.arrays_overlap(base, _strings(enough))
+            parts.append(F.when(F.coalesce(need, F.lit(False)), _strings([label])).otherwise(none))
+        return F.concat(*parts)
+
+    def roll(base: Column) -> Column:
         label, members = rollup
-        labels = F.when(F.arrays_overlap(labels, _strings(members)), F.array_append(labels, F.lit(label))).otherwise(labels)
+        return F.concat(base, F.when(F.arrays_overlap(base, _strings(members)), _strings([label])).otherwise(none))
+
+    if fallbacks:
+        labels = bind(labels, extend)
+    if rollup:
+        labels = bind(labels, roll)
     return F.array_distinct(labels)
 
 

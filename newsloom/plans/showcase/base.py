@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import cut_lineage, spread_small_input
 from newsloom.rules import Alias, EventRule, Gazetteer, RelevanceRules, alias_strength, rule_list
 
 AS_OF = datetime(2025, 2, 4, tzinfo=timezone.utc)
@@ -61,7 +62,8 @@ RELEVANCE = RelevanceRules(
     business_terms=("antion", "ciónción", "retion"),
     fresh_terms=("inging", "antion"),
     project_terms=("thintion", "ungen"),
-    project_pattern=r"([^,.;\n]{3,50}(?:ntion|keit))",
+    project_suffixes=("ntion", "keit"),
+    project_delimiters=r",.;\n",
     generic_project_terms=("the ", "der "),
     contract_terms=("antion", "ciónción"),
     need_terms=("hation", "queque"),
@@ -83,6 +85,7 @@ RELEVANCE = RelevanceRules(
     topics=(("account", ("thonea", "theron", "queque"), False), ("rival", ("INTION",), True), ("chamber", ("ndtion",), False)),
     leader_split=r"[.;\n]",
     leader_pattern=r"((?:the|of) [^.;\n]{2,70}?(?:ing|tion)) ([a-z]{2,4}) (?:of|to|in|on)",
+    leader_terms=("ing ", "tion "),
     leader_reject=("the", "of"),
     senior_roles=("ing",),
     lead_roles=("tion",),
@@ -97,8 +100,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles: whole text, first line as title, derived dates, source attributes and address."""
-    d = table(spark, sf_dir, "documents")
+    """Articles: whole text, title, derived dates, source attributes and address."""
+    d = spread_small_input(table(spark, sf_dir, "documents"))
     no = F.substring("source", 4, 9).cast("int")
     kinds = F.array(*[F.lit(x) for x in ("official", "media", "procurement", "policy", "competitor")])
     levels = F.array(*[F.lit(x) for x in ("low", "medium", "high")])
@@ -106,7 +109,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("doc_id") % 11 == 5, F.col("doc_id") - 4).otherwise(F.col("doc_id"))
     return d.select(
         "doc_id", "text", "lang", "source",
-        F.substring_index("text", "\n", 1).alias("title"),
+        F.substring(F.regexp_extract(F.substring_index("text", "\n", 1), "^[^.!?|]*", 0), 1, TITLE_WIDTH).alias("title"),
         F.when(F.col("doc_id") % 37 != 0, day + F.make_dt_interval((F.col("doc_id") % 400).cast("int"))).alias("published_at"),
         (day + F.make_dt_interval((F.col("doc_id") % 400).cast("int"), F.lit(6))).alias("fetched_at"),
         F.get(kinds, no % 5).alias("source_type"),
@@ -115,16 +118,27 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOCS_CTE = """
+# The title is the first sentence of the first line, in the width of the title column.
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored web pages."""
+    return spread_small_input(table(spark, sf_dir, "pages"))
+
+
+TITLE_WIDTH = 500
+TITLE_SQL = "substr(regexp_extract(split_part(text, chr(10), 1), '^[^.!?|]*'), 1, 500)"
+
+DOCS_CTE = f"""
 d AS (
   SELECT doc_id, text, lang, source,
-         split_part(text, chr(10), 1) AS title,
+         {TITLE_SQL} AS title,
          CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) END AS published_at,
          TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) + INTERVAL 6 HOUR AS fetched_at,
          ['official','media','procurement','policy','competitor'][CAST(substr(source, 4) AS INTEGER) % 5 + 1] AS source_type,
          ['low','medium','high'][CAST(substr(source, 4) AS INTEGER) % 3 + 1] AS reliability_level,
          'https://news.example.org/item/' || CAST(CASE WHEN doc_id % 11 = 5 THEN doc_id - 4 ELSE doc_id END AS VARCHAR) AS url_key,
-         sha256(lower(regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g'))) AS hash_key
+         sha256(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]+', '', 'g'))) AS hash_key
   FROM documents
 )"""
 
@@ -237,6 +251,14 @@ def tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"event_key": key, "confidence": F.least(F.lit(0.98), F.greatest("overseas_confidence", top_confidence(F.col("candidates"))))})
 
 
+def article_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The tagged documents as a written table with only the columns a query reads.
+
+    Tags are computed once at ingest; queries filter and aggregate the stored columns.
+    """
+    return cut_lineage(tagged_docs(spark, sf_dir).select(*columns), "articles")
+
+
 MONEY_SQL = "(?:usd|eur|rmb|cny|sar|aed|美元|欧元|人民币)?\\s*\\d+(?:[.,]\\d+)?\\s*(?:亿|万|million|billion)?"
 _ACTION = sql_first("lower(title)", ACTION_WORDS)
 EVENT_CTE = f"""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsloom.operators import entities, reviews
-from newsloom.plans.showcase.base import docs, table
+from newsloom.plans.showcase.base import TITLE_SQL, docs, table
 from newsloom.sources import imports
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
@@ -97,9 +97,10 @@ def _export_rows(spark, sf):
         F.lit("publish_time"), F.when(k % 4 == 0, F.unix_seconds("fetched_at").cast("string")).otherwise(F.date_format("fetched_at", "yyyy/MM/dd HH:mm:ss")),
         F.lit("account_name"), F.col("source"), F.lit("doc"), k.cast("string"),
     )
-    files = d.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    lines = F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(row).alias("r"))))
+    files = d.groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.transform(lines, lambda x: x["r"]), ","), F.lit("]")).alias("rows"))
     no = F.substring("source", 4, 9).cast("int")
-    body = F.when(no % 3 == 0, F.to_json("rows")).when(no % 3 == 1, F.to_json(F.struct(F.col("rows").alias("items")))).otherwise(F.to_json(F.struct(F.lit(1).alias("version"), F.col("rows").alias("data"))))
+    body = F.when(no % 3 == 0, F.col("rows")).when(no % 3 == 1, F.concat(F.lit('{"items":'), "rows", F.lit("}"))).otherwise(F.concat(F.lit('{"version":1,"data":'), "rows", F.lit("}")))
     return files.select(F.col("source").alias("file"), F.lit(1000).alias("size"), body.alias("content"))
 
 
@@ -169,8 +170,8 @@ rec AS (SELECT CASE WHEN k % 5 = 3 THEN 'discovered-' || substr(sha256(name), 1,
     CASE WHEN k % 5 = 3 THEN url ELSE coalesce(url, 'https://s' || k || '.example.org') END AS official_url, CASE WHEN k % 5 = 3 THEN 'new_pending' WHEN k % 4 = 1 THEN 'url_changed' ELSE 'matched' END AS status FROM f
   UNION ALL SELECT 'org-' || s_suppkey, s_name, 'https://s' || s_suppkey || '.example.org', CASE WHEN s_suppkey % 3 < 2 THEN 'missing' ELSE 'unlisted' END FROM supplier WHERE s_suppkey % 5 IN (2, 3))"""
 _SECRET = r"'(?i)(?:^|[\s,;?&])(?:uin|pass_ticket|appmsg_token|wxtoken|cookie|credentials?|private_?key)\s*[:=]'"
-_EXP = """x AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 13 = 5 THEN '' ELSE trim(array_to_string(list_slice(string_split(split_part(text, chr(10), 1), ' '), 1, 6), ' ')) END AS title,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_number, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) + INTERVAL 6 HOUR AS at FROM documents),
+_EXP = f"""x AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 13 = 5 THEN '' ELSE trim(array_to_string(list_slice(string_split({TITLE_SQL}, ' '), 1, 6), ' ')) END AS title,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_number, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) + INTERVAL 6 HOUR AS ats FROM documents),
 y AS (SELECT *, CASE WHEN title = '' THEN 'missing title' WHEN doc_id % 7 = 2 THEN 'address host is not allowed' END AS reason FROM x)"""
 _LOG = """lg AS (SELECT doc_id * 10 + 1 AS review_id, doc_id AS article_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'needs_changes' END AS st FROM labels
   UNION ALL SELECT doc_id * 10 + 2, doc_id, 'needs_changes' FROM labels WHERE doc_id % 6 = 0)"""
@@ -190,7 +191,7 @@ ORACLE = {
     "secret_scan": f"""SELECT doc_id, TRUE AS secret FROM documents WHERE doc_id % 29 = 3 OR doc_id % 31 = 4 OR regexp_matches(text, {_SECRET}) OR contains(lower(text), '-----begin private key-----') OR contains(replace(lower(text), ' ', '_'), 'begin_private_key')""",
     "rejected_files": f"""SELECT DISTINCT source || '/' || lang || '/' || (doc_id % 7) AS file FROM documents WHERE doc_id % 29 = 3 OR regexp_matches(text, {_SECRET}) OR contains(lower(text), '-----begin private key-----') OR contains(replace(lower(text), ' ', '_'), 'begin_private_key')""",
     "import_split": f"""WITH {_EXP} SELECT source AS file, row_number, title, 'http://Posts.example.org/s/' || doc_id AS original_url, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS content_text,
-        CASE WHEN doc_id % 5 = 0 THEN lang ELSE '' END AS summary, source AS author, source AS source_name, strftime(at, '%Y-%m-%d %H:%M:%S') AS published_at FROM y WHERE reason IS NULL""",
+        CASE WHEN doc_id % 5 = 0 THEN lang ELSE '' END AS summary, source AS author, source AS source_name, strftime(ats, '%Y-%m-%d %H:%M:%S') AS published_at FROM y WHERE reason IS NULL""",
     "import_errors": f"WITH {_EXP} SELECT source AS file, row_number, reason FROM y WHERE reason IS NOT NULL",
     "import_counts": f"""WITH {_EXP} SELECT source AS file, count(*) FILTER (reason IS NULL) AS total_count, count(*) FILTER (reason IS NULL AND doc_id % 5 = 0) AS missing_body_count,
         count(*) FILTER (reason IS NOT NULL) AS invalid_count FROM y GROUP BY 1""",

@@ -165,7 +165,7 @@ QUERIES = {
 }
 
 _T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
-_BF = """p AS (SELECT doc_id % 5 AS run_id, doc_id // 50 AS page_number, doc_id, CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) END AS at,
+_BF = """p AS (SELECT doc_id % 5 AS run_id, doc_id // 50 AS page_number, doc_id, CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) END AS ats,
   CASE WHEN doc_id % 4 = 0 THEN 'duplicate' ELSE 'new' END AS outcome FROM documents)"""
 
 ORACLE = {
@@ -176,10 +176,10 @@ ORACLE = {
         SELECT source_name, CAST(count(*) FILTER (status = 'failed' AND island = last) AS BIGINT) AS consecutive_failures, count(*) FILTER (status = 'failed' AND island = last) >= 5 AS paused FROM r JOIN m USING (source_name) GROUP BY 1""",
     "run_counters": """SELECT user_id AS run_id, count(*) AS fetched_count, count(*) FILTER (event_type = 'click') AS new_count, count(*) FILTER (event_type = 'view') AS updated_count,
         count(*) FILTER (event_type = 'purchase') AS duplicate_count, count(*) FILTER (event_type IN ('error', 'signup')) AS skipped_count FROM events GROUP BY 1""",
-    "backfill_counters": f"""WITH {_BF} SELECT run_id, page_number, count(*) AS fetched_count, count(*) FILTER (at IS NULL) AS date_unverified_count, count(*) FILTER (ins) AS kept_count,
-        count(*) FILTER (ins AND outcome = 'new') AS new_count, count(*) FILTER (ins AND outcome = 'duplicate') AS duplicate_count, strftime(min(at), '%Y-%m-%d') AS oldest, coalesce(bool_or(at < TIMESTAMP '2024-02-01'), FALSE) AS reached_start
-        FROM (SELECT *, at IS NULL OR at BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-12-01' AS ins FROM p) GROUP BY 1, 2""",
-    "backfill_resume": f"""WITH {_BF} SELECT run_id, page_number, count(*) AS n FROM p WHERE page_number >= 2 AND (at IS NULL OR at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-12-01') GROUP BY 1, 2""",
+    "backfill_counters": f"""WITH {_BF} SELECT run_id, page_number, count(*) AS fetched_count, count(*) FILTER (ats IS NULL) AS date_unverified_count, count(*) FILTER (ins) AS kept_count,
+        count(*) FILTER (ins AND outcome = 'new') AS new_count, count(*) FILTER (ins AND outcome = 'duplicate') AS duplicate_count, strftime(min(ats), '%Y-%m-%d') AS oldest, coalesce(bool_or(ats < TIMESTAMP '2024-02-01'), FALSE) AS reached_start
+        FROM (SELECT *, ats IS NULL OR ats BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-12-01' AS ins FROM p) GROUP BY 1, 2""",
+    "backfill_resume": f"""WITH {_BF} SELECT run_id, page_number, count(*) AS n FROM p WHERE page_number >= 2 AND (ats IS NULL OR ats BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-12-01') GROUP BY 1, 2""",
     "freshness": f"""WITH {RUNS_CTE}, q AS (SELECT max(finished_at) FILTER (status = 'success') AS last, arg_max(new_count, (finished_at, run_id)) FILTER (status = 'success') AS n, count(*) FILTER (status = 'running') AS r FROM runs)
         SELECT {_T('last')} AS last_successful_update, n AS last_new_count, r AS running_count, r > 0 AS is_updating,
           CAST(floor((epoch_us(TIMESTAMP '2024-01-31 01:30:00') - epoch_us(last)) / 60000000) AS BIGINT) AS data_delay_minutes,

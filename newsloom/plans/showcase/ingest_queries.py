@@ -9,6 +9,7 @@ from newsloom.plans.showcase.base import (
     AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, PROJECT_LABELS, RELEVANCE as R, docs, tagged_docs,
 )
 from newsloom.plans.showcase.tag_queries import _REL_CTE, GOV
+from newsloom.session import cut_lineage
 from newsloom.skew import keyed_lookup
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
@@ -31,7 +32,7 @@ def event_rollup(spark, sf):
 
 
 def project_rollup(spark, sf):
-    df = _evidence(spark, sf).filter(F.arrays_overlap("labels", F.array(*[F.lit(x) for x in PROJECT_LABELS])))
+    df = cut_lineage(_evidence(spark, sf), "evidence").filter(F.arrays_overlap("labels", F.array(*[F.lit(x) for x in PROJECT_LABELS])))
     df = df.withColumn("project_key", events.project_fingerprint(F.col("title"), F.col("country"), F.col("candidates"), F.col("labels"), PROJECT_LABELS))
     out = events.project_rollup(df, at="published_at", seq="doc_id")
     return out.select("project_key", "name", F.date_format("first_event_at", "yyyy-MM-dd").alias("first_event"), F.date_format("last_event_at", "yyyy-MM-dd").alias("last_event"), "event_count")
@@ -110,7 +111,8 @@ def analysis_keys(spark, sf):
 
 
 def business_activities(spark, sf):
-    a = analyze(docs(spark, sf), R, "title", "text", "source_type", "reliability_level").withColumn("arrival_seq", F.col("doc_id"))
+    a = analyze(docs(spark, sf), R, "title", "text", "source_type", "reliability_level")
+    a = cut_lineage(a.select("doc_id", "source", "published_at", "entity_id", "project_name", "event_types", "relevance_score", "involved_leaders", "external_parties", "industry_tags"), "articles").withColumn("arrival_seq", F.col("doc_id"))
     rows = events.business_activities(a, (("signing", "signing"), ("state exchange", "government_exchange"), ("executive meeting", "executive_meeting"), ("planning", "project_advancement")), "entity_id", "source", "published_at")
     fresh = events.insert_if_absent(None, rows.withColumn("event_key", event_key(F.col("entity_id"), F.col("person_name"), F.col("activity_type"), F.col("source"))).withColumn("arrival_seq", F.col("doc_id") * 1000 + F.length("person_name")).dropDuplicates(["doc_id", "person_name"]))
     return fresh.select("event_key", "doc_id", "person_name", "activity_type", "appointment_type")

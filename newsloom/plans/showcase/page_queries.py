@@ -6,41 +6,41 @@ from newsloom.functions import html as H
 from newsloom.functions.urls import canonical_url
 from newsloom.operators import changes
 from newsloom.operators.dedup import last_content_first_position
-from newsloom.plans.showcase.base import AS_OF, docs, sql_any, table
+from newsloom.plans.showcase.base import AS_OF, TITLE_SQL, docs, pages, sql_any, table
 from newsloom.sources import catalog, readers
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
 
 
 def page_article(spark, sf):
-    p = readers.page_details(table(spark, sf, "pages").select("page_id", "html"))
+    p = readers.page_details(pages(spark, sf).select("page_id", "html"))
     return p.select("page_id", "title", "body")
 
 
 def page_links(spark, sf):
-    a = readers.anchors(table(spark, sf, "pages"))
+    a = readers.anchors(pages(spark, sf))
     return a.select("page_id", num("position"), "label", "link_url")
 
 
 def page_clean_text(spark, sf):
-    p = table(spark, sf, "pages")
+    p = pages(spark, sf)
     lines = H.snapshot_lines(F.col("html"))
     return p.select("page_id", F.size(lines).cast("bigint").alias("n_lines"), F.array_join(lines, "\n").alias("clean_text"))
 
 
 def list_rows(spark, sf):
-    p = table(spark, sf, "pages")
+    p = pages(spark, sf)
     return readers.list_items(p, AS_OF).select("page_url", num("position"), "title", "url")
 
 
 def sections(spark, sf):
-    a = readers.anchors(table(spark, sf, "pages"))
-    s = readers.discover_sections(a, ["ing", "und", "the"]).join(table(spark, sf, "pages").select("url", "page_id"), "url")
+    a = readers.anchors(pages(spark, sf))
+    s = readers.discover_sections(a, ["ing", "und", "the"]).join(pages(spark, sf).select("url", "page_id"), "url")
     return s.select("page_id", "link_url", num("score"), num("rank"))
 
 
 def news_leads(spark, sf):
-    a = readers.anchors(table(spark, sf, "pages"))
+    a = readers.anchors(pages(spark, sf))
     a = a.withColumn("link_url", F.when(F.col("position") == 5, F.concat(F.lit("https://leads.example.net/p/"), F.col("page_id").cast("string"))).otherwise(
         F.when(F.col("position") % 2 == 0, F.concat("link_url", F.lit("/news"))).otherwise(F.col("link_url"))))
     out = readers.news_leads(a, AS_OF, ["leads.example.net"], ("that",))
@@ -48,7 +48,7 @@ def news_leads(spark, sf):
 
 
 def sitemap_page(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("url").alias("loc"), F.when(F.col("page_id") % 6 != 0, F.concat(F.lit("2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15T08:00:00Z"))).alias("lastmod"))
+    p = pages(spark, sf).select(F.col("url").alias("loc"), F.when(F.col("page_id") % 6 != 0, F.concat(F.lit("2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15T08:00:00Z"))).alias("lastmod"))
     items = readers.sitemap_items(p, include="/(?:en|de|fr)/", exclude="blog", page=2, limit=40)
     return items.select("url", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
 
@@ -88,21 +88,21 @@ def last_content(spark, sf):
 
 
 def detail_fallback(spark, sf):
-    listed = table(spark, sf, "pages").select("url", "page_id", F.concat(F.lit("listed "), F.col("page_id").cast("string")).alias("title"), F.lit("lead").alias("excerpt"), F.lit(None).cast("timestamp").alias("published_at"))
-    details = readers.page_details(table(spark, sf, "pages").select("url", "page_id", "html")).withColumn("error", F.when(F.col("page_id") % 7 == 0, "HTTP 404"))
+    listed = pages(spark, sf).select("url", "page_id", F.concat(F.lit("listed "), F.col("page_id").cast("string")).alias("title"), F.lit("lead").alias("excerpt"), F.lit(None).cast("timestamp").alias("published_at"))
+    details = readers.page_details(pages(spark, sf).select("url", "page_id", "html")).withColumn("error", F.when(F.col("page_id") % 7 == 0, "HTTP 404"))
     merged, _ = readers.merge_details(listed, details, excerpt_chars=None)
     return merged.select("page_id", "title", F.char_length("excerpt").cast("bigint").alias("n"), "detail_failed")
 
 
 def detail_errors(spark, sf):
-    listed = table(spark, sf, "pages").select("url", F.lit("t").alias("title"), F.lit("lead").alias("excerpt"), F.lit(None).cast("timestamp").alias("published_at"))
-    details = readers.page_details(table(spark, sf, "pages").filter("page_id % 5 <> 1").select("url", "page_id", "html")).withColumn("error", F.when(F.col("page_id") % 7 == 0, "HTTP 404"))
+    listed = pages(spark, sf).select("url", F.lit("t").alias("title"), F.lit("lead").alias("excerpt"), F.lit(None).cast("timestamp").alias("published_at"))
+    details = readers.page_details(pages(spark, sf).filter("page_id % 5 <> 1").select("url", "page_id", "html")).withColumn("error", F.when(F.col("page_id") % 7 == 0, "HTTP 404"))
     _, errors = readers.merge_details(listed, details)
     return errors.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _responses(spark, sf):
-    p = table(spark, sf, "pages")
+    p = pages(spark, sf)
     k = F.col("page_id")
     feed = F.concat(F.lit("<rss>"), F.repeat(F.lit("<item/>"), (k % 130).cast("int")), F.lit("</rss>"))
     site = F.concat(F.lit("<urlset>"), F.repeat(F.lit("<loc>x</loc>"), (k % 150).cast("int")), F.lit("</urlset>"))
@@ -176,7 +176,7 @@ def _plain(h):
 _CHROME = _drop("html", ("script", "style", "noscript", "nav", "footer", "form", "iframe"))
 _NOSCRIPT = _drop("html", ("script", "style", "noscript"))
 _PAGE_URL = """(SELECT page_id, html, url, lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) AS origin, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-  regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages)"""
+  array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')), '&') AS query FROM pages)"""
 _ANCHOR = """'(?is)<a\\b[^>]*\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a\\s*>'"""
 _ENC = "regexp_replace(href, '/+$', '')"
 _LINKS = f"""pg AS (SELECT * FROM {_PAGE_URL}),
@@ -195,7 +195,7 @@ _VERS = """v AS (SELECT conv_id AS url, turn AS captured_at, text FROM conversat
 w AS (SELECT *, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY url ORDER BY captured_at) AS ph, lag(text) OVER (PARTITION BY url ORDER BY captured_at) AS pt FROM v),
 chg AS (SELECT * FROM w WHERE h IS DISTINCT FROM ph)"""
 _DIFF = lambda a, b: f"list_sort(list_distinct(list_filter(string_split({a}, chr(10)), lambda x: NOT list_contains(string_split({b}, chr(10)), x))))"
-_DOC = """SELECT doc_id, split_part(text, chr(10), 1) AS title, lang, source, CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) END AS at FROM documents"""
+_DOC = f"""SELECT doc_id, {TITLE_SQL} AS title, lang, source, CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) END AS ats FROM documents"""
 _KIND = "CASE WHEN " + sql_any("x", ("the", "que")) + " THEN 'leadership_or_title' WHEN " + sql_any("x", ("tion", "ung")) + " THEN 'organization_or_relation' END"
 
 ORACLE = {
@@ -215,18 +215,18 @@ ORACLE = {
         SELECT page_id, link_url, CAST(score AS BIGINT) AS score, rank FROM o WHERE rank <= 8""",
     "news_leads": f"""WITH {_LINKS} SELECT page_id, CAST(position AS BIGINT) AS position, label, position = 5 AS link_only FROM links
         WHERE length(label) >= 4 AND label <> 'that' AND (position = 5 OR position % 2 = 0 OR regexp_matches(regexp_extract(link_url, '^[a-z]+://[^/]*(.*)$', 1), '(?i)(/20\\d{{2}}|\\d{{6,}}|/t\\d+_|/detail|/article|/news|/content|\\.s?html?$|/\\d+/?$)'))""",
-    "sitemap_page": f"""WITH pg AS (SELECT * FROM {_PAGE_URL}), f AS (SELECT *, CASE WHEN page_id % 6 <> 0 THEN '2024-0' || (page_id % 9 + 1) || '-15 08:00' END AS at FROM pg WHERE regexp_matches(url, '/(?:en|de|fr)/') AND NOT contains(url, 'blog')),
-        o AS (SELECT * FROM f ORDER BY at DESC NULLS LAST, url LIMIT 40 OFFSET 40)
-        SELECT {_SELF} AS url, trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[-_]+', ' ', 'g')) AS title, at AS published_at FROM o
+    "sitemap_page": f"""WITH pg AS (SELECT * FROM {_PAGE_URL}), f AS (SELECT *, CASE WHEN page_id % 6 <> 0 THEN '2024-0' || (page_id % 9 + 1) || '-15 08:00' END AS ats FROM pg WHERE regexp_matches(url, '/(?:en|de|fr)/') AND NOT contains(url, 'blog')),
+        o AS (SELECT * FROM f ORDER BY ats DESC NULLS LAST, url LIMIT 40 OFFSET 40)
+        SELECT {_SELF} AS url, trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[-_]+', ' ', 'g')) AS title, ats AS published_at FROM o
         WHERE length(trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[-_]+', ' ', 'g'))) >= 4""",
-    "api_documents": f"""WITH d AS ({_DOC}), t AS (SELECT *, trim(regexp_replace(coalesce(nullif(CASE WHEN doc_id % 3 <> 0 THEN substr(title, 1, 60) END, ''), 'Plan notice'), '{_W}', ' ', 'g')) AS shown FROM d WHERE at IS NOT NULL)
-        SELECT CAST(doc_id AS VARCHAR) AS project_id, shown AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://docs.example.org/a/' || doc_id ELSE 'https://docs.example.org/pdf/' || doc_id END AS url, strftime(at, '%Y-%m-%d') AS published_at, lang AS excerpt
+    "api_documents": f"""WITH d AS ({_DOC}), t AS (SELECT *, trim(regexp_replace(coalesce(nullif(CASE WHEN doc_id % 3 <> 0 THEN substr(title, 1, 60) END, ''), 'Plan notice'), '{_W}', ' ', 'g')) AS shown FROM d WHERE ats IS NOT NULL)
+        SELECT CAST(doc_id AS VARCHAR) AS project_id, shown AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://docs.example.org/a/' || doc_id ELSE 'https://docs.example.org/pdf/' || doc_id END AS url, strftime(ats, '%Y-%m-%d') AS published_at, lang AS excerpt
         FROM t WHERE length(shown) >= 4""",
-    "catalogue_selection": f"""WITH d AS ({_DOC}), a AS (SELECT doc_id, at FROM d ORDER BY at DESC NULLS LAST, doc_id LIMIT 25),
-        b AS (SELECT doc_id, at FROM d WHERE {sql_any('title', ('antion', 'thing'))} AND (at IS NULL OR at >= TIMESTAMP '2025-02-04' - INTERVAL 300 DAY) ORDER BY at DESC NULLS LAST, doc_id LIMIT 35)
-        SELECT DISTINCT doc_id, strftime(at, '%Y-%m-%d') AS published_at FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
+    "catalogue_selection": f"""WITH d AS ({_DOC}), a AS (SELECT doc_id, ats FROM d ORDER BY ats DESC NULLS LAST, doc_id LIMIT 25),
+        b AS (SELECT doc_id, ats FROM d WHERE {sql_any('title', ('antion', 'thing'))} AND (ats IS NULL OR ats >= TIMESTAMP '2025-02-04' - INTERVAL 300 DAY) ORDER BY ats DESC NULLS LAST, doc_id LIMIT 35)
+        SELECT DISTINCT doc_id, strftime(ats, '%Y-%m-%d') AS published_at FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "catalogue_batch": f"""WITH d AS ({_DOC}), n AS (SELECT count(*) AS total FROM d) SELECT doc_id, CASE WHEN total > 50 THEN '50' END AS next_cursor, total <= 50 AS exhausted
-        FROM (SELECT doc_id, at FROM d ORDER BY at DESC NULLS LAST, doc_id LIMIT 20 OFFSET 30), n""",
+        FROM (SELECT doc_id, ats FROM d ORDER BY ats DESC NULLS LAST, doc_id LIMIT 20 OFFSET 30), n""",
     "last_content": """SELECT 'https://news.example.org/item/' || CASE WHEN doc_id % 11 = 5 THEN doc_id - 4 ELSE doc_id END AS url, min(doc_id) AS position, arg_max(lang, doc_id) AS lang, arg_max(source, doc_id) AS source FROM documents GROUP BY 1""",
     "detail_fallback": f"""WITH c AS (SELECT page_id, html, {_CHROME} AS clean FROM pages)
         SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'listed ' || page_id ELSE {_plain("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} END AS title,

@@ -7,9 +7,10 @@ from newsloom.operators.dedup import best_per_event
 from newsloom.operators.scoring import analyze, score_band
 from newsloom.plans.board import board_page, event_board
 from newsloom.plans.showcase.base import (
-    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, PROJECT_LABELS, RELEVANCE as R, docs, sql_any, sql_list, table, tagged_docs,
+    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, PROJECT_LABELS, RELEVANCE as R, article_table, docs, sql_any, sql_list, table,
 )
 from newsloom.plans.showcase.tag_queries import _REL_CTE
+from newsloom.session import cut_lineage
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
 day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
@@ -57,7 +58,7 @@ def trigram_search(spark, sf):
 
 
 def array_filters(spark, sf):
-    df = tagged_docs(spark, sf).withColumn("ka", F.transform("candidates", lambda c: c["account"]))
+    df = article_table(spark, sf, "doc_id", "labels", "candidates").withColumn("ka", F.transform("candidates", lambda c: c["account"]))
     hit = df.filter(search.like_any(F.col("labels"), "RAI") & search.like_any(F.col("ka"), "ald"))
     family = search.label_family(df, ["company", "leader"], "labels")
     return hit.select("doc_id", F.lit("filters").alias("kind")).unionByName(family.select("doc_id", F.lit("family").alias("kind")))
@@ -65,11 +66,11 @@ def array_filters(spark, sf):
 
 def _board(spark, sf):
     d = docs(spark, sf)
-    a = analyze(d, R, "title", "text", "source_type", "reliability_level")
-    return a.withColumns({
-        "id": F.col("doc_id"), "source_name": F.col("source"), "summary": F.col("lang"), "content_excerpt": F.col("text"),
+    a = analyze(d, R, "title", "text", "source_type", "reliability_level").withColumn("content_hash", F.md5("text")).drop("text", "url")
+    return cut_lineage(a, "articles").withColumns({
+        "id": F.col("doc_id"), "source_name": F.col("source"), "summary": F.col("lang"), "content_excerpt": F.col("evidence_excerpt"),
         "sales_relevance_score": F.col("relevance_score"), "canonical_event_id": F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("ev-"), (F.col("doc_id") % 97).cast("string"))),
-        "content_hash": F.md5("text"), "is_primary_source": F.col("source_type") == "official", "is_demo": F.lit(False),
+        "is_primary_source": F.col("source_type") == "official", "is_demo": F.lit(False),
         "is_relevant": F.size("industry_tags") > 0, "overseas_rank": F.when(F.col("country").isNotNull(), 0).otherwise(1),
         "sales_score_evidence": F.when(F.col("doc_id") % 9 != 0, F.col("score_evidence")), "matched_entities": F.array("entity_id"),
     })
@@ -141,7 +142,7 @@ def saved_filter_specs(spark, sf):
 
 
 def view_splits(spark, sf):
-    df = tagged_docs(spark, sf)
+    df = article_table(spark, sf, "doc_id", "labels")
     has = lambda x: F.array_contains("labels", x)
     v = search.views(df, {
         "market": has("market_project"), "policy": has("tax_policy") | has("foreign_access"), "competitor": has("competitor"), "chamber": has("chamber"), "review": F.col("doc_id") % 3 == 0,
@@ -150,7 +151,7 @@ def view_splits(spark, sf):
 
 
 def account_articles(spark, sf):
-    df = tagged_docs(spark, sf).filter("published_at is not null")
+    df = article_table(spark, sf, "doc_id", "candidates", "published_at").filter("published_at is not null")
     hit = df.filter(F.exists("candidates", lambda c: c["account"] == "Alder"))
     top = hit.orderBy(F.desc("published_at"), "doc_id").limit(200)
     mine = joins.struct_by_name(F.col("candidates"), "account", F.lit("Alder"))

@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 from newsloom.operators import stats
 from newsloom.operators.events import distinct_sources
 from newsloom.operators.tagging import first_label
-from newsloom.plans.showcase.base import ACTION_WORDS, AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, sql_any, sql_first, table, tagged_docs
+from newsloom.plans.showcase.base import article_table, ACTION_WORDS, AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, sql_any, sql_first, table, tagged_docs
 from newsloom.rules import rule_list
+from newsloom.session import cut_lineage
 
 FAMILIES = {"rail_count": ["rail"], "power_count": ["grid", "storage"], "policy_count": ["tax_policy", "foreign_access"], "account_count": ["company", "leader"]}
 
 
 def _articles(spark, sf):
-    df = tagged_docs(spark, sf)
+    df = article_table(spark, sf, "doc_id", "event_key", "hash_key", "labels", "country", "region", "is_overseas", "published_at", "reliability_level")
     reviews = F.array(F.lit("pending"), F.lit("approved"), F.lit("rejected"), F.lit("needs_changes"))
     return df.withColumns({
         "canonical_event_id": F.when(F.col("doc_id") % 7 != 0, F.col("event_key")), "content_hash": F.col("hash_key"), "is_demo": F.col("doc_id") % 50 == 1,
@@ -34,8 +35,8 @@ def dashboard(spark, sf):
 
 
 def opportunity_facets(spark, sf):
-    df = tagged_docs(spark, sf).filter(F.array_contains("labels", "market_project"))
-    df = df.withColumns({"event_type": first_label(F.col("text"), rule_list(ACTION_WORDS)), "entities": F.transform("candidates", lambda c: c["matched_entity"])})
+    df = tagged_docs(spark, sf).select("labels", first_label(F.col("text"), rule_list(ACTION_WORDS)).alias("event_type"), F.transform("candidates", lambda c: c["matched_entity"]).alias("entities"))
+    df = cut_lineage(df, "articles").filter(F.array_contains("labels", "market_project"))
     return stats.facets(df, "event_type", {"intelligence_type": "labels", "matched_entity": "entities"})
 
 

@@ -14,6 +14,7 @@ from newsloom.rules import rule_list
 
 join = lambda c, sep="|": F.array_join(c, sep)
 num = lambda c: c.cast("bigint")
+PROJECT_SQL = r"([^,.;\n]{3,50}(?:ntion|keit))"
 
 
 def tag_gate(spark, sf):
@@ -176,7 +177,7 @@ def _longest(column, rows, i):
     return "CASE " + " ".join(f"WHEN contains({column}, {sql_str(r[0])}) THEN {sql_str(r[i])}" for r in ordered) + " END"
 
 
-_found = lambda c, terms: f"list_filter({sql_list(terms)}, lambda t: contains({c}, t))"
+_found = lambda c, terms: f"list_filter({sql_list(terms)}, lambda w0: contains({c}, w0))"
 _P1, _P2 = (sql_str(p) for p in R.party_patterns)
 _caught = lambda p: f"CASE WHEN regexp_matches(dt, {p}) THEN [trim(regexp_extract(dt, {p}, 1), ' .,')] ELSE []::VARCHAR[] END"
 _LEADER = sql_str(R.leader_pattern)
@@ -192,7 +193,7 @@ a2 AS (
     regexp_extract_all(t, {sql_str(R.unit_pattern)}) AS units,
     list_filter([{", ".join(f"CASE WHEN {sql_any('t', w)} THEN {sql_str(n)} END" for n, w in R.industries)}], lambda x: x IS NOT NULL) AS industries,
     {sql_first('t', R.stages)} AS stage,
-    list_filter(list_transform(regexp_extract_all(t, {sql_str(R.project_pattern)}, 1), lambda v: trim(v)), lambda v: NOT contains(v, 'the ') AND NOT contains(v, 'der ') AND length(v) <= 50)[1] AS project_name,
+    list_filter(list_transform(regexp_extract_all(t, {sql_str(PROJECT_SQL)}, 1), lambda v: trim(v)), lambda v: NOT contains(v, 'the ') AND NOT contains(v, 'der ') AND length(v) <= 50)[1] AS project_name,
     {sql_any('t', R.contract_terms)} AS contract, {_found('t', R.internal_terms)} AS internal, {_found('t', R.stale_terms)} AS stale,
     list_filter([{", ".join(f"CASE WHEN {sql_any('lower(t)' if fold else 't', [w.lower() for w in ws] if fold else ws)} THEN {sql_str(n)} END" for n, ws, fold in R.topics)}], lambda x: x IS NOT NULL) AS topics
   FROM a1

@@ -156,9 +156,9 @@ ORACLE = {
         SELECT raw, clean_name, regexp_replace(lower(clean_name), '[\\s，（）()·•—/_-]+', '', 'g') AS name_key FROM c""",
     "export_dates": """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d 10:20:30') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d 07:08:09')
         WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d 21:30:00') WHEN 6 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS parsed FROM orders""",
-    "page_dates": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(at, '%Y-%m-%d 08:05:00') WHEN 1 THEN strftime(at, '%Y-%m-%d 21:07:30')
-        WHEN 2 THEN strftime(at, '%Y-%m-%d 00:00:00') END AS parsed
-        FROM (SELECT o_orderkey, o_orderdate + to_days(9000) AS at FROM orders)""",
+    "page_dates": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(ats, '%Y-%m-%d 08:05:00') WHEN 1 THEN strftime(ats, '%Y-%m-%d 21:07:30')
+        WHEN 2 THEN strftime(ats, '%Y-%m-%d 00:00:00') END AS parsed
+        FROM (SELECT o_orderkey, o_orderdate + to_days(9000) AS ats FROM orders)""",
     "list_dates": """WITH p AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS dd,
           CASE WHEN o_orderkey % 3 = 2 THEN 2023 WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL
                WHEN make_date(2025, month(o_orderdate), day(o_orderdate)) > DATE '2025-03-07' THEN 2024 ELSE 2025 END AS y FROM orders)

@@ -97,7 +97,8 @@ class RelevanceRules:
     business_terms: tuple[str, ...] = ()
     fresh_terms: tuple[str, ...] = ()
     project_terms: tuple[str, ...] = ()
-    project_pattern: str = ""
+    project_suffixes: tuple[str, ...] = ()
+    project_delimiters: str = r"，。；\n"
     generic_project_terms: tuple[str, ...] = ()
     contract_terms: tuple[str, ...] = ()
     need_terms: tuple[str, ...] = ()
@@ -112,6 +113,7 @@ class RelevanceRules:
     topics: tuple[tuple[str, tuple[str, ...], bool], ...] = ()
     leader_split: str = r"[，。；\n]"
     leader_pattern: str = ""
+    leader_terms: tuple[str, ...] = ()
     leader_reject: tuple[str, ...] = ()
     senior_roles: tuple[str, ...] = ()
     lead_roles: tuple[str, ...] = ()
