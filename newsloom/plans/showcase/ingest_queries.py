@@ -134,7 +134,9 @@ QUERIES = {
 
 _E = f"WITH {DOCS_CTE}, {GATE_CTE}, {CANDIDATE_CTE}, {EVENT_CTE}"
 _ER = _E.replace("WITH ", "WITH RECURSIVE ", 1)
-_SIM = lambda a, b: f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1)"
+# DuckDB measures bytes, Spark characters: accented letters become capitals, which lower text never holds.
+_ASCII = lambda x: f"translate({x}, 'éèêçßüöäñóáíú', 'ABCDEFGHIJKLM')"
+_SIM = lambda a, b: f"1 - levenshtein({_ASCII(a)}, {_ASCII(b)}) / greatest(length({a}), length({b}), 1)"
 _ATT = """t AS (SELECT doc_id % 150 AS article_id, doc_id AS arrival_seq, 'u/' || (doc_id % 450) AS url, source AS source_name, source_type, source_type IN ('official', 'procurement', 'policy') AS first_party FROM d)"""
 _OCASE = "CASE WHEN contains(sq, 'thonea') THEN 'merged' WHEN contains(sq, 'estion') OR contains(sq, 'ungen') THEN 'renamed' WHEN contains(sq, 'eation') THEN 'established' WHEN contains(text, 'ndtion') AND contains(text, 'tion') THEN 'dissolved' WHEN contains(text, 'oument') AND contains(text, 'tion') THEN 'split' END"
 _JL = lambda c: f"'[' || array_to_string(list_transform(list_sort({c}), lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'"
