@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from newsloom.session import cut_lineage
 from newsloom.skew import keyed_lookup
 
 # Ship the ratio function itself, so executors need no copy of this package.
@@ -108,11 +109,15 @@ def _verify(pairs: DataFrame, titles: DataFrame, measure: str, t: float) -> Data
     left = titles.select(F.col("tid").alias("tid_l"), F.col("low").alias("low_l"))
     right = titles.select(F.col("tid").alias("tid_x"), F.col("low").alias("low_x"))
     full = pairs.join(left, "tid_l").join(right, "tid_x")
+    # The budget lets the distance stop early on pairs that are far apart.
     if measure == "edit":
-        scored = full.withColumn("score", edit_similarity(F.col("low_l"), F.col("low_x")))
+        budget = F.floor(F.greatest(F.char_length("low_l"), F.char_length("low_x")) * (1 - t) + 1e-9).cast("int")
+        near = full.filter(F.call_function("levenshtein", F.col("low_l"), F.col("low_x"), budget) >= 0)
+        scored = near.withColumn("score", edit_similarity(F.col("low_l"), F.col("low_x")))
     else:
         total = F.char_length("low_l") + F.char_length("low_x")
-        near = full.filter(F.levenshtein("low_l", "low_x") <= F.floor(total * (1 - t) + 1e-9))
+        budget = F.floor(total * (1 - t) + 1e-9).cast("int")
+        near = full.filter(F.call_function("levenshtein", F.col("low_l"), F.col("low_x"), budget) >= 0)
         scored = near.withColumn("score", sequence_ratio("low_l", "low_x"))
     return scored.filter(F.col("score") >= t).select("tid_l", "tid_x", "score")
 
@@ -156,7 +161,7 @@ def similar_to(
 ) -> DataFrame:
     """Verified (tid_l, tid_x, score) between two sets of distinct titles (tid, low)."""
     titles = items.unionByName(leaders).distinct()
-    blocks = prefix_blocks(titles, measure, t, q)
+    blocks = cut_lineage(prefix_blocks(titles, measure, t, q), "blocks")
     x = blocks.join(items.select("tid"), "tid", "left_semi")
     lead = blocks.join(leaders.select("tid"), "tid", "left_semi").select(
         "blk", F.col("tid").alias("tid_l"), F.col("len").alias("len_l")

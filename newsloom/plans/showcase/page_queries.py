@@ -238,5 +238,5 @@ ORACLE = {
     "changed_lines": f"""WITH {_VERS}, x AS (SELECT *, {_DIFF('text', 'pt')} AS added, {_DIFF('pt', 'text')} AS removed FROM chg WHERE ph IS NOT NULL),
         y AS (SELECT *, list_slice(list_filter(list_transform(added, lambda x: {_KIND}), lambda k: k IS NOT NULL), 1, 100) AS kinds FROM x)
         SELECT url, captured_at, array_to_string(added, chr(10)) AS added, array_to_string(removed, chr(10)) AS removed, CAST(len(kinds) AS BIGINT) AS n_changes, array_to_string(kinds, '|') AS kinds,
-          CASE WHEN len(added) > 0 OR len(removed) > 0 THEN 0.7 ELSE 0.2 END AS confidence FROM y""",
+          CASE WHEN len(added) > 0 OR len(removed) > 0 THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS confidence FROM y""",
 }

@@ -55,13 +55,14 @@ def keyed_lookup(
     take a salt from their id, the table row is repeated once per salt.  At most
     ``rows / hot_rows`` keys can pass that mark, which bounds what is broadcast
     (50 billion rows give at most 100,000 short key rows).  ``weight`` names a column
-    of ``table`` with the number of rows per key; without it the keys are counted here.
+    with the number of rows per key when ``table`` has one row per key; without it the keys are
+    counted here.
     """
     on = list(on)
     if weight is None:
         sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     else:
-        sizes = table.select(*on, F.col(weight).alias("_n")).distinct()
+        sizes = table.select(*on, F.col(weight).alias("_n"))
     hot = (
         sizes.filter(F.col("_n") > hot_rows)
         .select(*on, F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
