@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from newsloom.functions.text import bind
 from newsloom.session import cut_lineage
 from newsloom.skew import keyed_lookup
 
@@ -193,6 +194,10 @@ def trigrams(c: Column) -> Column:
 
 def trigram_similarity(c: Column, query: str) -> Column:
     """Shared trigrams over all trigrams."""
-    a, b = trigrams(c), trigrams(F.lit(query))
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    b = trigrams(F.lit(query))
+
+    def share(a: Column) -> Column:
+        union = F.size(F.array_union(a, b))
+        return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+    return bind(trigrams(c), share)

@@ -162,29 +162,23 @@ def account_candidates(
         )
         for a in aliases
     ])
-    out = (
-        df.withColumn("_low", F.lower(text))
-        .withColumn("_company", contains_any(F.col(text), company_context))
-        .withColumn("_abroad", contains_any(F.col("_low"), overseas_context))
-    )
-    found = F.filter(
-        rows,
-        lambda a: F.when(a["lower"], F.contains(F.col("_low"), a["alias"])).otherwise(F.contains(F.col(text), a["alias"]))
-        & (
-            (a["strength"] != "weak")
-            | (F.col("_company") & (F.col("_abroad") | (F.char_length(a["alias"]) >= 3)))
-        ),
-    )
-    out = out.withColumn("_hits", found)
-    names = F.array_distinct(F.transform("_hits", lambda a: a["account"]))
+    raw = F.col(text)
+
+    def hits(v: Column) -> Column:
+        def usable(a: Column) -> Column:
+            named = F.when(a["lower"], F.contains(v["low"], a["alias"])).otherwise(F.contains(raw, a["alias"]))
+            backed = v["company"] & (v["abroad"] | (F.char_length(a["alias"]) >= 3))
+            return named & ((a["strength"] != "weak") | backed)
 
-    def candidate(name: Column) -> Column:
-        mine = F.filter("_hits", lambda a: a["account"] == name)
+        return F.filter(rows, usable)
+
+    def candidate(found: Column, name: Column) -> Column:
+        mine = F.filter(found, lambda a: a["account"] == name)
         total = F.aggregate(mine, F.lit(0).cast("decimal(10,2)"), lambda s, a: (s + a["w"]).cast("decimal(10,2)"))
         conf = F.least(_dec(ALIAS_CAP).cast("decimal(10,2)"), total)
         shared = F.lit(False)
         if ambiguous_alias:
-            shared = F.contains(F.col(text), F.lit(ambiguous_alias)) & F.array_contains(_strings(ambiguous_accounts), name)
+            shared = F.contains(raw, F.lit(ambiguous_alias)) & F.array_contains(_strings(ambiguous_accounts), name)
         return F.struct(
             (-conf).alias("_rank"),
             name.alias("account"),
@@ -194,10 +188,17 @@ def account_candidates(
             F.transform(mine, lambda a: F.struct(a["alias"].alias("alias"), a["strength"].alias("strength"), a["context"].alias("context"))).alias("evidence"),
         )
 
-    ordered = F.array_sort(F.transform(names, candidate))
+    def build(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda a: a["account"]))
+        return F.array_sort(F.transform(names, lambda n: candidate(found, n)))
+
+    # Bound step by step, so that no rewrite of the plan repeats a step for every account.
+    facts = bind(F.lower(text), lambda low: F.struct(
+        low.alias("low"), contains_any(raw, company_context).alias("company"), contains_any(low, overseas_context).alias("abroad")
+    ))
+    ordered = bind(facts, lambda v: bind(hits(v), build))
     keep = ("account", "matched_entity", "confidence", "needs_review", "evidence")
-    out = out.withColumn("candidates", F.transform(ordered, lambda c: F.struct(*[c[k].alias(k) for k in keep])))
-    return out.drop("_low", "_company", "_abroad", "_hits")
+    return df.withColumn("candidates", F.transform(ordered, lambda c: F.struct(*[c[k].alias(k) for k in keep])))
 
 
 def top_confidence(candidates: Column, default: float = 0.35) -> Column:
