@@ -244,8 +244,8 @@ def last_content_first_position(items: DataFrame, key: str, position: str, colum
 def best_per_event(df: DataFrame, row_id: str, score: str) -> DataFrame:
     """Best row per event by reliability, primary flag and score; first in order wins ties.
 
-    ``tie_order`` columns are the list order of the board (publication or fetch time, newest
-    first, then id).  Two aggregations on ids, so a hot event costs one combined row per task.
+    Ties follow the list order of the board: publication or fetch time, newest first, then id.
+    The choice is one aggregation on ids, so a hot event costs one combined row per map task.
     """
     rank = F.coalesce(F.element_at(F.create_map(F.lit("high"), F.lit(3), F.lit("medium"), F.lit(2), F.lit("low"), F.lit(1)), F.col("reliability_level")), F.lit(0))
     key = F.coalesce(F.col("canonical_event_id"), F.col("content_hash"), F.col(row_id).cast("string"))

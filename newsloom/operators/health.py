@@ -98,7 +98,8 @@ def freshness(runs: DataFrame, as_of: datetime) -> DataFrame:
 def batch_progress(batches: DataFrame, items: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Progress and final status of each batch, with running names and remaining.
 
-    ``items``: batch_id, source_name, status, job_id; ``runs``: job_id and counters.
+    ``items``: batch_id, source_name, status, job_id; ``runs``: job_id and counters.  Only names of
+    items that run right now are listed, at most one per worker slot.
     """
     n = lambda *v: F.count_if(F.col("status").isin(*v))
     counted = items.groupBy("batch_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.skew import first_per_key
+from newsloom.skew import first_per_key, split_lag
 
 # The state each review action leads to.
 ARTICLE_STATES = {"approve": "approved", "reject": "rejected", "needs_changes": "needs_changes"}
@@ -21,13 +21,11 @@ def fold_reviews(rows: DataFrame, log: DataFrame, row_id: str, states: dict[str,
 
 
 def review_history(log: DataFrame, row_id: str, states: dict[str, str], initial: str = "pending", seq: str = "review_id") -> DataFrame:
-    """M4: before and after state of every review record (reviews per row are few)."""
-    from pyspark.sql.window import Window
-
+    """M4: before and after state of every review record; the look-back is split by day."""
     names = F.create_map(*[x for k, v in states.items() for x in (F.lit(k), F.lit(v))])
-    w = Window.partitionBy(row_id).orderBy("created_at", seq)
     after = log.withColumn("after_state", F.element_at(names, F.col("action")))
-    return after.withColumn("before_state", F.coalesce(F.lag("after_state").over(w), F.lit(initial)))
+    seen = split_lag(after, row_id, ["created_at", seq], ["after_state"], F.to_date("created_at"))
+    return seen.withColumn("before_state", F.coalesce("prev_after_state", F.lit(initial))).drop("prev_after_state")
 
 
 def audit_tail(log: DataFrame, n: int = 100, seq: str = "audit_id") -> DataFrame:

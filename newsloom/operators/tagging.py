@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import bind, contains_any, labels_where, percent_tokens, terms_found
 from newsloom.rules import Alias, Gazetteer, Rule
+from newsloom.skew import keyed_lookup
 
 # Evidence weights and thresholds of the gates.
 COUNTRY_WEIGHT, SIGNAL_WEIGHT, GATE_CAP, GATE_MIN = "0.48", "0.14", "0.99", "0.55"
@@ -280,7 +281,7 @@ def match_terms(
             lambda i: F.substr(F.col("_low"), i, F.lit(gram)),
         ))).alias("_g"),
     )
-    anchored = grams.join(long, "_g").join(low, doc_id).filter(F.contains(F.col("_low"), F.col("_t")))
+    anchored = keyed_lookup(grams, long, ["_g"], doc_id, how="inner").join(low, doc_id).filter(F.contains(F.col("_low"), F.col("_t")))
     direct = low.join(F.broadcast(short), F.contains(F.col("_low"), F.col("_t")))
     cols = (doc_id, "label", "term")
     return anchored.select(*cols).unionByName(direct.select(*cols)).distinct()

@@ -130,8 +130,9 @@ def order_page(spark, sf):
 def supplier_parts(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     li = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q")).filter("q >= 90").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey")
-    out = joins.nest_children(s, li, "s_suppkey", ["l_partkey"], "parts")
-    return out.select("s_suppkey", F.array_join(F.transform("parts", lambda p: p["l_partkey"].cast("string")), ",").alias("parts"))
+    nested, wide = joins.nest_children(s, li, "s_suppkey", ["l_partkey"], "parts")
+    listed = nested.select("s_suppkey", F.array_join(F.transform("parts", lambda p: p["l_partkey"].cast("string")), ",").alias("parts"))
+    return listed.unionByName(wide.select("s_suppkey", F.col("l_partkey").cast("string").alias("parts")))
 
 
 def saved_filter_specs(spark, sf):
