@@ -122,15 +122,15 @@ def evidence_excerpt(c: Column, n: int = 500) -> Column:
 
 
 def plausible_person_name(
-    c: Column, surnames: Sequence[str], compound_surnames: Sequence[str], stopwords: Sequence[str]
+    c: Column, surnames: Sequence[str], compound_surnames: Sequence[str], stopwords: Sequence[str], shape: str = PERSON_SHAPE
 ) -> Column:
-    """Two to four CJK characters, no stopword, known surname first."""
+    """Two to four CJK characters (or another ``shape``), no stopword, known surname first."""
     name = F.btrim(F.regexp_replace(c, SPACE, ""), F.lit("·"))
     first = F.substring_index(name, "·", 1)
     head = F.substring(first, 1, 1).isin(*surnames)
     for s in compound_surnames:
         head = head | first.startswith(s)
-    return F.coalesce(name.rlike(PERSON_SHAPE) & ~contains_any(name, stopwords) & head, F.lit(False))
+    return F.coalesce(name.rlike(shape) & ~contains_any(name, stopwords) & head, F.lit(False))
 
 
 def event_key(*parts: Column) -> Column:

@@ -1,6 +1,6 @@
 """The ingest cascade and its ledgers.
 
-The reference semantics are sequential: in arrival order an item is compared, stage by
+The semantics are sequential: in arrival order an item is compared, stage by
 stage (URL, content hash, title, relevance gate, event), with the items accepted before
 it; only accepted items ("leaders") block later ones.  That is the greedy, arrival-ordered
 independent set of the match graph, and it is computed in rounds:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import clean_entity_name, contains_any, plausible_person_name, squeeze
+from newsloom.functions.text import PERSON_SHAPE, clean_entity_name, contains_any, plausible_person_name, squeeze
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,7 @@ class GovernanceRules:
     surnames: tuple[str, ...] = ()
     compound_surnames: tuple[str, ...] = ()
     name_stopwords: tuple[str, ...] = ()
+    name_shape: str = PERSON_SHAPE
     leaving: tuple[str, ...] = ("resignation", "retirement", "removal")
     moving: tuple[str, ...] = ("resignation", "retirement", "removal", "transfer")
     org_changes: tuple[tuple[str, tuple[str, ...]], ...] = ()
@@ -34,7 +35,7 @@ def _first(c: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
 
 
 def _plausible(c: Column, r: GovernanceRules) -> Column:
-    return plausible_person_name(c, r.surnames, r.compound_surnames, r.name_stopwords)
+    return plausible_person_name(c, r.surnames, r.compound_surnames, r.name_stopwords, r.name_shape)
 
 
 def leadership(df: DataFrame, text: str, r: GovernanceRules) -> DataFrame:

@@ -129,7 +129,8 @@ GOV = governance.GovernanceRules(
     roles=("thing", "ment", "heit"),
     appointments=(("resignation", ("antion",)), ("transfer", ("hetion",)), ("appointment", ("retion", "ciónas"))),
     activities=(("inspection", ("hation",)), ("meeting", ("ortion", "queque"))),
-    person_patterns=(r"(?:antion|retion) ([a-z]{2,4}) ", r"([a-z]{4}) (?:heit|thing)"),
+    person_patterns=(r"(?:antion|retion) ([a-z]{2,4}) ", r"([a-z]{4}) (?:heit|thing|ment)"),
+    surnames=("t", "o", "e", "d"), compound_surnames=("qu", "an"), name_stopwords=("the", "of"), name_shape="^[a-z]{2,4}$",
     org_changes=(("merged", ("thonea",)), ("renamed", ("estion", "ungen")), ("established", ("eation",))),
     org_fallbacks=(("dissolved", ("ndtion",)), ("split", ("oument",))), org_subjects=("tion",),
 )
