@@ -125,7 +125,8 @@ def ingest_cascade(
     )
     if existing is not None:
         old = existing.select("arrival_seq", *EXACT_KEYS, "title", "published_at", "confidence").withColumn("eligible", F.lit(True))
-        old = cut_lineage(sim.title_ids(old, "title").withColumn("since", _since(as_of, reach_days)), "existing")
+        old = sim.title_ids(_relevant(old, slim), "title").withColumn("since", _since(as_of, reach_days))
+        old = cut_lineage(old, "existing")
         outside = _attribute(slim, old, measure, threshold)
         known = cut_lineage(outside, "known")
         free = slim.join(known.filter("stage is not null").select("arrival_seq"), "arrival_seq", "left_anti")
@@ -151,6 +152,23 @@ def ingest_cascade(
     return items.join(decided.unionByName(fresh), "arrival_seq")
 
 
+def _relevant(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored articles that can match a batch: recent enough for its titles, or sharing a key.
+
+    A batch is small beside the stored articles, so its keys are broadcast when their count allows
+    and the stored side is filtered where it lies instead of being shuffled.
+    """
+    first = batch.agg(F.min("since")).first()[0]
+    if first is None:
+        return existing.limit(0)
+    recent = F.coalesce(F.col("published_at") >= F.lit(first), F.lit(False))
+    older = existing.filter(~recent)
+    parts = existing.filter(recent)
+    for key in EXACT_KEYS:
+        parts = parts.unionByName(older.join(counted_broadcast(batch.select(key).distinct()), key, "left_semi").select(existing.columns))
+    return parts.dropDuplicates(["arrival_seq"])
+
+
 def _attribute(rest: DataFrame, leaders: DataFrame, measure: str, threshold: float) -> DataFrame:
     """First stage, earliest leader and score for each item; stage is NULL without a match."""
     out = rest

@@ -51,6 +51,14 @@ def test_paging_is_stable(articles):
     assert [r.id for r in one.collect()] == [3, 1] and [r.id for r in two.collect()] == [2] and total.collect()[0].total == 3
 
 
+def test_page_after_equals_offset(spark):
+    df = spark.range(40).select(F.col("id"), (F.col("id") % 7 / 10).alias("confidence_score"), F.lit(None).cast("timestamp").alias("published_at"), F.timestamp_seconds(F.col("id") % 5).alias("fetched_at"))
+    for sort, value in (("published_desc", "fetched_at"), ("published_asc", "fetched_at"), ("confidence_desc", "confidence_score")):
+        last = search.page(df, search.article_order(sort), 1, 15).collect()[-1]
+        want = [r.id for r in search.page(df, search.article_order(sort), 2, 15).collect()]
+        assert [r.id for r in search.page_after(df, sort, last[value], last.id, 15).collect()] == want
+
+
 def test_equality_filters_reach_the_scan(spark, articles, tmp_path, capsys):
     articles.write.parquet(str(tmp_path / "a"))
     df = search.apply_filters(spark.read.parquet(str(tmp_path / "a")), search.FilterSpec(country="Kenya"), AS_OF).select("id")
