@@ -54,7 +54,10 @@ def select_leaders(
     pairs = titles.select(F.col("tid").alias("tid_l"), F.col("tid").alias("tid_x"), F.lit(1.0).alias("score"))
     leaders: DataFrame | None = None
     open_blocks = blocks.limit(1).count() > 0
-    for _ in range(max_rounds):
+    for done in range(max_rounds):
+        if done % 16 == 15:
+            # Many small tables become one, so that the plan does not grow with the rounds.
+            pairs, leaders = cut_lineage(pairs, "pairs"), cut_lineage(leaders, "leaders")
         if open_blocks:
             order = undecided.groupBy("tid").agg(F.min("arrival_seq").alias("first_seq"))
             found, rest = sim.expand_round(blocks, titles, order, measure, threshold, pivots)

@@ -139,7 +139,7 @@ def expand_round(
     lead = seq.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= pivots)
     lead = lead.select("blk", F.col("tid").alias("tid_p"), F.col("len").alias("len_p"))
     met = (
-        keyed_lookup(seq.select("blk", "tid", "len"), lead, ["blk"], "tid", how="inner", hot_rows=50_000)
+        keyed_lookup(seq.select("blk", "tid", "len"), lead, ["blk"], "tid", how="inner", hot_rows=200_000)
         .filter((F.col("tid") != F.col("tid_p")) & _length_ok(F.col("len"), F.col("len_p"), measure, t))
         .select(F.least("tid", "tid_p").alias("a"), F.greatest("tid", "tid_p").alias("b"))
         .distinct()
@@ -168,7 +168,7 @@ def similar_to(
         "blk", F.col("tid").alias("tid_l"), F.col("len").alias("len_l")
     )
     met = (
-        keyed_lookup(x, lead, ["blk"], "tid", how="inner", hot_rows=50_000)
+        keyed_lookup(x, lead, ["blk"], "tid", how="inner", hot_rows=200_000)
         .filter((F.col("tid") != F.col("tid_l")) & _length_ok(F.col("len"), F.col("len_l"), measure, t))
         .select("tid_l", F.col("tid").alias("tid_x"))
         .distinct()

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import content_digest, rule_summary
+from newsloom.functions.text import content_digest, event_key, rule_summary
 from newsloom.functions.urls import canonical_url
 from newsloom.operators import dedup, events, governance, tagging
 from newsloom.operators.scoring import analyze
@@ -39,9 +39,16 @@ class IngestConfig:
     home_country: str = "home"
     governed_tag: str = "governed"
     governance: governance.GovernanceRules | None = None
+    policy_labels: Sequence[str] = ()
+    tax_terms: Sequence[str] = ()
+    policy_routes: dict[str, str] = field(default_factory=dict)
+    leader_patterns: tuple[str, str, str] | None = None
+    leader_label: str = "leader"
+    leader_actions: Sequence[str] = ("meeting", "appointment")
+    activities: Sequence[tuple[str, str]] = ()
+    account_topic: str = "account"
     measure: str = "sequence"
     manual: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 def tag_items(items: DataFrame, sources: DataFrame, c: IngestConfig) -> DataFrame:
@@ -50,7 +57,7 @@ def tag_items(items: DataFrame, sources: DataFrame, c: IngestConfig) -> DataFram
     ``sources`` (a few thousand rows) is joined by name; AQE broadcasts it when it is small.
     """
     src = sources.select(
-        "source_name", "source_type", "reliability_level", "source_tags", "entity_id",
+        "source_name", "source_type", "reliability_level", "source_tags", F.col("entity_id").alias("source_entity_id"),
         F.concat_ws(" ", "source_name", "country_focus", "region_focus").alias("_scope"),
         F.concat_ws(" ", "industry_focus").alias("_industry"),
     )
@@ -113,10 +120,41 @@ def accept_articles(cascade: DataFrame, c: IngestConfig) -> DataFrame:
     })
 
 
+def derived_tables(articles: DataFrame, c: IngestConfig) -> dict[str, DataFrame]:
+    """Policy, leader, activity, personnel and organisation rows of the accepted articles.
+
+    Only the tables whose rules are configured are built.  The last three cover governed sources and
+    articles with the account topic, and hold one row per event key (first article).
+    """
+    out: dict[str, DataFrame] = {}
+    if c.policy_labels:
+        out["policies"] = tagging.policy_dimensions(articles, "text", "intelligence_types", c.policy_labels, c.tax_terms, c.policy_routes)
+    if c.leader_patterns:
+        acted = articles.withColumn("action", tagging.first_label(F.col("text"), c.actions))
+        out["leader_events"] = governance.leader_event(acted, "text", "intelligence_types", "action", *c.leader_patterns, c.leader_label, c.leader_actions)
+    none = F.array().cast("array<string>")
+    scope = articles.filter(
+        F.array_contains(F.coalesce("source_tags", none), c.governed_tag) | F.array_contains(F.coalesce("topic_tags", none), c.account_topic)
+    )
+    day = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("date-unverified"))
+    if c.activities:
+        rows = events.business_activities(scope.drop("event_key").withColumn("event_id", F.col("article_id")), c.activities, "source_entity_id", "event_id", "published_at")
+        firsts = rows.groupBy("event_key").agg(F.min("arrival_seq").alias("arrival_seq"))
+        out["activities"] = rows.join(firsts, ["event_key", "arrival_seq"], "left_semi")
+    if c.governance:
+        people = scope.filter("role_change")
+        key = event_key(F.col("source_entity_id"), F.col("person_name"), F.col("appointment_type"), day, F.col("event_key"))
+        out["personnel_events"] = events.insert_if_absent(None, people.withColumn("change_key", key), "change_key")
+        moved = scope.withColumn("change_type", governance.org_change(F.col("text"), c.governance)).filter("change_type is not null")
+        key = event_key(F.col("source_entity_id"), F.col("change_type"), day, F.col("event_key"))
+        out["org_events"] = events.insert_if_absent(None, moved.withColumn("change_key", key), "change_key")
+    return out
+
+
 def ingest(items: DataFrame, sources: DataFrame, c: IngestConfig, as_of: datetime, existing: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run the ingest and return its tables.
 
-    outcomes (one row per item), articles (accepted, with promotion and source counts),
+    Besides those of ``derived_tables``: outcomes (one row per item), articles (accepted, with promotion and source counts),
     duplicates (ledger), evidence (article sources), events and projects (roll-ups).
     """
     tagged = cut_lineage(tag_items(items, sources, c), "tagged")
@@ -145,4 +183,5 @@ def ingest(items: DataFrame, sources: DataFrame, c: IngestConfig, as_of: datetim
         "evidence": evidence,
         "events": head.join(by_event, "event_key", "left"),
         "projects": events.project_rollup(keys.filter("project_key is not null")),
+        **derived_tables(articles, c),
     }

@@ -1,5 +1,6 @@
 """Full ingest and the streaming jobs against their batch forms."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.operators import changes, health
 from newsloom.operators.dedup import ingest_cascade
+from newsloom.operators.governance import GovernanceRules
 from newsloom.plans.ingest import IngestConfig, ingest
-from newsloom.rules import Alias, Gazetteer, RelevanceRules, rule_list
+from newsloom.rules import Alias, EventRule, Gazetteer, RelevanceRules, rule_list
 from newsloom.streaming import jobs
 
 AS_OF = datetime(2025, 3, 1, tzinfo=timezone.utc)
@@ -59,6 +61,31 @@ def test_two_languages_make_one_event(spark):
     assert out["events"].collect()[0].verification_status == "cross_verified"
 
 
+def test_derived_tables(spark):
+    gov = GovernanceRules(
+        roles=("director",), appointments=(("appointment", ("appoints",)),), activities=(), person_patterns=(r"appoints ([A-Z][a-z]+) as",), surnames=("O", "K"),
+        name_shape="^[A-Z][a-z]+$", org_changes=(("renamed", ("renamed",)),),
+    )
+    rel = RelevanceRules(
+        entities=(("Acme", "acme"),), project_terms=("rail",), leader_split=r"[.;\n]", leader_pattern=r"(Acme [a-z ]*?director) ([A-Z][a-z]+) met", contract_terms=("signed",),
+        event_rules=(EventRule("signing", (("signed",),)),), topics=(("account", ("Acme",), False),),
+    )
+    conf = replace(
+        CONFIG, governance=gov, relevance=rel, policy_labels=("tax",), policy_routes={"tax_rate": "tax"}, leader_patterns=(r"director ([A-Z][a-z]+)", r"([A-Z][a-z]+) director", r"([a-z]+ director)"),
+        leader_label="rail", leader_actions=("award",), activities=(("signing", "signing"),),
+    )
+    out = ingest(items(spark, [
+        ("Ministry", "Kenya tax rate moves", "https://m.example/1", 5, "The tax falls to 5%."),
+        ("Wire", "Acme Build wins Kenya rail award", "https://w.example/2", 5, "Acme deputy director Otieno met guests. They signed terms"),
+        ("Wire", "Chile: Acme appoints Kariuki as director", "https://w.example/3", 5, "Unit renamed"),
+    ]), sources(spark), conf, AS_OF)
+    assert [(r.article_id, r.tax_rate) for r in out["policies"].collect()] == [(0, "5%")]
+    assert [(r.person_name, r.organization) for r in out["leader_events"].collect()] == [("Otieno", "Acme")]
+    assert [(r.person_name, r.activity_type) for r in out["activities"].collect()] == [("Otieno", "signing")]
+    assert [(r.person_name, r.appointment_type, r.title_after) for r in out["personnel_events"].collect()] == [("Kariuki", "appointment", "director")]
+    assert [(r.article_id, r.change_type) for r in out["org_events"].collect()] == [(2, "renamed")]
+
+
 CASCADE = "arrival_seq bigint, url_key string, hash_key string, event_key string, title string, published_at timestamp, eligible boolean, confidence double"
 
 
