@@ -65,9 +65,11 @@ def reconcile(discovered: DataFrame, master: DataFrame, known: Sequence[str] = (
     m = master.select(
         F.col("entity_id"), F.col("canonical_name").alias("m_name"), F.col("official_url").alias("m_url"), "verification_status"
     )
-    joined = found.select(
-        F.col("entity_id"), F.col("canonical_name").alias("d_name"), F.col("official_url").alias("d_url")
-    ).join(m, "entity_id", "full_outer")
+    listed = found.select("entity_id", F.col("canonical_name").alias("d_name"), F.col("official_url").alias("d_url"))
+    # Unresolved names have no id to join on; as NULL keys they would all meet in one partition.
+    joined = listed.filter("entity_id is not null").join(m, "entity_id", "full_outer").unionByName(
+        listed.filter("entity_id is null"), allowMissingColumns=True
+    )
     status = (
         F.when(F.col("entity_id").isNull(), "new_pending")
         .when(F.col("d_name").isNull(), F.when(F.col("verification_status").isin(*known), "missing").otherwise("unlisted"))

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,11 @@ def keyed_lookup(
         sizes.filter(F.col("_n") > hot_rows)
         .select(*on, F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
     )
+    # Rows without a key match nothing; they are spread instead of meeting in one partition.
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salts = F.when(no_key, MAX_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
     salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(row_id), F.coalesce("_salts", F.lit(1))).cast("int")
+        "_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")
     ).drop("_salts")
     salted_table = table.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))

@@ -75,6 +75,12 @@ def test_hot_key_lookup_is_complete(spark):
         assert out.count() == 1000 and out.filter("k = 'hot' and first = 0").count() == 334
 
 
+def test_rows_without_a_key_survive_the_lookup(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 3 != 0, (F.col("id") % 5).cast("string")).alias("k"))
+    out = keyed_lookup(rows, rows.filter("k is not null").groupBy("k").agg(F.min("id").alias("first")), ["k"], "id", hot_rows=10)
+    assert out.count() == 300 and out.filter("k is null and first is null").count() == 100 and out.filter("k is not null and first is null").count() == 0
+
+
 def test_split_lag_equals_lag(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), (F.col("id") * 7 % 11).alias("v"))
     got = {(r.k, r.o): r.prev_v for r in split_lag(df, "k", ["o"], ["v"], F.floor(F.col("o") / 17)).collect()}
