@@ -146,7 +146,9 @@ d AS (
 def places(spark: SparkSession, sf_dir: str) -> Gazetteer:
     """Gazetteer of the nation and region tables (25 rows) with the sample spellings."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name").limit(GAZETTEER_SIZE_LIMIT).collect()
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name").limit(GAZETTEER_SIZE_LIMIT + 1).collect()
+    if len(rows) > GAZETTEER_SIZE_LIMIT:
+        raise ValueError("the gazetteer is too large for literals; use match_terms")
     names = {x.n_nationkey: (x.n_name, x.r_name) for x in rows}
     return Gazetteer(tuple((*names[k], words) for k, words in PLACE_WORDS), SIGNALS)
 
