@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup
+from newsloom.llm import decontaminate, exact_dedup, warc
 from newsloom.llm.common import table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,9 +25,50 @@ FROM d
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({NORM_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({NORM_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n),
+hits AS (
+  SELECT rid, i, p.n, item
+  FROM (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM places) AS q JOIN phrases AS p USING (n, phrase)),
+covered AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS x FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+bits AS (SELECT *, array_to_string([lpad(bin(instr('0123456789abcdef', hex[i]) - 1), 4, '0') FOR i IN range(1, 41)], '') AS b FROM q)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       array_to_string([chr(CAST(CASE WHEN v < 26 THEN 65 + v ELSE 24 + v END AS INTEGER))
+         FOR v IN [list_sum([CASE WHEN b[5 * i + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END FOR j IN range(0, 5)]) FOR i IN range(0, 32)]], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {"op10_warc": op10_warc, "op6_decontaminate": op6_decontaminate, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op10_warc": OP10_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL}
