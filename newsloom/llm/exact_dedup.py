@@ -15,16 +15,20 @@ An empty table gives an empty result. Columns other than ``doc_id`` and ``text``
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, ascii_lower, fresh
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Otherwise each store reserves several MB, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_digest(text: Column) -> Column:
@@ -50,28 +54,29 @@ def locator(docs: DataFrame) -> Column:
     return F.struct(place.getField("file_path").alias("file"), place.getField("row_index").alias("row"))
 
 
+@contextmanager
+def disk_backed_state(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def keyed_state(records: DataFrame, checkpoint: str) -> DataFrame:
     """Run the stream ``records`` (digest, record) to its present end; return its state (digest, keep, n).
 
     Running it again with the same ``checkpoint`` and more files continues from the stored state.
     """
-    spark = records.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        states = records.groupBy("digest").agg(F.max("record").alias("keep"), F.count(F.lit(1)).alias("n"))
-        query = (
-            states.writeStream.outputMode("update").format("noop")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    stored = spark.read.format("statestore").load(checkpoint)
-    buffers = stored.schema["value"].dataType.names
-    return stored.select(
-        F.col("key.digest").alias("digest"), F.col(f"value.`{buffers[0]}`").alias("keep"), F.col(f"value.`{buffers[1]}`").alias("n")
-    )
+    states = records.groupBy("digest").agg(F.max("record").alias("keep"), F.count(F.lit(1)).alias("n"))
+    sink = states.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+    sink.trigger(availableNow=True).start().awaitTermination()
+    stored = records.sparkSession.read.format("statestore").load(checkpoint)
+    keep, n = stored.schema["value"].dataType.names
+    return stored.select("key.digest", F.col(f"value.`{keep}`").alias("keep"), F.col(f"value.`{n}`").alias("n"))
 
 
 def deduplicate(
@@ -93,7 +98,8 @@ def deduplicate(
         state = feed.select("digest", F.col("record").alias("keep"), F.lit(0).cast("long").alias("n"))
     else:
         stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(feed._scratch_path)
-        state = scratch.cut(keyed_state(stream.select("digest", "record"), checkpoint), "states")
+        with disk_backed_state(spark):
+            state = scratch.cut(keyed_state(stream.select("digest", "record"), checkpoint), "states")
 
     def told(rows: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
         return rows.join(states, keys).select(
