@@ -110,7 +110,7 @@ def deduplicate(
     # Full bytes on hits: hit texts once, next to the text of the record that stays.
     hits = scratch.cut(located.withColumn("digest", digest(F.col("norm"))).join(state.filter("n > 1"), "digest"), "hits")
     keepers = hits.filter(F.col("record") == F.col("keep")).select("digest", F.col("norm").alias("kept_norm"))
-    unequal = scratch.cut(hits.join(keepers, "digest").filter("norm != kept_norm").select("digest").distinct(), "unequal")
+    unequal = scratch.cut(hits.join(keepers, "digest").filter("norm != kept_norm").select("digest"), "unequal")
     if unequal.isEmpty():
         scratch.drop(hits)
         return told(feed, state, ["digest"])

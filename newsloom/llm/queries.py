@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, exact_dedup, mixing, warc
+from newsloom.llm import decontaminate, exact_dedup, mixing, near_dedup, warc
 from newsloom.llm.common import table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,6 +25,26 @@ FROM d
 """
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({NORM_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
+           FROM x AS a JOIN x AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (n + m - k)),
+e AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.seen)
+SELECT s.doc_id, len(s) AS n_shingles, min(seen) AS component_id, s.doc_id = min(seen) AS kept
+FROM s JOIN reach ON node = s.doc_id GROUP BY s.doc_id, s
+"""
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -72,8 +92,8 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_warc": op10_warc, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op8_exact_dedup": op8_exact_dedup}
+    return {"op10_warc": op10_warc, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op10_warc": OP10_SQL, "op3_near_dedup": OP3_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL}
