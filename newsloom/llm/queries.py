@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup, mixing, near_dedup, warc
-from newsloom.llm.common import table
+from newsloom.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, warc
+from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_held_out(F.col("doc_id"), 4, 2)
+    profiles = language_id.learn_profiles(docs.filter(~held_out).select("text", "lang"))
+    return language_id.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.deduplicate(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -92,7 +100,7 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_warc": op10_warc, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op8_exact_dedup": op8_exact_dedup}
+    return {"op10_warc": op10_warc, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
