@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, warc
+from newsloom.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, toxicity, warc
 from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,6 +33,13 @@ FROM d
 """
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = is_held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs, labels.filter(~held_out))
+    return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -100,7 +107,7 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_warc": op10_warc, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
