@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, toxicity, warc
+from newsloom.llm import decontaminate, exact_dedup, language_id, lattice_lm, mixing, near_dedup, toxicity, warc
 from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,6 +40,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_held_out(F.col("doc_id"), 5, 1)
+    scored = lattice_lm.score_documents(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -107,7 +114,7 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
