@@ -1,10 +1,21 @@
-"""A corpus build over ``documents``: five stages, each a function (spark, docs, sf_dir) -> docs."""
+"""A corpus build over ``documents``: five stages, each a function (spark, docs, sf_dir) -> docs.
+
+Every stage works on the whole table that its predecessor kept and needs nothing but the columns of documents
+and the tables of ``sf_dir``. The last stage adds ``copies``, how often the mix takes a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup
+from newsloom.llm import decontaminate, exact_dedup, mixing, near_dedup
+from newsloom.llm import toxicity as tox
+from newsloom.llm.common import table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    return tox.drop_toxic(docs, tox.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +23,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates stays (words as in the exact stage, shingles of five words)."""
+    return near_dedup.drop_near_duplicates(docs, words=5)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, with their number of copies."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("benchmark decontamination", benchmarks), ("source mix", mix)]
 
-#: Classifier and rounding decisions have no SQL form; tests compare with brute force.
+#: Classifier, tensored tables and rounding have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

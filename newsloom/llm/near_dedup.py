@@ -72,18 +72,18 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, np.diff(np.searchsorted(starts, off))
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every row."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of every row's shingles of ``size`` words."""
     words, counts = word_hashes(data, off)
-    if len(words) >= WORDS:
-        grams = words[: len(words) - WORDS + 1]
-        for k in range(1, WORDS):
-            grams = grams * _BASE + words[k : len(words) - WORDS + 1 + k]
+    if len(words) >= size:
+        grams = words[: len(words) - size + 1]
+        for k in range(1, size):
+            grams = grams * _BASE + words[k : len(words) - size + 1 + k]
         grams = _mixed(grams)
     out, at = [], 0
     for n in counts.tolist():
-        if n >= WORDS:
-            out.append(np.unique(grams[at : at + n - WORDS + 1]))
+        if n >= size:
+            out.append(np.unique(grams[at : at + n - size + 1]))
         elif n:
             whole = np.uint64(n)
             with np.errstate(over="ignore"):
@@ -110,22 +110,28 @@ def collections_of(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in text_chunks(batches, "text"):
-        sets = shingle_sets(*bytes_of(chunk.column("text")))
-        full = [s for s in sets if len(s)]
-        signatures = iter(collections_of(full).tolist() if full else [])
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": chunk.column("doc_id"), "place": chunk.column("place"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-            "signature": pa.array([next(signatures) if len(s) else None for s in sets], pa.list_(pa.int64())),
-        })
+def _sketch(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, "text"):
+            sets = shingle_sets(*bytes_of(chunk.column("text")), size)
+            full = [s for s in sets if len(s)]
+            signatures = iter(collections_of(full).tolist() if full else [])
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": chunk.column("doc_id"), "place": chunk.column("place"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                "signature": pa.array([next(signatures) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            })
 
+    return run
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in text_chunks(batches, "text"):
-        sets = [s.view(np.int64) for s in shingle_sets(*bytes_of(chunk.column("text")))]
-        yield pa.RecordBatch.from_pydict({"node": chunk.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+def _full_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, "text"):
+            sets = [s.view(np.int64) for s in shingle_sets(*bytes_of(chunk.column("text")), size)]
+            yield pa.RecordBatch.from_pydict({"node": chunk.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+    return run
 
 
 def table_keys() -> Column:
@@ -206,13 +212,13 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
         members = members.drop("comp")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, place, n_shingles, component_id, kept, node."""
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Per row: doc_id, place, n_shingles, component_id, kept, node; shingles have ``words`` words."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = as_files(docs.select("doc_id", "text"), scratch)
     placed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), locator(docs).alias("place"))
     ddl = "doc_id bigint, place struct<file: string, row: bigint>, n_shingles bigint, node bigint, signature array<bigint>"
-    rows = scratch.cut(placed.select(F.col("doc_id").cast("long"), "text", "place").mapInArrow(_sketch, ddl), "sketch")
+    rows = scratch.cut(placed.select(F.col("doc_id").cast("long"), "text", "place").mapInArrow(_sketch(words), ddl), "sketch")
     nodes = scratch.cut(
         rows.filter("node is not null").groupBy("node")
         .agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.min("place").alias("place")),
@@ -221,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids, "node").select("node", "place")
-        return placed.select("text", "place").join(wanted, "place").select("node", "text").mapInArrow(_full_sets, "node bigint, shingles array<bigint>")
+        return placed.select("text", "place").join(wanted, "place").select("node", "text").mapInArrow(_full_sets(words), "node bigint, shingles array<bigint>")
 
     comps = link_nodes(nodes.select("node", "n_shingles", "signature"), sets_of, scratch)
     linked = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -233,12 +239,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.filter("node is not null").join(ids, "node").select(*columns).unionByName(bare.select(*columns))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each component of near-duplicates, columns unchanged."""
     scratch = Scratch(docs.sparkSession, "near-drop")
     docs = as_files(docs, scratch)
     columns, place = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "place")
-    found = scratch.cut(near_duplicates(docs), "found")
+    found = scratch.cut(near_duplicates(docs, words), "found")
     # Rows of one id and component: the first place stays.
     first = found.filter("kept").groupBy("component_id", "node").agg(F.min("place").alias("place")).groupBy("component_id").agg(F.min("place").alias("place"))
     gone = found.filter("n_shingles > 0").join(first, "place", "left_anti").select(F.col("place").alias(place))
