@@ -8,7 +8,9 @@ missed with probability 1e-4, at 0.9 with 1e-7.
 Candidates are confirmed on the full shingle sets. Within a bucket no pair list is built: members are compared
 with a few pivots per round, links are contracted to components, and only buckets that still hold more than
 one component go on, without the pivots already compared with all. Rounds end when no bucket is open, so no
-candidate is capped.
+candidate is capped. A bucket that stays open with many members holds texts that share a passage but are
+unlike otherwise; its members are dealt anew by their rarest shingles (the prefix that every linked pair must
+share), which parts them exactly.
 
 Defined results: A-Z are lower-cased and words are runs without ASCII white space; fewer words than a shingle
 form one shingle; a text without words (or null) has no shingle and is linked with nothing. Sets are told
@@ -24,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, bytes_of, fresh, text_chunks
@@ -32,7 +34,7 @@ from newsloom.llm.exact_dedup import as_files, locator
 
 WORDS, COLLECTIONS, PER_COLLECTION = 4, 12, 2
 SHARED, UNION = 100, 80  # linked if SHARED * intersection >= UNION * union
-PIVOTS = 16
+PIVOTS, LARGE = 16, 48
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -170,6 +172,24 @@ def _alike(n: Column, m: Column) -> Column:
     return SHARED * F.least(n, m) >= UNION * F.greatest(n, m)
 
 
+def rare_prefixes(sets: DataFrame) -> DataFrame:
+    """(key, node): the shingles of each set's prefix, rarest first, that another set has too.
+
+    A linked pair has at least UNION / SHARED of either set in common, hence a shingle of both prefixes.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    spread = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("sets", "key"))
+    prefix = F.col("n") - F.ceil(F.lit(UNION) * F.col("n") / SHARED) + 1
+    return each.join(spread, "key").withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("sets") > 1)).select("key", "node")
+
+
+def _open(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, size) of buckets with more than one component."""
+    sizes = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+    return scratch.cut(sizes.filter("low < high").select("key", "size"), "open")
+
+
 def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node that shares a bucket; ``nodes`` has node, n_shingles, signature.
 
@@ -178,38 +198,49 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     keys = nodes.select("node", "n_shingles", F.explode(table_keys()).alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n_shingles")).alias("pivot")).filter("size > 1")
     members = scratch.cut(keys.join(buckets.select("key", "pivot"), "key"), "members")
-    comps = scratch.cut(members.groupBy("node").agg(F.min("node").alias("comp")), "comps")
+    comps = scratch.cut(members.groupBy("node").agg(F.min("node").alias("comp"), F.first("n_shingles").alias("n_shingles")), "comps")
+    sizes, comps = comps.select("node", "n_shingles"), comps.select("node", "comp")
     sets = scratch.cut(sets_of(comps.select("node")), "sets")
-    pairs = members.filter(F.col("node") != F.col("pivot.node")).select("key", F.col("pivot.node").alias("a"), F.col("pivot.n_shingles").alias("n"), F.col("node").alias("b"), F.col("n_shingles").alias("m"))
-    used = members.select("key", F.col("pivot.node").alias("node")).distinct()
-    members = members.select("key", "node", "n_shingles")
-    while True:
-        pairs = scratch.cut(pairs.filter(_alike(F.col("n"), F.col("m"))).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m")), "pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Components after linking the pairs (a, n, b, m) that the full sets confirm."""
+        checked = scratch.cut(pairs.filter(_alike(F.col("n"), F.col("m"))).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m")), "pairs")
         shared = F.size(F.array_intersect("sa", "sb"))
-        linked = (
-            pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        sure = (
+            checked.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .filter(SHARED * shared >= UNION * (F.col("n") + F.col("m") - shared)).select("a", "b")
         )
-        linked = scratch.cut(linked, "linked")
         of = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        links = linked.join(of[0], "a").join(of[1], "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        comps = components(comps, links, scratch)
+        links = sure.join(of[0], "a").join(of[1], "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        return components(comps, links, scratch)
 
-        members = members.join(used, ["key", "node"], "left_anti").join(comps, "node").select("key", "node", "n_shingles", "comp")
-        open_keys = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        members = scratch.cut(members.join(open_keys, "key"), "members")
+    pivot = F.col("pivot.node")
+    comps = linked(
+        members.filter(F.col("node") != pivot).select(pivot.alias("a"), F.col("pivot.n_shingles").alias("n"), F.col("node").alias("b"), F.col("n_shingles").alias("m"))
+    )
+    members = members.filter(F.col("node") != pivot).select("key", "node", "n_shingles").join(comps, "node")
+    opened = _open(members, scratch)
+    large = members.join(opened.filter(F.col("size") > LARGE), "key", "left_semi").select("node").distinct()
+    dealt = rare_prefixes(sets.join(large, "node", "left_semi")).join(sizes, "node").join(comps, "node")
+    small = members.join(opened.filter(F.col("size") <= LARGE), "key", "left_semi")
+    members = scratch.cut(small.select("key", "node", "n_shingles", "comp").unionByName(dealt.select("key", "node", "n_shingles", "comp")), "members")
+    members = members.select("key", "node", "n_shingles")
+    while True:
+        members = members.join(comps, "node")
+        members = scratch.cut(members.join(_open(members, scratch), "key", "left_semi").select("key", "node", "n_shingles", "comp"), "members")
         if members.isEmpty():
             return comps
         slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
         pivots = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n_shingles", "comp")).alias("pivot")).select("key", "pivot")
         pivots = scratch.cut(pivots, "pivots")
-        pairs = members.join(pivots, "key").filter("comp <> pivot.comp").select(
-            F.least("node", "pivot.node").alias("a"), F.when(F.col("node") < F.col("pivot.node"), F.col("n_shingles")).otherwise(F.col("pivot.n_shingles")).alias("n"),
-            F.greatest("node", "pivot.node").alias("b"), F.when(F.col("node") < F.col("pivot.node"), F.col("pivot.n_shingles")).otherwise(F.col("n_shingles")).alias("m"),
+        lower = F.col("node") < pivot
+        pairs = members.join(pivots, "key").filter(F.col("comp") != F.col("pivot.comp")).select(
+            F.least("node", "pivot.node").alias("a"), F.when(lower, F.col("n_shingles")).otherwise(F.col("pivot.n_shingles")).alias("n"),
+            F.greatest("node", "pivot.node").alias("b"), F.when(lower, F.col("pivot.n_shingles")).otherwise(F.col("n_shingles")).alias("m"),
         )
-        used = pivots.select("key", F.col("pivot.node").alias("node"))
-        members = members.drop("comp")
+        comps = linked(pairs)
+        members = members.join(pivots.select("key", pivot.alias("node")), ["key", "node"], "left_anti").select("key", "node", "n_shingles")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
