@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup, language_id, lattice_lm, mixing, near_dedup, toxicity, warc
+from newsloom.llm import decontaminate, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, toxicity, warc
 from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -95,6 +95,10 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -114,8 +118,8 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op3_near_dedup": OP3_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op10_warc": OP10_SQL, "op3_near_dedup": OP3_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_license_scan": licenses.oracle_sql()}
