@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, toxicity, warc
+from newsloom.llm import decontaminate, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, quotes, toxicity, warc
 from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,6 +72,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -118,8 +122,8 @@ FROM bits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
+    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op5_quote_links": op5_quote_links, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op3_near_dedup": OP3_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_license_scan": licenses.oracle_sql()}
+    return {"op10_warc": OP10_SQL, "op3_near_dedup": OP3_SQL, "op5_quote_links": quotes.ORACLE_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_license_scan": licenses.oracle_sql()}
