@@ -53,9 +53,9 @@ def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         code = wide[:count]
         for k in range(1, n):
             code = code << np.uint64(8) | wide[k : count + k]
-        good = solid[:count].copy() if n == 1 else solid[:count] | solid[n - 1 : count + n - 1]
+        good = solid[:count] if n == 1 else solid[:count] | solid[1 : count + 1] if n == 2 else np.ones(count, bool)
         for k in range(1, n - 1):
-            good &= solid[k : count + k]
+            good = good & solid[k : count + k]
         # A gram that starts with a blank belongs to the row of its next byte.
         at = owner[:count] if n == 1 else np.where(solid[:count], owner[:count], owner[1 : count + 1])
         out.append((at << np.uint64(32) | code)[good])
