@@ -37,7 +37,7 @@ def test_profiles_and_distances_equal_brute_force(spark):
         want[lang] = ranked(sum((gram_counts(t) for x, t in TEXTS if x == lang), Counter()), 40)
     assert learned == want
     ranker = language_id.Ranker(learned, 40)
-    texts = ["und der Hund ist nicht über", "the dog and the fox", "a", "", "été à la maison"]
+    texts = ["und der hund ist nicht über", "the dog and the fox", "a", "", "été à la maison"]
     data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
     apart = ranker.distances(data, off)[0]
     for row, text in enumerate(texts):
