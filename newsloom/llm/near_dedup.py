@@ -10,7 +10,8 @@ with a few pivots per round, links are contracted to components, and only bucket
 one component go on, without the pivots already compared with all. Rounds end when no bucket is open, so no
 candidate is capped. A bucket that stays open with many members holds texts that share a passage but are
 unlike otherwise; its members are dealt anew by their rarest shingles (the prefix that every linked pair must
-share), which parts them exactly.
+share), which parts them exactly: a shingle's rank in a set bounds the size of the sets that can still be
+linked through it, and pivots are those with the widest bound, the texts with the fewest shingles of their own.
 
 Defined results: A-Z are lower-cased and words are runs without ASCII white space; fewer words than a shingle
 form one shingle; a text without words (or null) has no shingle and is linked with nothing. Sets are told
@@ -34,7 +35,7 @@ from newsloom.llm.exact_dedup import as_files, locator
 
 WORDS, COLLECTIONS, PER_COLLECTION = 4, 12, 2
 SHARED, UNION = 100, 80  # linked if SHARED * intersection >= UNION * union
-PIVOTS, LARGE = 16, 48
+PIVOTS, LARGE = 48, 48
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -152,18 +153,21 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).filter("p < a")
-        parent = scratch.cut(parent, "parent")
+        parent, contracted = scratch.cut(parent, "parent"), links
         while True:
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             jumped = scratch.cut(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parent")
-            parent = jumped.drop("moved")
+            scratch.drop(parent)
+            parent = jumped
             if jumped.filter("moved").isEmpty():
                 break
+        parent = parent.drop("moved")
         to = parent.select(F.col("a").alias("comp"), "p")
         nodes = scratch.cut(nodes.join(to, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "nodes")
         a = links.join(parent, "a", "left").select(F.coalesce("p", "a").alias("a"), "b")
         b = a.join(parent.select(F.col("a").alias("b"), "p"), "b", "left").select("a", F.coalesce("p", "b").alias("b"))
         links = scratch.cut(b.filter("a <> b").distinct(), "links")
+        scratch.drop(contracted, jumped)
     return nodes
 
 
@@ -173,21 +177,38 @@ def _alike(n: Column, m: Column) -> Column:
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """(key, node): the shingles of each set's prefix, rarest first, that another set has too.
+    """(key, node, n_shingles, reach): the shingles of each set's prefix, rarest first, that another set has too.
 
-    A linked pair has at least UNION / SHARED of either set in common, hence a shingle of both prefixes.
+    If the first shingle that two sets share has rank r in one of size n, they share n - r + 1 at most, and a link
+    needs UNION / (SHARED + UNION) of both sizes together: ``reach`` is the largest size of the other set.
+    A link needs UNION / SHARED of either set, hence a reach of at least that share of the own size.
     """
-    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    each = sets.select("node", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("key"))
     spread = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("sets", "key"))
-    prefix = F.col("n") - F.ceil(F.lit(UNION) * F.col("n") / SHARED) + 1
-    return each.join(spread, "key").withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("sets") > 1)).select("key", "node")
+    reach = F.floor((F.col("n_shingles") - rank + 1) * (SHARED + UNION) / UNION + 1e-9) - F.col("n_shingles")
+    ranked = each.join(spread, "key").withColumn("reach", reach)
+    return ranked.filter((SHARED * F.col("reach") >= UNION * F.col("n_shingles")) & (F.col("sets") > 1)).select("key", "node", "n_shingles", "reach")
 
 
-def _open(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, size) of buckets with more than one component."""
-    sizes = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-    return scratch.cut(sizes.filter("low < high").select("key", "size"), "open")
+def _open(members: DataFrame) -> DataFrame:
+    """Members (key, node, n_shingles, reach, comp) that can still link with another component of their bucket.
+
+    Such a member reaches the least size of the other components, and one of them reaches its size.  One of a
+    pair is the smaller set, which reaches its own size; pivots are such members.
+    """
+    parts = members.groupBy("key", "comp").agg(F.min("n_shingles").alias("least"), F.max("reach").alias("widest"))
+    first = parts.groupBy("key").agg(F.min(F.struct("least", "comp")).alias("l"), F.max(F.struct("widest", "comp")).alias("w"))
+    bounds = parts.join(first, "key").groupBy("key").agg(
+        F.first("l").alias("l"), F.first("w").alias("w"), F.min(F.when(F.col("comp") != F.col("l.comp"), F.col("least"))).alias("l2"),
+        F.max(F.when(F.col("comp") != F.col("w.comp"), F.col("widest"))).alias("w2"),
+    )
+    least = F.when(F.col("comp") == F.col("l.comp"), F.col("l2")).otherwise(F.col("l.least"))
+    widest = F.when(F.col("comp") == F.col("w.comp"), F.col("w2")).otherwise(F.col("w.widest"))
+    able = members.join(bounds.filter("l2 is not null"), "key").filter((F.col("reach") >= least) & (F.col("n_shingles") <= widest))
+    able = able.select("key", "node", "n_shingles", "reach", "comp")
+    going = able.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max((F.col("reach") >= F.col("n_shingles")).cast("int")).alias("pivots"))
+    return able.join(going.filter("low < high and pivots = 1").select("key"), "key")
 
 
 def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
@@ -198,8 +219,7 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     keys = nodes.select("node", "n_shingles", F.explode(table_keys()).alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n_shingles")).alias("pivot")).filter("size > 1")
     members = scratch.cut(keys.join(buckets.select("key", "pivot"), "key"), "members")
-    comps = scratch.cut(members.groupBy("node").agg(F.min("node").alias("comp"), F.first("n_shingles").alias("n_shingles")), "comps")
-    sizes, comps = comps.select("node", "n_shingles"), comps.select("node", "comp")
+    comps = scratch.cut(members.select("node", F.col("node").alias("comp")).distinct(), "comps")
     sets = scratch.cut(sets_of(comps.select("node")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -213,34 +233,37 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
         )
         of = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         links = sure.join(of[0], "a").join(of[1], "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        return components(comps, links, scratch)
+        out = components(comps, links, scratch)
+        scratch.drop(checked)
+        return out
 
     pivot = F.col("pivot.node")
     comps = linked(
         members.filter(F.col("node") != pivot).select(pivot.alias("a"), F.col("pivot.n_shingles").alias("n"), F.col("node").alias("b"), F.col("n_shingles").alias("m"))
     )
-    members = members.filter(F.col("node") != pivot).select("key", "node", "n_shingles").join(comps, "node")
-    opened = _open(members, scratch)
-    large = members.join(opened.filter(F.col("size") > LARGE), "key", "left_semi").select("node").distinct()
-    dealt = rare_prefixes(sets.join(large, "node", "left_semi")).join(sizes, "node").join(comps, "node")
-    small = members.join(opened.filter(F.col("size") <= LARGE), "key", "left_semi")
-    members = scratch.cut(small.select("key", "node", "n_shingles", "comp").unionByName(dealt.select("key", "node", "n_shingles", "comp")), "members")
-    members = members.select("key", "node", "n_shingles")
+    any_size = F.lit(2**31 - 1).cast("long").alias("reach")
+    members = members.filter(F.col("node") != pivot).select("key", "node", "n_shingles", any_size).join(comps, "node")
+    sizes = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+    sizes = scratch.cut(sizes.filter("low < high").select("key", "size"), "open")
+    large = members.join(sizes.filter(F.col("size") > LARGE), "key", "left_semi").select("node").distinct()
+    small = members.join(sizes.filter(F.col("size") <= LARGE), "key", "left_semi").drop("comp")
+    members = scratch.cut(rare_prefixes(sets.join(large, "node", "left_semi")).unionByName(small), "members")
     while True:
-        members = members.join(comps, "node")
-        members = scratch.cut(members.join(_open(members, scratch), "key", "left_semi").select("key", "node", "n_shingles", "comp"), "members")
+        members = scratch.cut(_open(members.join(comps, "node")).select("key", "node", "n_shingles", "reach", "comp"), "members")
         if members.isEmpty():
             return comps
         slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-        pivots = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n_shingles", "comp")).alias("pivot")).select("key", "pivot")
-        pivots = scratch.cut(pivots, "pivots")
+        best = F.min(F.struct((-F.col("reach")).alias("order"), "node", "n_shingles", "reach", "comp")).alias("pivot")
+        pivots = scratch.cut(members.filter("reach >= n_shingles").groupBy("key", slot.alias("slot")).agg(best).select("key", "pivot"), "pivots")
         lower = F.col("node") < pivot
-        pairs = members.join(pivots, "key").filter(F.col("comp") != F.col("pivot.comp")).select(
+        pairs = members.join(pivots, "key").filter("comp <> pivot.comp and n_shingles <= pivot.reach and pivot.n_shingles <= reach").select(
             F.least("node", "pivot.node").alias("a"), F.when(lower, F.col("n_shingles")).otherwise(F.col("pivot.n_shingles")).alias("n"),
             F.greatest("node", "pivot.node").alias("b"), F.when(lower, F.col("pivot.n_shingles")).otherwise(F.col("n_shingles")).alias("m"),
         )
         comps = linked(pairs)
-        members = members.join(pivots.select("key", pivot.alias("node")), ["key", "node"], "left_anti").select("key", "node", "n_shingles")
+        rest = scratch.cut(members.join(pivots.select("key", pivot.alias("node")), ["key", "node"], "left_anti").drop("comp"), "rest")
+        scratch.drop(members, pivots)
+        members = rest
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
