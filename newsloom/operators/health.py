@@ -96,16 +96,16 @@ def freshness(runs: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def batch_progress(batches: DataFrame, items: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Progress and final status of each batch, with running names and remaining.
+    """Progress and final status of each batch, with the running items and remaining.
 
-    ``items``: batch_id, source_name, status, job_id; ``runs``: job_id and counters.  Only names of
-    items that run right now are listed, at most one per worker slot.
+    ``items``: batch_id, source_name, status, job_id; ``runs``: job_id and counters.  Running items are counted
+    and the first is named; ``current_sources`` lists them as rows, since a batch may run any number.
     """
     n = lambda *v: F.count_if(F.col("status").isin(*v))
     counted = items.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("item_count"), n(*TERMINAL).alias("completed_count"), n("success").alias("success_count"),
         n("empty").alias("empty_count"), n("failed").alias("failed_count"), n("skipped", "cancelled").alias("skipped_count"),
-        F.array_sort(F.collect_list(F.when(F.col("status") == "running", F.col("source_name")))).alias("current_sources"),
+        n("running").alias("running_count"), F.min(F.when(F.col("status") == "running", F.col("source_name"))).alias("first_current"),
     )
     out = batches.join(counted, "batch_id", "left")
     if runs is not None:
@@ -121,6 +121,11 @@ def batch_progress(batches: DataFrame, items: DataFrame, runs: DataFrame | None
     })
 
 
+def current_sources(items: DataFrame) -> DataFrame:
+    """(batch_id, source_name) of the items that run right now."""
+    return items.filter(F.col("status") == "running").select("batch_id", "source_name")
+
+
 def runnable() -> Column:
     """Enabled, active and not a manual source."""
     return (

@@ -33,16 +33,17 @@ GRAM = 4
 PIVOTS = 64
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(earlier: pd.Series, later: pd.Series) -> pd.Series:
-    """Matching-blocks ratio; 0 when a cheap upper bound already rules the pair out."""
+def sequence_ratio(earlier: Column, later: Column, t: float = TITLE_THRESHOLD) -> Column:
+    """Matching-blocks ratio; 0 when a cheap upper bound already rules out a ratio of ``t``."""
     def one(a: str, b: str) -> float:
         m = SequenceMatcher(None, a, b)
-        if m.quick_ratio() < TITLE_THRESHOLD:
-            return 0.0
-        return m.ratio()
+        return m.ratio() if m.quick_ratio() >= t else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(earlier, later)], dtype="float64")
+    @F.pandas_udf(T.DoubleType())
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return ratios(earlier, later)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

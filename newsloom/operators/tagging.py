@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import bind, contains_any, labels_where, percent_tokens, terms_found
 from newsloom.rules import Alias, Gazetteer, Rule
-from newsloom.skew import keyed_lookup
+from newsloom.skew import counted_broadcast, keyed_lookup
 
 # Evidence weights and thresholds of the gates.
 COUNTRY_WEIGHT, SIGNAL_WEIGHT, GATE_CAP, GATE_MIN = "0.48", "0.14", "0.99", "0.55"
@@ -255,33 +255,25 @@ def products_for(industries: Column, table: Sequence[tuple[str, Sequence[str]]])
     return F.array_distinct(F.flatten(F.transform(industries, lambda i: F.coalesce(F.element_at(lookup, i), empty))))
 
 
-def match_terms(
-    docs: DataFrame, text: str, doc_id: str, terms: DataFrame, max_broadcast: int = 5000, gram: int = 4
-) -> DataFrame:
-    """(doc, label, term) for every dictionary term inside a text, for any table size.
+def match_terms(docs: DataFrame, text: str, doc_id: str, terms: DataFrame, gram: int = 4) -> DataFrame:
+    """(doc, label, term) for every dictionary term inside a text, for a dictionary of any size.
 
-    Up to ``max_broadcast`` counted terms are broadcast and tested with ``contains``.
-    Larger tables go through an equi-join on the first ``gram`` characters of the term
-    (the text contributes each distinct substring of that length once), verified with
-    ``contains``; shorter terms stay with the broadcast form.
+    The first ``gram`` characters of a term (all of a shorter one) are its seed.  A text gives each distinct
+    substring of the seeds' lengths once; only those that are seeds go on, are joined with the terms and
+    verified against the text.
     """
-    terms = terms.select("label", "term").filter(F.col("term") != "").distinct()
+    terms = terms.select("label", "term").filter(F.col("term") != "").distinct().withColumn("_t", F.lower("term"))
+    terms = terms.withColumn("_g", F.substring("_t", 1, gram))
+    lengths = [r[0] for r in terms.select(F.char_length("_g").alias("n")).distinct().orderBy("n").collect()]  # at most ``gram`` rows
     low = docs.select(doc_id, F.lower(text).alias("_low"))
-    terms = terms.withColumn("_t", F.lower("term"))
-    if terms.limit(max_broadcast + 1).count() <= max_broadcast:
-        return low.join(F.broadcast(terms), F.contains(F.col("_low"), F.col("_t"))).select(doc_id, "label", "term")
-    short = terms.filter(F.char_length("_t") < gram)
-    if short.limit(max_broadcast + 1).count() > max_broadcast:
-        raise ValueError("too many short terms; lower gram")
-    long = terms.filter(F.char_length("_t") >= gram).withColumn("_g", F.substring("_t", 1, gram))
-    grams = low.select(
-        doc_id,
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length("_low") - gram + 1, F.lit(1))),
-            lambda i: F.substr(F.col("_low"), i, F.lit(gram)),
-        ))).alias("_g"),
-    )
-    anchored = keyed_lookup(grams, long, ["_g"], doc_id, how="inner").join(low, doc_id).filter(F.contains(F.col("_low"), F.col("_t")))
-    direct = low.join(F.broadcast(short), F.contains(F.col("_low"), F.col("_t")))
-    cols = (doc_id, "label", "term")
-    return anchored.select(*cols).unionByName(direct.select(*cols)).distinct()
+
+    def cut(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length("_low") - n + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("_low"), i, F.lit(n))))
+
+    grams = low.select(doc_id, F.explode(F.flatten(F.array(*[cut(n) for n in lengths])) if lengths else F.array().cast("array<string>")).alias("_g"))
+    seeds = counted_broadcast(terms.select("_g").distinct())
+    found = grams.join(seeds, "_g", "left_semi")
+    pairs = keyed_lookup(found, terms, ["_g"], doc_id, how="inner").groupBy(doc_id).agg(F.collect_set(F.struct("label", "term", "_t")).alias("_c"))
+    near = low.join(pairs, doc_id).select(doc_id, F.explode(F.filter("_c", lambda c: F.contains(F.col("_low"), c["_t"]))).alias("_c"))
+    return near.select(doc_id, "_c.label", "_c.term").distinct()

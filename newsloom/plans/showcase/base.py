@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import cut_lineage, spread_small_input
+from newsloom.session import cut_lineage
 from newsloom.rules import Alias, EventRule, Gazetteer, RelevanceRules, alias_strength, rule_list
 
 AS_OF = datetime(2025, 2, 4, tzinfo=timezone.utc)
@@ -47,8 +47,6 @@ WEAK, STRONG = ("thly", "heit", "ado", "thst"), ("ement",)
 COMPANY_CONTEXT, OVERSEAS_CONTEXT = ("tion", "ung"), ("thing", "licht", "asci")
 ALIASES = tuple(Alias(a, w, alias_strength(w, WEAK, STRONG)) for a, ws in ACCOUNT_WORDS for w in ws)
 
-GAZETTEER_SIZE_LIMIT = 1000
-
 RELEVANCE = RelevanceRules(
     entities=(("thonea", "unit-1"), ("theron", "unit-2"), ("erkeit", "unit-3"), ("queque", "unit-4"), ("thon", "unit-5")),
     places=tuple((w, f"NATION_{k}", f"AREA_{k % 5}") for k, ws in PLACE_WORDS for w in ws),
@@ -101,7 +99,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: whole text, title, derived dates, source attributes and address."""
-    d = spread_small_input(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     no = F.substring("source", 4, 9).cast("int")
     kinds = F.array(*[F.lit(x) for x in ("official", "media", "procurement", "policy", "competitor")])
     levels = F.array(*[F.lit(x) for x in ("low", "medium", "high")])
@@ -109,7 +107,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("doc_id") % 11 == 5, F.col("doc_id") - 4).otherwise(F.col("doc_id"))
     return d.select(
         "doc_id", "text", "lang", "source",
-        F.substring(F.regexp_extract(F.substring_index("text", "\n", 1), "^[^.!?|]*", 0), 1, TITLE_WIDTH).alias("title"),
+        F.regexp_extract(F.substring_index("text", "\n", 1), "^[^.!?|]*", 0).alias("title"),
         F.when(F.col("doc_id") % 37 != 0, day + F.make_dt_interval((F.col("doc_id") % 400).cast("int"))).alias("published_at"),
         (day + F.make_dt_interval((F.col("doc_id") % 400).cast("int"), F.lit(6))).alias("fetched_at"),
         F.get(kinds, no % 5).alias("source_type"),
@@ -118,16 +116,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The title is the first sentence of the first line, in the width of the title column.
-
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored web pages."""
-    return spread_small_input(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
-TITLE_WIDTH = 500
-TITLE_SQL = "substr(regexp_extract(split_part(text, chr(10), 1), '^[^.!?|]*'), 1, 500)"
+# The title is the first sentence of the first line.
+TITLE_SQL = "regexp_extract(split_part(text, chr(10), 1), '^[^.!?|]*')"
 
 DOCS_CTE = f"""
 d AS (
@@ -144,11 +140,10 @@ d AS (
 
 
 def places(spark: SparkSession, sf_dir: str) -> Gazetteer:
-    """Gazetteer of the nation and region tables (25 rows) with the sample spellings."""
+    """Gazetteer of the sample spellings: the rows of the nation and region tables that they name."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name").limit(GAZETTEER_SIZE_LIMIT + 1).collect()
-    if len(rows) > GAZETTEER_SIZE_LIMIT:
-        raise ValueError("the gazetteer is too large for literals; use match_terms")
+    spelled = n.filter(F.col("n_nationkey").isin([k for k, _ in PLACE_WORDS]))
+    rows = spelled.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name").collect()
     names = {x.n_nationkey: (x.n_name, x.r_name) for x in rows}
     return Gazetteer(tuple((*names[k], words) for k, words in PLACE_WORDS), SIGNALS)
 

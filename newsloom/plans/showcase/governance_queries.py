@@ -58,10 +58,10 @@ def policy_country(spark, sf):
 
 
 def org_entities(spark, sf):
-    """Organisation list: equality filters and a two-key sort, first twenty."""
+    """Organisation list: equality filters and a two-key sort, every row."""
     c = table(spark, sf, "customer").withColumns({"active": F.col("c_custkey") % 4 != 0, "level": F.col("c_mktsegment")})
     out = search.equality_filters(c, level="BUILDING", active=True, c_nationkey=None)
-    return out.orderBy("c_nationkey", "c_name").limit(20).select("c_custkey", "c_name")
+    return out.orderBy("c_nationkey", "c_name").select("c_custkey", "c_name")
 
 
 def page_change_reviews(spark, sf):
@@ -138,7 +138,7 @@ ORACLE = {
           nullif(regexp_extract(text, '([a-z]{{2,20}} (?:thing|ment))', 1), '') AS person_title, org AS organization, ent AS matched_entity, round(coalesce(cf, 0.45), 2)::DOUBLE AS confidence
         FROM x LEFT JOIN t USING (doc_id) WHERE action IN ('meeting', 'appointment')""",
     "policy_country": f"WITH {DOCS_CTE}, {GATE_CTE} SELECT doc_id FROM g WHERE list_has_any(labels, {sql_list(POLICY_LABELS)}) AND country = 'NATION_3'",
-    "org_entities": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 4 <> 0 ORDER BY c_nationkey, c_name LIMIT 20",
+    "org_entities": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 4 <> 0 ORDER BY c_nationkey, c_name",
     "page_change_reviews": f"""WITH {_VERS} SELECT url || '-' || captured_at AS change_id, CASE WHEN url % 2 = 0 THEN ['verified', 'rejected', 'pending_review'][url % 3 + 1] ELSE 'pending_review' END AS verification_status FROM chg WHERE ph IS NOT NULL""",
     "retained_versions": f"WITH {DOCS_CTE} SELECT doc_id FROM d WHERE fetched_at >= TIMESTAMP '2025-02-04' - INTERVAL 366 DAY",
     "undated_split": f"WITH {DOCS_CTE} SELECT CASE WHEN published_at IS NULL THEN 'undated' ELSE 'dated' END AS side, count(*) AS n FROM d GROUP BY 1",

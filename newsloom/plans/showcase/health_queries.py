@@ -104,11 +104,9 @@ def batch_progress(spark, sf):
     r = runs(spark, sf)
     kinds = F.get(F.array(*[F.lit(x) for x in ("success", "empty", "failed", "skipped", "running", "success", "cancelled")]), (F.col("run_id") % 7).cast("int"))
     items = r.select((F.col("source_name") % 10).alias("batch_id"), F.col("source_name").cast("string").alias("source_name"), F.when(F.col("source_name") % 10 > 6, "success").otherwise(kinds).alias("status"), F.col("run_id").alias("job_id"))
-    # Few sources run at once, so the running names of a batch are distinct source names.
-    items = items.withColumn("status", F.when((F.col("status") == "running") & (F.col("job_id") > 200), "success").otherwise(F.col("status")))
     batches = items.select("batch_id").distinct().withColumns({"status": F.lit("running"), "cancel_requested": F.col("batch_id") == 8})
     out = health.batch_progress(batches, items, r.select(F.col("run_id").alias("job_id"), "new_count", "updated_count", "duplicate_count"))
-    return out.select("batch_id", "status", "item_count", "completed_count", "failed_count", "skipped_count", F.array_join("current_sources", ",").alias("current_sources"), "remaining", "new_count", "updated_count", "duplicate_count")
+    return out.select("batch_id", "status", "item_count", "completed_count", "failed_count", "skipped_count", "first_current", "running_count", "remaining", "new_count", "updated_count", "duplicate_count")
 
 
 def work_list(spark, sf):
@@ -143,7 +141,7 @@ def source_health(spark, sf):
 
 def source_list(spark, sf):
     """Every source with its latest run counters."""
-    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_name")).filter("source_name < 400")
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_name"))
     out = health.with_latest_run(s, runs(spark, sf))
     return out.select("source_name", "latest_status", num("latest_fetched"), num("latest_new"), num("latest_skipped"))
 
@@ -184,14 +182,13 @@ ORACLE = {
         SELECT {_T('last')} AS last_successful_update, n AS last_new_count, r AS running_count, r > 0 AS is_updating,
           CAST(floor((epoch_us(TIMESTAMP '2024-01-31 01:30:00') - epoch_us(last)) / 60000000) AS BIGINT) AS data_delay_minutes,
           CASE WHEN last IS NULL THEN 'unknown' WHEN floor((epoch_us(TIMESTAMP '2024-01-31 01:30:00') - epoch_us(last)) / 60000000) <= 180 THEN 'healthy' ELSE 'delayed' END AS delay_status FROM q""",
-    "batch_progress": f"""WITH {RUNS_CTE}, i0 AS (SELECT source_name % 10 AS batch_id, CAST(source_name AS VARCHAR) AS source_name, run_id, new_count, updated_count, duplicate_count,
-            CASE WHEN source_name % 10 > 6 THEN 'success' ELSE ['success', 'empty', 'failed', 'skipped', 'running', 'success', 'cancelled'][run_id % 7 + 1] END AS st FROM runs),
-          i AS (SELECT *, CASE WHEN st = 'running' AND run_id > 200 THEN 'success' ELSE st END AS status FROM i0),
+    "batch_progress": f"""WITH {RUNS_CTE}, i AS (SELECT source_name % 10 AS batch_id, CAST(source_name AS VARCHAR) AS source_name, run_id, new_count, updated_count, duplicate_count,
+            CASE WHEN source_name % 10 > 6 THEN 'success' ELSE ['success', 'empty', 'failed', 'skipped', 'running', 'success', 'cancelled'][run_id % 7 + 1] END AS status FROM runs),
           b AS (SELECT batch_id, count(*) AS item_count, count(*) FILTER (status <> 'running') AS completed_count, count(*) FILTER (status = 'failed') AS failed_count,
-            count(*) FILTER (status IN ('skipped', 'cancelled')) AS skipped_count, coalesce(string_agg(source_name, ',' ORDER BY source_name) FILTER (status = 'running'), '') AS current_sources,
+            count(*) FILTER (status IN ('skipped', 'cancelled')) AS skipped_count, min(source_name) FILTER (status = 'running') AS first_current, count(*) FILTER (status = 'running') AS running_count,
             CAST(sum(new_count) AS BIGINT) AS new_count, CAST(sum(updated_count) AS BIGINT) AS updated_count, CAST(sum(duplicate_count) AS BIGINT) AS duplicate_count FROM i GROUP BY 1)
         SELECT batch_id, CASE WHEN completed_count < item_count THEN 'running' WHEN batch_id = 8 THEN 'cancelled' WHEN failed_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status,
-          item_count, completed_count, failed_count, skipped_count, current_sources, item_count - completed_count AS remaining, new_count, updated_count, duplicate_count FROM b""",
+          item_count, completed_count, failed_count, skipped_count, first_current, running_count, item_count - completed_count AS remaining, new_count, updated_count, duplicate_count FROM b""",
     "work_list": f"WITH {SOURCES_CTE} SELECT source_name, CASE WHEN runnable THEN 'queued' ELSE 'skipped' END AS status, CASE WHEN NOT runnable THEN adapter_status || '/' || crawl_method END AS skip_reason FROM ok",
     "overdue_sources": f"WITH {SOURCES_CTE} SELECT source_name, {_T('ok.next_run_at')} AS next_run_at FROM ok WHERE runnable AND ok.next_run_at <= TIMESTAMP '2024-01-31 01:30:00' ORDER BY ok.next_run_at, source_name LIMIT 50",
     "gap_report": f"WITH {SOURCES_CTE} SELECT source_name, CASE WHEN k % 4 = 0 THEN 'already_active' ELSE 'queued' END AS decision FROM src WHERE adapter_status = 'active' AND backfill_enabled",
@@ -204,7 +201,7 @@ ORACLE = {
         count(*) FILTER (backfill_enabled AND backfill_status NOT IN ('completed', 'unsupported')) AS backfill_pending, count(*) FILTER (NOT backfill_enabled OR backfill_status = 'unsupported') AS backfill_unsupported FROM src""",
     "source_list": f"""WITH {RUNS_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY started_at DESC, run_id DESC) AS rn FROM runs)
         SELECT c_custkey AS source_name, coalesce(status, 'never') AS latest_status, coalesce(fetched_count, 0) AS latest_fetched, coalesce(new_count, 0) AS latest_new,
-          coalesce(greatest(0, fetched_count - new_count - updated_count - duplicate_count), 0) AS latest_skipped FROM customer LEFT JOIN r ON r.source_name = c_custkey AND rn = 1 WHERE c_custkey < 400""",
+          coalesce(greatest(0, fetched_count - new_count - updated_count - duplicate_count), 0) AS latest_skipped FROM customer LEFT JOIN r ON r.source_name = c_custkey AND rn = 1""",
     "catalog_upsert": f"""WITH {SOURCES_CTE}, j AS (SELECT *, k % 10 <> 0 AS stored, k % 10 <> 9 AS incoming, CASE WHEN k % 3 = 0 THEN 'active' ELSE 'disabled' END AS want FROM src),
         q AS (SELECT *, CASE WHEN stored AND adapter_status = 'paused' AND consecutive_failures >= 5 AND want = 'active' THEN 'paused' ELSE want END AS st,
           CASE WHEN NOT stored OR (adapter_status IN ('pending_adapter', 'disabled') AND want = 'active') THEN TRUE ELSE enabled END AS en FROM j)

@@ -80,7 +80,7 @@ def _attached(spark, sf):
     """Evidence rows: every document attached to the first document of its content or month and source pair."""
     d = docs(spark, sf)
     return d.select(
-        (F.col("doc_id") % 150).alias("article_id"), F.col("doc_id").alias("arrival_seq"), F.concat(F.lit("u/"), (F.col("doc_id") % 450).cast("string")).alias("url"), F.col("source").alias("source_name"),
+        (F.col("doc_id") - F.col("doc_id") % 7).alias("article_id"), F.col("doc_id").alias("arrival_seq"), F.concat(F.lit("u/"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string")).alias("url"), F.col("source").alias("source_name"),
         "source_type", F.col("source_type").isin("official", "procurement", "policy").alias("first_party"),
     )
 
@@ -90,11 +90,11 @@ def source_attachment(spark, sf):
 
 
 def primary_promotion(spark, sf):
-    a = docs(spark, sf).filter("doc_id < 150").select(
+    a = docs(spark, sf).filter("doc_id % 7 = 0").select(
         F.col("doc_id").alias("article_id"), F.col("source").alias("source_name"), "source_type", "reliability_level", F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source_type").isin("official", "policy").alias("is_primary_source"), F.lit("unverified").alias("verification_status"),
     )
-    e = _attached(spark, sf).filter("arrival_seq >= 150")
+    e = _attached(spark, sf).filter("arrival_seq <> article_id")
     return dedup.promote_primary(a, e)
 
 
@@ -137,7 +137,7 @@ _ER = _E.replace("WITH ", "WITH RECURSIVE ", 1)
 # DuckDB measures bytes, Spark characters: accented letters become capitals, which lower text never holds.
 _ASCII = lambda x: f"translate({x}, 'éèêçßüöäñóáíú', 'ABCDEFGHIJKLM')"
 _SIM = lambda a, b: f"1 - levenshtein({_ASCII(a)}, {_ASCII(b)}) / greatest(length({a}), length({b}), 1)"
-_ATT = """t AS (SELECT doc_id % 150 AS article_id, doc_id AS arrival_seq, 'u/' || (doc_id % 450) AS url, source AS source_name, source_type, source_type IN ('official', 'procurement', 'policy') AS first_party FROM d)"""
+_ATT = """t AS (SELECT doc_id - doc_id % 7 AS article_id, doc_id AS arrival_seq, 'u/' || (doc_id - doc_id % 3) AS url, source AS source_name, source_type, source_type IN ('official', 'procurement', 'policy') AS first_party FROM d)"""
 _OCASE = "CASE WHEN contains(sq, 'thonea') THEN 'merged' WHEN contains(sq, 'estion') OR contains(sq, 'ungen') THEN 'renamed' WHEN contains(sq, 'eation') THEN 'established' WHEN contains(text, 'ndtion') AND contains(text, 'tion') THEN 'dissolved' WHEN contains(text, 'oument') AND contains(text, 'tion') THEN 'split' END"
 _JL = lambda c: f"'[' || array_to_string(list_transform(list_sort({c}), lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'"
 _JS = lambda c: f"CAST(to_json(coalesce({c}, '')) AS VARCHAR)"
@@ -171,8 +171,8 @@ ORACLE = {
         FROM step s WHERE s.n > 0""",
     "url_groups": f"""WITH {DOCS_CTE} SELECT url_key, min(doc_id) AS leader_seq, count(*) AS copies, strftime(max(fetched_at), '%Y-%m-%d %H:%M') AS last_seen FROM d GROUP BY 1""",
     "source_attachment": f"WITH {DOCS_CTE}, {_ATT} SELECT article_id, url, min(arrival_seq) AS arrival_seq, arg_min(source_name, arrival_seq) AS source_name FROM t GROUP BY 1, 2",
-    "primary_promotion": f"""WITH {DOCS_CTE}, {_ATT}, f AS (SELECT article_id, arg_min(struct_pack(s := source_name, y := source_type, u := url), arrival_seq) AS v FROM t WHERE first_party AND arrival_seq >= 150 GROUP BY 1),
-        a AS (SELECT d.*, v, v IS NOT NULL AND NOT (reliability_level = 'high' AND source_type IN ('official', 'policy')) AS take FROM d LEFT JOIN f ON f.article_id = d.doc_id WHERE d.doc_id < 150)
+    "primary_promotion": f"""WITH {DOCS_CTE}, {_ATT}, f AS (SELECT article_id, arg_min(struct_pack(s := source_name, y := source_type, u := url), arrival_seq) AS v FROM t WHERE first_party AND arrival_seq <> article_id GROUP BY 1),
+        a AS (SELECT d.*, v, v IS NOT NULL AND NOT (reliability_level = 'high' AND source_type IN ('official', 'policy')) AS take FROM d LEFT JOIN f ON f.article_id = d.doc_id WHERE d.doc_id % 7 = 0)
         SELECT doc_id AS article_id, CASE WHEN take THEN v.s ELSE source END AS source_name, CASE WHEN take THEN v.y ELSE source_type END AS source_type, CASE WHEN take THEN 'high' ELSE reliability_level END AS reliability_level,
           CASE WHEN take THEN v.u ELSE 'u/' || doc_id END AS url, take OR source_type IN ('official', 'policy') AS is_primary_source, CASE WHEN take THEN 'source_verified' ELSE 'unverified' END AS verification_status FROM a""",
     "duplicate_ledger": f"WITH {DOCS_CTE} SELECT md5(lower(title)) AS url, min(doc_id) // 3 AS leader_seq, 'content_hash' AS match_method, 1.0::DOUBLE AS match_score FROM d WHERE doc_id % 3 <> 0 GROUP BY 1",

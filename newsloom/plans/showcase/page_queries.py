@@ -57,7 +57,7 @@ def api_documents(spark, sf):
     """Documents API pages: one payload per source, as a map or as a list."""
     d = docs(spark, sf).filter("published_at is not null")
     doc = F.struct(
-        F.when(F.col("doc_id") % 3 != 0, F.substring("title", 1, 60)).alias("display_title"), F.lit("Plan notice").alias("docty"),
+        F.when(F.col("doc_id") % 3 != 0, F.col("title")).alias("display_title"), F.lit("Plan notice").alias("docty"),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://docs.example.org/a/"), F.col("doc_id").cast("string"))).alias("url"),
         F.concat(F.lit("https://docs.example.org/pdf/"), F.col("doc_id").cast("string"), F.lit("/")).alias("pdfurl"),
         F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("docdt"), F.col("lang").alias("abstracts"), F.col("doc_id").cast("string").alias("projectid"),
@@ -125,10 +125,9 @@ def capability_summary(spark, sf):
 
 
 def _versions(spark, sf):
-    v = table(spark, sf, "conversations").select(F.col("conv_id").alias("url"), F.floor(F.col("turn") / 2).alias("v0"), "turn", "text")
-    # Every odd capture repeats the capture before it, so that unchanged versions occur.
-    even = v.filter("turn % 2 = 0").select("url", F.col("turn").alias("captured_at"), "text")
-    return even.unionByName(even.select("url", (F.col("captured_at") + 1).alias("captured_at"), "text"))
+    v = table(spark, sf, "conversations")
+    # Every turn is captured twice, so that unchanged versions occur.
+    return v.select(F.col("conv_id").alias("url"), F.explode(F.array(F.col("turn") * 2, F.col("turn") * 2 + 1)).alias("captured_at"), "text")
 
 
 def _changed(spark, sf):
@@ -191,7 +190,7 @@ _LONG = f"len(list_filter(regexp_extract_all({_drop('html', ('script', 'style'))
 _RESPQ = f"""{_RESP}, q AS (SELECT k, status, CASE WHEN k % 11 IN (5, 10) THEN k % 130 WHEN k % 11 = 9 THEN k % 150 WHEN status = 'reachable_no_content' THEN least({_LONG}, 200) ELSE 0 END AS test_count, html FROM r),
   z AS (SELECT CAST(k AS VARCHAR) AS source_name, status, CAST(test_count AS BIGINT) AS test_count, status IN ('rss_available', 'sitemap_available') AND test_count > 0 AS crawlable,
     CASE WHEN k % 11 IN (5, 9) THEN test_count >= 100 WHEN k % 11 = 0 AND test_count > 0 THEN regexp_matches(lower(html), '(archive|page=|pagination|下一页|older)') ELSE FALSE END AS one_year_backfill FROM q)"""
-_VERS = """v AS (SELECT conv_id AS url, turn AS captured_at, text FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn + 1, text FROM conversations WHERE turn % 2 = 0),
+_VERS = """v AS (SELECT conv_id AS url, unnest([turn * 2, turn * 2 + 1]) AS captured_at, text FROM conversations),
 w AS (SELECT *, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY url ORDER BY captured_at) AS ph, lag(text) OVER (PARTITION BY url ORDER BY captured_at) AS pt FROM v),
 chg AS (SELECT * FROM w WHERE h IS DISTINCT FROM ph)"""
 _DIFF = lambda a, b: f"list_sort(list_distinct(list_filter(string_split({a}, chr(10)), lambda x: NOT list_contains(string_split({b}, chr(10)), x))))"
@@ -219,7 +218,7 @@ ORACLE = {
         o AS (SELECT * FROM f ORDER BY ats DESC NULLS LAST, url LIMIT 40 OFFSET 40)
         SELECT {_SELF} AS url, trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[-_]+', ' ', 'g')) AS title, ats AS published_at FROM o
         WHERE length(trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[-_]+', ' ', 'g'))) >= 4""",
-    "api_documents": f"""WITH d AS ({_DOC}), t AS (SELECT *, trim(regexp_replace(coalesce(nullif(CASE WHEN doc_id % 3 <> 0 THEN substr(title, 1, 60) END, ''), 'Plan notice'), '{_W}', ' ', 'g')) AS shown FROM d WHERE ats IS NOT NULL)
+    "api_documents": f"""WITH d AS ({_DOC}), t AS (SELECT *, trim(regexp_replace(coalesce(nullif(CASE WHEN doc_id % 3 <> 0 THEN title END, ''), 'Plan notice'), '{_W}', ' ', 'g')) AS shown FROM d WHERE ats IS NOT NULL)
         SELECT CAST(doc_id AS VARCHAR) AS project_id, shown AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://docs.example.org/a/' || doc_id ELSE 'https://docs.example.org/pdf/' || doc_id END AS url, strftime(ats, '%Y-%m-%d') AS published_at, lang AS excerpt
         FROM t WHERE length(shown) >= 4""",
     "catalogue_selection": f"""WITH d AS ({_DOC}), a AS (SELECT doc_id, ats FROM d ORDER BY ats DESC NULLS LAST, doc_id LIMIT 25),

@@ -1,7 +1,10 @@
 """Tagging and scoring (D rows, C10, G12)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from newsloom import schemas
 from newsloom.functions.text import rule_summary
 from newsloom.operators import governance, tagging
 from newsloom.operators.scoring import analyze, longest_alias, sales_metadata, score_band
@@ -10,7 +13,8 @@ from newsloom.plans.showcase.base import (
     PRODUCT_WORDS, PROJECT_LABELS, RELEVANCE as R, docs, labels_column, places, sql_any, sql_first, sql_list, sql_str, table,
     tagged_docs, with_candidates,
 )
-from newsloom.rules import rule_list
+from newsloom.rules import read_rules, rule_labels, rule_list
+from newsloom.session import checkpoint_root
 
 join = lambda c, sep="|": F.array_join(c, sep)
 num = lambda c: c.cast("bigint")
@@ -57,6 +61,15 @@ def dictionary_matches(spark, sf):
     return tagging.match_terms(table(spark, sf, "documents"), "text", "doc_id", terms)
 
 
+def rule_table_labels(spark, sf):
+    """Labels of documents by rules that are stored, read and joined as a table."""
+    rows = [("topics", i, i, label, t, None, None, False) for i, (label, terms) in enumerate(LABEL_WORDS) for t in terms]
+    path = f"{checkpoint_root(spark)}/newsloom/rules-{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, schemas.RULES).write.json(path)
+    found = rule_labels(table(spark, sf, "documents"), "text", "doc_id", read_rules(spark, path), "topics")
+    return found.select("doc_id", "label", F.col("priority").cast("bigint").alias("priority"))
+
+
 def first_action(spark, sf):
     d = docs(spark, sf)
     return d.select(
@@ -166,7 +179,7 @@ def feed_routes(spark, sf):
 
 QUERIES = {
     "tag_gate": tag_gate, "account_hits": account_hits, "multi_label": multi_label, "multi_label_words": multi_label_words,
-    "alias_candidates": alias_candidates, "dictionary_matches": dictionary_matches, "first_action": first_action,
+    "alias_candidates": alias_candidates, "dictionary_matches": dictionary_matches, "rule_table_labels": rule_table_labels, "first_action": first_action,
     "policy_dimensions": policy_rows, "source_roles": source_roles, "longest_alias": longest_aliases, "relevance_facts": relevance_facts,
     "relevance_score": relevance_score, "score_bands": score_bands, "score_evidence": score_evidence, "relevance_texts": relevance_texts,
     "sales_metadata": sales_meta, "org_changes": org_changes, "org_headlines": org_headlines, "feed_routes": feed_routes,
@@ -272,6 +285,8 @@ ORACLE = {
         FROM (SELECT doc_id, lower(text) AS low FROM documents)""",
     "alias_candidates": f"""WITH {DOCS_CTE}, {CANDIDATE_CTE}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, account) - 1 AS rank, account, matched_entity, confidence::DOUBLE AS confidence, needs_review, evidence FROM c""",
+    "rule_table_labels": "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(label)}, {i}, {sql_str(t)})" for i, (label, terms) in enumerate(LABEL_WORDS) for t in terms)
+        + ") AS v(label, priority, term)) SELECT DISTINCT doc_id, label, CAST(priority AS BIGINT) AS priority FROM documents JOIN r ON contains(lower(text), lower(term))",
     "dictionary_matches": """WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS term FROM benchmark),
         t AS (SELECT term, CAST(min(item_id) AS VARCHAR) AS label FROM w GROUP BY 1)
         SELECT doc_id, label, term FROM documents JOIN t ON contains(lower(text), term)""",

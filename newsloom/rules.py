@@ -1,9 +1,8 @@
 """Rule tables: dictionaries, gazetteers and weights supplied by the user.
 
 A rule table has the columns of ``schemas.RULES``.  The first match wins by
-``priority`` then ``rule_id``; a label may own several terms.  Small rule sets become
-literals inside one stage; tables above ``LITERAL_TERMS`` are joined
-(``operators.tagging.match_terms``).
+``priority`` then ``rule_id``; a label may own several terms.  Rules given as ``Rule`` lists become literals
+inside one stage; rule tables of any size are joined (``rule_labels``).
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 
 from newsloom import schemas
 
-LITERAL_TERMS = 4000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -39,20 +36,14 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def as_rules(df: DataFrame, rule_set: str) -> list[Rule]:
-    """Bring one bounded rule set to the driver as ordered literals."""
-    rows = (
-        df.filter(F.col("rule_set") == rule_set)
-        .orderBy("priority", "rule_id", "term")
-        .limit(LITERAL_TERMS + 1)
-        .collect()
-    )
-    if len(rows) > LITERAL_TERMS:
-        raise ValueError(f"rule set {rule_set} is too large for literals; use match_terms")
-    grouped: dict[str, list[str]] = {}
-    for r in rows:
-        grouped.setdefault(r["label"], []).append(r["term"])
-    return [Rule(k, tuple(v)) for k, v in grouped.items()]
+def rule_labels(docs: DataFrame, text: str, doc_id: str, rules: DataFrame, rule_set: str) -> DataFrame:
+    """(doc, label, priority) of every label of a rule set with a term inside the text."""
+    from newsloom.operators.tagging import match_terms
+
+    mine = rules.filter(F.col("rule_set") == rule_set)
+    hits = match_terms(docs, text, doc_id, mine.select("label", "term"))
+    order = mine.groupBy("label").agg(F.min("priority").alias("priority"))
+    return hits.select(doc_id, "label").distinct().join(order, "label").select(doc_id, "label", "priority")
 
 
 @dataclass(frozen=True)

@@ -50,18 +50,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
-def spread_small_input(df: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
-    """Use every core on an input too small for that.
-
-    A Parquet file with one row group is one task, however many regular expressions run on it.
-    Inputs with at least ``bytes_per_task`` per core are returned as they are, so nothing large
-    is ever shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * bytes_per_task else df
-
-
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

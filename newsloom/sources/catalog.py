@@ -9,7 +9,7 @@ from newsloom import schemas
 from newsloom.functions import html as H
 
 # Phrases that decide a capability, and the archive depth for a year.
-CAPTCHA = ("captcha", "recaptcha", "hcaptcha")
+CAPTCHA = ("captcha", "recaptcha", "hcaptcha", "验证您是真人")
 PAYWALL = ("subscribe to continue", "sign in to continue", "paywall")
 YEAR_ENTRIES, MAX_LINKS, LINK_CHARS = 100, 200, 8
 REPORT_TYPES = ("crawlable", "one_year_backfill")
@@ -68,7 +68,8 @@ def classify_responses(responses: DataFrame) -> DataFrame:
     has = lambda words: F.greatest(*[F.instr(low, w) for w in words]) > 0
     entries = lambda c: F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)<(?:item|entry)\b"), F.lit(0)))
     is_feed = F.coalesce(F.lower("content_type").contains("xml"), F.lit(False)) | F.substring(low, 1, 1000).contains("<rss") | F.substring(low, 1, 1000).contains("<feed")
-    advertised = low.rlike(r"""<link\b[^>]*type\s*=\s*["'][^"']*(?:rss|atom)""")
+    feed_link = r"""<link\b(?=[^>]*\bhref\s*=\s*["'][^"'>])[^>]*type\s*=\s*["'][^"']*(?:rss|atom)"""
+    advertised = low.rlike(feed_link)
     lone_test = F.coalesce(F.col("feed_body").rlike(r"(?is)<title[^>]*>\s*(?:<!\[CDATA\[)?\s*test\s*(?:\]\]>)?\s*</title>"), F.lit(False))
     feed_n = F.when((entries(F.col("feed_body")) == 1) & lone_test, 0).otherwise(entries(F.col("feed_body")))
     site_low = F.lower(F.substring(F.coalesce("sitemap_body", F.lit("")), 1, 2000))

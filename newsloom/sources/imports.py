@@ -55,8 +55,14 @@ def read_exports(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def json_rows(files: DataFrame) -> DataFrame:
     """A2: article objects of each file: a list, an envelope list, or one object."""
     body = F.col("content")
-    as_list = F.from_json(body, T.ArrayType(_ROW))
-    envelope = F.coalesce(*[F.from_json(F.get_json_object(body, f"$.{k}"), T.ArrayType(_ROW)) for k in ENVELOPES])
+
+    def objects(text: Column) -> Column:
+        """Object elements of a JSON list; other elements are skipped, text that is no list gives null."""
+        parts = F.from_json(text, T.ArrayType(T.StringType()))
+        return F.transform(F.filter(parts, lambda x: F.ltrim(x).startswith("{")), lambda x: F.from_json(x, _ROW))
+
+    as_list = objects(body)
+    envelope = F.coalesce(*[objects(F.get_json_object(body, f"$.{k}")) for k in ENVELOPES])
     single = F.from_json(body, _ROW)
     known = F.exists(F.map_keys(single), lambda k: k.isin("title", "url", "link", "content_text"))
     rows = (

@@ -45,19 +45,34 @@ def parse_feed_date(c: Column) -> Column:
     return F.coalesce(F.when(c.rlike(RFC822), F.try_to_timestamp(text, F.lit("yyyy-MMM-dd HH:mm:ssXXX"))), parse_iso(c))
 
 
-_RSS = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "pubDate", "updated", "published", "description", "summary", "author", "guid")])
+_LINK = T.StructType([T.StructField(n, T.StringType()) for n in ("_VALUE", "_href", "_rel")])
+_AUTHOR = T.StructType([T.StructField(n, T.StringType()) for n in ("_VALUE", "name")])
+_ENTRY = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("title", "pubDate", "updated", "published", "description", "summary", "guid", "id")]
+    + [T.StructField("link", T.ArrayType(_LINK)), T.StructField("author", _AUTHOR)]
+)
+FEED_ENTRY = r"(?is)<(?:item|entry)\b[^>]*>.*?</(?:item|entry)\s*>"
 
 
 def read_rss(spark: SparkSession, path: str, source_url: str | None = None, limit: int = FEED_LIMIT) -> DataFrame:
-    """The first ``limit`` entries of each feed file, published else updated date, plain summary."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema(_RSS).load(path)
-    feed = raw.withColumns({"_file": F.input_file_name(), "_pos": F.monotonically_increasing_id()})
-    w = Window.partitionBy("_file").orderBy("_pos")
-    kept = feed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
-    items = kept.select(
-        F.col("_file").alias("feed"), F.col("_r").alias("position"), "title", F.trim("link").alias("url"),
-        parse_feed_date(F.coalesce("pubDate", "published", "updated")).alias("published_at"), "author",
-        H.plain_text(H.unescape(F.coalesce("summary", "description", F.lit("")))).alias("excerpt"),
+    """The first ``limit`` entries of each RSS or Atom file, published else updated date, plain summary.
+
+    A feed is read as one text, so its entries keep their order.  The link of an Atom entry is its first
+    ``alternate`` one, or its first.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("feed"), "value")
+    found = F.slice(F.regexp_extract_all("value", F.lit(FEED_ENTRY), F.lit(0)), 1, limit)
+    raw = files.select("feed", F.posexplode(found).alias("_at", "_xml"))
+    # One name for both dialects, without namespace prefixes or declarations.
+    one = F.regexp_replace(F.regexp_replace("_xml", r"(?i)^<(?:item|entry)\b[^>]*>", "<entry>"), r"(?i)</(?:item|entry)\s*>$", "</entry>")
+    entry = raw.select("feed", (F.col("_at") + 1).alias("position"), F.from_xml(one, _ENTRY, {"rowTag": "entry", "ignoreNamespace": "true"}).alias("e"))
+    links = F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.get(links, F.lit(0)), F.get("e.link", F.lit(0)))
+    items = entry.select(
+        "feed", "position", "e.title", F.trim(F.coalesce(link["_href"], link["_VALUE"])).alias("url"),
+        parse_feed_date(F.coalesce("e.pubDate", "e.published", "e.updated")).alias("published_at"),
+        F.coalesce("e.author.name", "e.author._VALUE").alias("author"),
+        H.plain_text(H.unescape(F.coalesce("e.summary", "e.description", F.lit("")))).alias("excerpt"),
         F.lit("unknown").alias("language"),
     )
     return normalize_items(items, source_url)

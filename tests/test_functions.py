@@ -1,5 +1,6 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, html, text, urls
@@ -67,3 +68,27 @@ def test_html(spark):
     assert values(spark, [page], html.article_body) == ["Other Body text x"]
     assert values(spark, [page], html.article_date_text) == ["2024-05-06T07:00:00Z"]
     assert values(spark, [page], html.snapshot_text) == ["menu\nOther\nBody\ntext\nx"]
+
+
+def test_numbers_beyond_the_calendar_are_no_date(spark):
+    df = spark.createDataFrame([("999999999999999999",), ("99999999999999999999",), ("1700000000",), ("1700000000000",), ("0",)], "v string")
+    got = [r[0] for r in df.select(F.date_format(dates.parse_export_date(F.col("v")), "yyyy-MM-dd")).collect()]
+    assert got == [None, None, "2023-11-14", "2023-11-14", "1970-01-01"]
+
+
+def test_list_dates_in_all_separators(spark):
+    rows = ["2023年5月7日", "2023 / 5 / 7", "on 2023.05.07!", "5月7日", "12-30", "2-30", "none", "2023-13-01", None]
+    at = datetime(2024, 6, 1, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = [r[0] for r in df.select(F.date_format(dates.parse_list_date(F.col("v"), at), "yyyy-MM-dd")).collect()]
+    assert got == ["2023-05-07"] * 3 + ["2024-05-07", "2023-12-30", None, None, None, None]
+
+
+def test_query_bounds():
+    day = datetime(2024, 2, 3, tzinfo=timezone.utc)
+    assert dates.date_bound("2024-02-03") == day and dates.date_bound(None) is None
+    assert dates.date_bound("2024-02-03", True) == day + timedelta(days=1) - timedelta(microseconds=1)
+    assert dates.date_bound("2024-02-03T10:00:00+02:00", True) == day + timedelta(hours=8)
+    assert dates.date_bound("2024-02-03 10:00Z") == day + timedelta(hours=10)
+    with pytest.raises(ValueError, match="not an ISO date"):
+        dates.date_bound("yesterday")

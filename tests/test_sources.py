@@ -121,3 +121,33 @@ def test_upsert_rewrites_only_touched_months(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b2"), (3, "c"), (4, "d")]
     assert before == {f: f.stat().st_mtime_ns for f in (tmp_path / "articles").glob("pub_month=2024-01/*.parquet")}
     assert sinks.read_months(spark, path, ["undated"]).count() == 1
+
+
+def test_lists_with_other_elements_keep_their_objects(spark):
+    files = spark.createDataFrame([("a", '[{"title":"x","n":1}, 5, null, "{no", {"title":"y"}]'), ("b", '{"articles":[{"title":"z"},3]}'), ("c", "[1, 2]")], "file string, content string")
+    got = [(r.file, r.row_number, r.row["title"]) for r in imports.json_rows(files).orderBy("file", "row_number").collect()]
+    assert got == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]
+
+
+def test_atom_and_rss_entries_in_file_order(spark, tmp_path):
+    atom = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>T</title>
+    <entry><title type="html">First</title><link rel="self" href="https://a.example.org/self"/><link href="https://a.example.org/1"/>
+      <updated>2024-01-02T03:04:05Z</updated><author><name>Ann</name></author><summary type="html">&lt;p&gt;One&lt;/p&gt;</summary></entry>
+    <entry><title>Second</title><link rel="alternate" href="https://a.example.org/2"/><published>2024-01-03T00:00:00Z</published></entry></feed>"""
+    items = "".join(f"<item><title>Notice {i}</title><link>https://r.example.org/{i}</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><author>Bo</author></item>" for i in range(60))
+    (tmp_path / "a.xml").write_text(atom)
+    (tmp_path / "r.xml").write_text(f"<rss><channel><title>C</title>{items}</channel></rss>")
+    rows = readers.read_rss(spark, str(tmp_path)).orderBy("feed", "position").collect()
+    first, second = rows[:2]
+    assert (first.title, first.url, first.author, first.excerpt) == ("First", "https://a.example.org/1", "Ann", "One")
+    assert (second.title, second.url, second.published_at.isoformat()[:10]) == ("Second", "https://a.example.org/2", "2024-01-03")
+    assert [r.title for r in rows[2:]] == [f"Notice {i}" for i in range(50)]
+    assert rows[2].author == "Bo" and rows[2].published_at == first.published_at
+
+
+def test_a_feed_link_needs_an_address(spark):
+    body = '<html><link rel="alternate" type="application/rss+xml"{}></html>'
+    rows = [(str(i), True, 200, "text/html", b, None, None) for i, b in enumerate([body.format(""), body.format(' href="/feed"'), "<p>验证您是真人</p>"])]
+    frame = spark.createDataFrame(rows, "source_name string, robots_allowed boolean, http_status int, content_type string, body string, feed_body string, sitemap_body string")
+    got = {r.source_name: r.status for r in catalog.classify_responses(frame).collect()}
+    assert got["1"] == "rss_available" and got["0"] != "rss_available" and got["2"] == "javascript_required"

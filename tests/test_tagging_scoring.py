@@ -60,12 +60,15 @@ def test_policy_percentage_goes_to_its_column(spark):
     assert len(got) == 1 and (got[0].tariff_rate, got[0].tax_rate, got[0].tax_type, got[0].affected_countries) == ("5%", None, "Duty", ["Chile"])
 
 
-def test_large_dictionary_equals_small(spark):
+def test_dictionary_terms_of_any_length(spark):
     docs = spark.createDataFrame([(1, "The quick Brown fox"), (2, "ox and cart"), (3, "x")], "id int, text string")
     terms = spark.createDataFrame([("a", "Quick"), ("a", "brown f"), ("b", "ox"), ("c", "cart"), ("d", "missing")], "label string, term string")
-    small = {tuple(r) for r in tagging.match_terms(docs, "text", "id", terms).collect()}
-    big = {tuple(r) for r in tagging.match_terms(docs, "text", "id", terms, max_broadcast=2).collect()}
-    assert small == big == {(1, "a", "Quick"), (1, "a", "brown f"), (1, "b", "ox"), (2, "b", "ox"), (2, "c", "cart")}
+    long = {tuple(r) for r in tagging.match_terms(docs, "text", "id", terms, gram=9).collect()}
+    short = {tuple(r) for r in tagging.match_terms(docs, "text", "id", terms, gram=1).collect()}
+    usual = tagging.match_terms(docs, "text", "id", terms)
+    assert "NestedLoop" not in usual._jdf.queryExecution().toString()
+    assert tagging.match_terms(docs, "text", "id", terms.limit(0)).count() == 0
+    assert {tuple(r) for r in usual.collect()} == long == short == {(1, "a", "Quick"), (1, "a", "brown f"), (1, "b", "ox"), (2, "b", "ox"), (2, "c", "cart")}
 
 
 R = RelevanceRules(
