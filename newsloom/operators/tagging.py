@@ -258,20 +258,18 @@ def products_for(industries: Column, table: Sequence[tuple[str, Sequence[str]]])
 def match_terms(docs: DataFrame, text: str, doc_id: str, terms: DataFrame, gram: int = 4) -> DataFrame:
     """(doc, label, term) for every dictionary term inside a text, for a dictionary of any size.
 
-    The first ``gram`` characters of a term (all of a shorter one) are its seed.  A text gives each distinct
-    substring of the seeds' lengths once; only those that are seeds go on, are joined with the terms and
-    verified against the text.
+    The first ``gram`` characters of a term (all of a shorter one) are its seed.  Of a text's substrings of
+    the seeds' lengths only those that are seeds go on; they are joined with the terms and verified against the
+    text.
     """
     terms = terms.select("label", "term").filter(F.col("term") != "").distinct().withColumn("_t", F.lower("term"))
     terms = terms.withColumn("_g", F.substring("_t", 1, gram))
     lengths = [r[0] for r in terms.select(F.char_length("_g").alias("n")).distinct().orderBy("n").collect()]  # at most ``gram`` rows
     low = docs.select(doc_id, F.lower(text).alias("_low"))
 
-    def cut(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length("_low") - n + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("_low"), i, F.lit(n))))
-
-    grams = low.select(doc_id, F.explode(F.flatten(F.array(*[cut(n) for n in lengths])) if lengths else F.array().cast("array<string>")).alias("_g"))
+    # A look-ahead gives all overlapping substrings of a length in one pass.
+    cuts = [F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    grams = low.select(doc_id, F.explode(F.flatten(F.array(*cuts)) if cuts else F.array().cast("array<string>")).alias("_g"))
     seeds = counted_broadcast(terms.select("_g").distinct())
     found = grams.join(seeds, "_g", "left_semi")
     pairs = keyed_lookup(found, terms, ["_g"], doc_id, how="inner").groupBy(doc_id).agg(F.collect_set(F.struct("label", "term", "_t")).alias("_c"))
