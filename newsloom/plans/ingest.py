@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -15,6 +15,7 @@ from newsloom.operators import dedup, events, governance, tagging
 from newsloom.operators.scoring import analyze
 from newsloom.rules import Alias, Gazetteer, RelevanceRules, Rule
 from newsloom.session import cut_lineage
+from newsloom.skew import first_per_key
 
 
 @dataclass(frozen=True)
@@ -120,11 +121,11 @@ def accept_articles(cascade: DataFrame, c: IngestConfig) -> DataFrame:
     })
 
 
-def derived_tables(articles: DataFrame, c: IngestConfig) -> dict[str, DataFrame]:
-    """Policy, leader, activity, personnel and organisation rows of the accepted articles.
+def derived_tables(articles: DataFrame, c: IngestConfig, stored: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """New policy, leader, activity, personnel and organisation rows of the accepted articles.
 
     Only the tables whose rules are configured are built.  The last three cover governed sources and
-    articles with the account topic, and hold one row per event key (first article).
+    articles with the account topic, and hold one row per event key (first article); keys in ``stored`` stay.
     """
     out: dict[str, DataFrame] = {}
     if c.policy_labels:
@@ -140,48 +141,88 @@ def derived_tables(articles: DataFrame, c: IngestConfig) -> dict[str, DataFrame]
     if c.activities:
         rows = events.business_activities(scope.drop("event_key").withColumn("event_id", F.col("article_id")), c.activities, "source_entity_id", "event_id", "published_at")
         firsts = rows.groupBy("event_key").agg(F.min("arrival_seq").alias("arrival_seq"))
+        if "activities" in stored:
+            firsts = firsts.join(stored["activities"].select("event_key"), "event_key", "left_anti")
         out["activities"] = rows.join(firsts, ["event_key", "arrival_seq"], "left_semi")
     if c.governance:
         people = scope.filter("role_change")
         key = event_key(F.col("source_entity_id"), F.col("person_name"), F.col("appointment_type"), day, F.col("event_key"))
-        out["personnel_events"] = events.insert_if_absent(None, people.withColumn("change_key", key), "change_key")
+        out["personnel_events"] = events.insert_if_absent(stored.get("personnel_events"), people.withColumn("change_key", key), "change_key")
         moved = scope.withColumn("change_type", governance.org_change(F.col("text"), c.governance)).filter("change_type is not null")
         key = event_key(F.col("source_entity_id"), F.col("change_type"), day, F.col("event_key"))
-        out["org_events"] = events.insert_if_absent(None, moved.withColumn("change_key", key), "change_key")
+        out["org_events"] = events.insert_if_absent(stored.get("org_events"), moved.withColumn("change_key", key), "change_key")
     return out
 
 
-def ingest(items: DataFrame, sources: DataFrame, c: IngestConfig, as_of: datetime, existing: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Run the ingest and return its tables.
+def _after(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Stored rows and new ones, in the columns of the new ones."""
+    return rows if stored is None else stored.select(rows.columns).unionByName(rows)
 
-    Besides those of ``derived_tables``: outcomes (one row per item), articles (accepted, with promotion and source counts),
-    duplicates (ledger), evidence (article sources), events and projects (roll-ups).
+
+def merge_projects(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The projects of this batch with what is stored of them: name and first event stay, the rest grows."""
+    if stored is None:
+        return new
+    old = stored.select("project_key", *[F.col(c).alias(f"_{c}") for c in ("name", "first_event_at", "last_event_at", "event_count")])
+    known = F.col("_event_count").isNotNull()
+    return new.join(old, "project_key", "left").select(
+        "project_key", F.when(known, F.col("_name")).otherwise(F.col("name")).alias("name"),
+        F.when(known, F.col("_first_event_at")).otherwise(F.col("first_event_at")).alias("first_event_at"),
+        F.greatest("_last_event_at", "last_event_at").alias("last_event_at"), (F.col("event_count") + F.coalesce("_event_count", F.lit(0))).alias("event_count"),
+    )
+
+
+def ingest(items: DataFrame, sources: DataFrame, c: IngestConfig, as_of: datetime, stored: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Run the ingest of a batch and return the rows that it adds or changes.
+
+    Besides those of ``derived_tables``: outcomes (one row per item), articles (accepted or touched, with promotion and
+    source counts), duplicates (ledger), evidence (article sources), event_sources (sources of an article's event, with the
+    role of the evidence at their address), events and projects (roll-ups).
+
+    ``stored`` holds these tables as earlier batches left them; ``arrival_seq`` grows from batch to batch.  Articles and
+    events are then upserted by ``article_id``, projects by ``project_key``; all other rows are appended.
     """
+    stored = stored or {}
     tagged = cut_lineage(tag_items(items, sources, c), "tagged")
-    cascade = cut_lineage(dedup.ingest_cascade(tagged, as_of, c.measure, existing=existing), "cascade")
-    articles = cut_lineage(accept_articles(cascade, c), "articles")
+    cascade = cut_lineage(dedup.ingest_cascade(tagged, as_of, c.measure, existing=stored.get("articles")), "cascade")
+    accepted = cut_lineage(accept_articles(cascade, c), "articles")
     attached = cascade.filter("outcome <> 'skipped'").select(
         F.coalesce("leader_seq", "arrival_seq").alias("article_id"), "arrival_seq", "url", "source_name",
         F.col("effective_type").alias("source_type"), F.col("effective_reliability").alias("reliability_level"),
         "published_at", F.col("is_first_party").alias("first_party"),
         tagging.source_role(F.col("effective_type"), F.col("source_name"), F.col("language"), c.official_types, c.manual_type).alias("source_role"),
     )
-    evidence = cut_lineage(dedup.attach_sources(attached), "evidence")
+    touched = attached.select("article_id").distinct()
+    before = {n: stored[n].join(touched, "article_id", "left_semi") for n in ("articles", "evidence", "event_sources") if n in stored}
+
+    evidence = cut_lineage(dedup.attach_sources(_after(before.get("evidence"), attached)), "evidence")
+    at_address = attached.select("article_id", "arrival_seq", "url", "source_name", "published_at").join(evidence.select("article_id", "url", "source_role"), ["article_id", "url"])
+    linked = _after(before.get("event_sources"), at_address.select("article_id", "source_name", "arrival_seq", "source_role", "published_at"))
+    linked = cut_lineage(first_per_key(linked, ["article_id", "source_name"], [F.col("arrival_seq")], ["arrival_seq", "source_role", "published_at"]), "event-sources")
+
+    new = accepted.withColumns({"source_type": F.col("effective_type"), "reliability_level": F.col("effective_reliability"), "is_primary_source": F.col("is_first_party")})
     counts = events.distinct_sources(evidence, "article_id", "source_name")
-    first = F.col("is_first_party")
-    final = dedup.promote_primary(
-        articles.withColumns({"source_type": F.col("effective_type"), "reliability_level": F.col("effective_reliability"), "is_primary_source": first}),
-        attached.filter(F.col("arrival_seq") != F.col("article_id")),
-    ).join(counts, "article_id", "left").withColumn("cross_source_count", F.coalesce("cross_source_count", F.lit(1)))
-    keys = articles.select("article_id", "event_key", "project_key", "title", F.col("published_at").alias("event_at"), "arrival_seq", "country", "region")
-    by_event = events.event_rollup(evidence.join(keys.select("article_id", "event_key"), "article_id"))
-    head = keys.groupBy("event_key").agg(*[F.min_by(x, "arrival_seq").alias(x) for x in ("article_id", "title", "event_at", "country", "region", "project_key")])
+    promoted = dedup.promote_primary(_after(before.get("articles"), new), attached.filter(F.col("arrival_seq") != F.col("article_id")))
+    articles = cut_lineage(promoted.join(counts, "article_id", "left").withColumn("cross_source_count", F.coalesce("cross_source_count", F.lit(1))), "final")
+
+    head = articles.select(
+        "event_key", "article_id", "title", F.col("published_at").alias("event_at"), "country", "region", "project_key",
+        tagging.first_label(F.col("text"), c.actions).alias("event_type"), F.get("candidates", F.lit(0))["account"].alias("company_name"),
+        F.transform("candidates", lambda x: x["matched_entity"]).alias("matched_entities"), "intelligence_types", "confidence",
+    )
+    by_event = events.event_rollup(linked.join(head.select("article_id", "event_key"), "article_id"))
+    keys = accepted.filter("project_key is not null").select("project_key", "title", F.col("published_at").alias("event_at"), "arrival_seq")
+    duplicates = dedup.duplicate_ledger(cascade, "url")
+    if "duplicates" in stored:
+        duplicates = duplicates.join(stored["duplicates"].select("url"), "url", "left_anti")
+    own = cascade.select("arrival_seq")
     return {
         "outcomes": cascade.select("arrival_seq", "outcome", "match_method", "leader_seq", "match_score", "route"),
-        "articles": final,
-        "duplicates": dedup.duplicate_ledger(cascade, "url"),
-        "evidence": evidence,
+        "articles": articles,
+        "duplicates": duplicates,
+        "evidence": evidence.join(own, "arrival_seq", "left_semi"),
+        "event_sources": linked.join(own, "arrival_seq", "left_semi"),
         "events": head.join(by_event, "event_key", "left"),
-        "projects": events.project_rollup(keys.filter("project_key is not null")),
-        **derived_tables(articles, c),
+        "projects": merge_projects(stored.get("projects"), events.project_rollup(keys)),
+        **derived_tables(accepted, c, stored),
     }

@@ -53,6 +53,42 @@ def test_new_duplicate_and_promotion(spark):
     assert out["outcomes"].count() == 5
 
 
+FEED = [
+    ("Wire", "Acme Build wins Kenya rail contract", "https://w.example/1", 9, "Rail line in Kenya"),
+    ("Chile Daily", "Market closes higher on Friday", "https://c.example/3", 8, "numbers"),
+    ("Wire", "Tax rule changes in Kenya next year", "https://w.example/5", 8, "tax in Kenya"),
+    ("Ministry", "Kenya rail: Acme Build wins the big deal", "https://m.example/9", 8, "Official notice"),
+    ("Chile Daily", "Acme Build wins Kenya rail contract", "https://w.example/1", 9, "Rail line in Kenya"),
+    ("Wire", "Acme Build wins another Kenya rail job worth 5 million", "https://w.example/7", 3, "rail in Kenya"),
+    ("Wire", "Local football results tonight", "https://w.example/2", 8, "sport"),
+]
+
+
+def upserted(old, new, key):
+    return new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def test_two_batches_equal_one(spark):
+    every = items(spark, FEED)
+    whole = ingest(every, sources(spark), CONFIG, AS_OF)
+    first = ingest(every.filter("arrival_seq < 3"), sources(spark), CONFIG, AS_OF)
+    second = ingest(every.filter("arrival_seq >= 3"), sources(spark), CONFIG, AS_OF, first)
+    assert {r.article_id for r in second["articles"].collect()} == {0, 5}
+    for name, key in (("articles", "article_id"), ("events", "article_id"), ("projects", "project_key")):
+        got, want = (df.select(sorted(whole[name].columns)).collect() for df in (upserted(first[name], second[name], key), whole[name]))
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+    for name in ("outcomes", "evidence", "event_sources", "duplicates"):
+        got, want = (df.select(sorted(whole[name].columns)).collect() for df in (first[name].unionByName(second[name]), whole[name]))
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+
+
+def test_two_sources_of_one_address_count_for_the_event(spark):
+    out = ingest(items(spark, [FEED[0], FEED[4]]), sources(spark), CONFIG, AS_OF)
+    event = out["events"].first()
+    assert (event.source_count, event.company_name, event.event_type) == (2, "Acme", "award")
+    assert out["evidence"].count() == 1 and out["articles"].first().cross_source_count == 1
+
+
 def test_two_languages_make_one_event(spark):
     out = ingest(items(spark, [
         ("Wire", "Acme Build wins Chile rail award", "https://w.example/1", 9, "rail"), ("Ministry", "雅建集团股份中标智利铁路项目", "https://m.example/2", 6, "铁路"),
