@@ -48,6 +48,19 @@ def date_range_search(spark, sf):
     return page.select("doc_id", day("published_at"), "confidence_score")
 
 
+def saved_filter_search(spark, sf):
+    """A stored filter specification, read back and applied."""
+    saved = {"q": "antion", "source_type": "media", "date_from": "2024-06-01", "sort": "published_asc", "colour": "ignored", "region": None}
+    hits = search.apply_filters(_articles(spark, sf), search.FilterSpec.from_saved(saved), AS_OF)
+    return hits.select("doc_id", day("published_at"))
+
+
+def fulltext_search(spark, sf):
+    """All tokens in the body, or a title alike."""
+    spec = search.FilterSpec(q="thing on the retion", search="fulltext", include_archive=True)
+    return search.apply_filters(_articles(spark, sf), spec, AS_OF).select("doc_id")
+
+
 def token_search(spark, sf):
     return docs(spark, sf).filter(search.has_all_tokens(F.col("text"), "The antion")).select("doc_id")
 
@@ -87,6 +100,13 @@ def board_sorted_page(spark, sf):
     return board_page(b, "sales_relevance_desc", 1, 25).select("doc_id", num("board_score"), num("overseas_rank"))
 
 
+def board_entities(spark, sf):
+    """The board of some entities: by matched name or by their own sources, in its time order."""
+    spec = search.BoardSpec(entity_names=("UNIT-1", "unit-3"), entity_sources=("src3", "src7"), min_score=30)
+    b = event_board(_board(spark, sf), spec, search.FilterSpec(), AS_OF)
+    return board_page(b, "published_desc", 1, 50).select("doc_id", num("board_score"), num("overseas_rank"))
+
+
 def board_people(spark, sf):
     rows = search.board_filters(_board(spark, sf), search.BoardSpec(leader="er", band="medium"), "relevance_score")
     return rows.select("doc_id", num("relevance_score"))
@@ -161,6 +181,7 @@ def account_articles(spark, sf):
 
 QUERIES = {
     "rolling_window_search": rolling_window_search, "archive_search": archive_search, "search_total": search_total, "date_range_search": date_range_search,
+    "saved_filter_search": saved_filter_search, "fulltext_search": fulltext_search, "board_entities": board_entities,
     "token_search": token_search, "trigram_search": trigram_search, "array_filters": array_filters, "event_board": board_rows,
     "event_board_page": board_sorted_page, "board_people": board_people, "best_per_event": best_event_rows, "flags_join": flags_join,
     "semi_sources": semi_sources, "anti_ledger": anti_ledger, "detail_join": label_article_join, "order_page": order_page,
@@ -190,6 +211,16 @@ ORACLE = {
     "search_total": f"{_ART} SELECT count(*) AS total FROM art WHERE {_IN365} AND reliability_level = 'high' AND {_LIKE('retion')}",
     "date_range_search": f"""{_ART} SELECT doc_id, strftime(published_at, '%Y-%m-%d') AS published_at, confidence_score FROM art WHERE published_at >= TIMESTAMP '2024-03-01' AND published_at < TIMESTAMP '2024-06-01'
         AND source_type = 'official' AND fetched_at >= TIMESTAMP '2024-03-10' ORDER BY confidence_score DESC, doc_id LIMIT 100""",
+    "saved_filter_search": f"""{_ART} SELECT doc_id, strftime(published_at, '%Y-%m-%d') AS published_at FROM art WHERE published_at >= TIMESTAMP '2024-06-01' AND published_at <= {AS_OF_SQL}
+        AND source_type = 'media' AND {_LIKE('antion')}""",
+    "fulltext_search": f"""{_ART}, q AS (SELECT list_distinct(flatten(list_transform(['thing', 'on', 'the', 'retion'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS qg),
+        s AS (SELECT doc_id, len(list_intersect(g, qg)) / len(list_distinct(list_concat(g, qg))) AS similarity FROM {_TRI('title')}, q)
+        SELECT doc_id FROM art LEFT JOIN s USING (doc_id) WHERE (published_at IS NULL OR published_at <= {AS_OF_SQL})
+          AND (list_has_all(string_split_regex(lower(concat_ws(' ', title, lang, text)), '[^\\p{{L}}\\p{{N}}_]+'), ['thing', 'on', 'the', 'retion']) OR similarity > 0.2)""",
+    "board_entities": f"""{_BOARD}, f AS (SELECT * FROM b WHERE {_IN365} AND (source IN ('src3', 'src7') OR contains(lower(entity_id), 'unit-1') OR contains(lower(entity_id), 'unit-3')) AND board_score >= 30),
+        r AS (SELECT *, {_RANK('board_score')} AS rn FROM f)
+        SELECT doc_id, CAST(board_score AS BIGINT) AS board_score, CAST(overseas_rank AS BIGINT) AS overseas_rank FROM r WHERE rn = 1
+        ORDER BY r.overseas_rank, coalesce(published_at, fetched_at) DESC, r.board_score DESC, doc_id LIMIT 50""",
     "token_search": """SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), ['the', 'antion'])""",
     "trigram_search": f"""WITH {DOCS_CTE}, q AS (SELECT list_distinct(flatten(list_transform(['thing', 'on', 'the', 'retion'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS qg),
         s AS (SELECT doc_id, round(len(list_intersect(g, qg)) / len(list_distinct(list_concat(g, qg))), 6) AS similarity FROM {_TRI('title')}, q)
