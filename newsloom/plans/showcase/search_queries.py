@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import joins, search, similarity
 from newsloom.operators.dedup import best_per_event
-from newsloom.operators.scoring import analyze, score_band
+from newsloom.operators.scoring import analyze
 from newsloom.plans.board import board_page, event_board
 from newsloom.plans.showcase.base import (
-    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, PROJECT_LABELS, RELEVANCE as R, article_table, docs, sql_any, sql_list, table,
+    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, RELEVANCE as R, article_table, docs, table,
 )
 from newsloom.plans.showcase.tag_queries import _REL_CTE
 from newsloom.session import cut_lineage

@@ -5,11 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.functions.text import rule_summary
 from newsloom.operators import governance, tagging
 from newsloom.operators.scoring import analyze, longest_alias, sales_metadata, score_band
 from newsloom.plans.showcase.base import (
-    ACCOUNT_WORDS, ACTION_WORDS, AS_OF, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, LABEL_WORDS, POLICY_LABELS, PRODUCT_DEFAULT,
+    ACCOUNT_WORDS, ACTION_WORDS, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, LABEL_WORDS, POLICY_LABELS, PRODUCT_DEFAULT,
     PRODUCT_WORDS, PROJECT_LABELS, RELEVANCE as R, docs, labels_column, places, sql_any, sql_first, sql_list, sql_str, table,
     tagged_docs, with_candidates,
 )

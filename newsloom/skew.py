@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_ROWS = 500_000
-MAX_SALTS = 2048
+NO_KEY_SALTS = 2048
 BROADCAST_ROWS = 50_000
 
 
@@ -66,11 +66,11 @@ def keyed_lookup(
         sizes = table.select(*on, F.col(weight).alias("_n"))
     hot = (
         sizes.filter(F.col("_n") > hot_rows)
-        .select(*on, F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
+        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
     # Rows without a key match nothing; they are spread instead of meeting in one partition.
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salts = F.when(no_key, MAX_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    salts = F.when(no_key, NO_KEY_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
     salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")
     ).drop("_salts")

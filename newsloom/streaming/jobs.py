@@ -6,11 +6,13 @@ compare both.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,24 +55,36 @@ def ingest_stream(
     """L1: run the cascade on each micro-batch against the articles accepted so far.
 
     ``prepare`` maps raw items to the cascade columns.  Every batch writes its own folder under
-    ``state_path``, so a batch replayed after a failure overwrites its result instead of adding it.
+    ``state_path``, so a batch replayed after a failure overwrites its result instead of adding it.  A new
+    checkpoint over the same state goes on from all that is stored.
     """
+    run = run_name(checkpoint)
+
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         items = prepare(batch)
-        existing = accepted_before(spark, state_path, epoch, items.columns)
+        old = stored_before(spark, state_path, run, epoch)
+        existing = None if old is None else old.filter("outcome = 'new'").select(*items.columns)
         out = ingest_cascade(items, as_of, measure, existing=existing)
-        out.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        out.write.mode("overwrite").parquet(f"{state_path}/run={run}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def accepted_before(spark: SparkSession, state_path: str, epoch: int, columns: list[str]) -> DataFrame | None:
-    """Accepted articles of earlier batches, or None before the first result."""
-    if epoch == 0:
+def run_name(checkpoint: str) -> str:
+    """Name of a stream's own state folders: one per checkpoint, the same after a restart."""
+    return "c" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def stored_before(spark: SparkSession, path: str, run: str, epoch: int) -> DataFrame | None:
+    """What earlier batches of this run and all batches of other runs have stored; None if there is nothing."""
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    old = spark.read.parquet(state_path).filter((F.col("epoch") < epoch) & (F.col("outcome") == "new"))
-    return old.select(*columns)
+    return old.filter((F.col("run") != run) | (F.col("epoch") < epoch))
 
 
 def failure_streaks(runs: DataFrame, source: str = "source_name", pause_after: int = 5) -> DataFrame:
@@ -102,20 +116,22 @@ def page_change_stream(stream: DataFrame, state_path: str, checkpoint: str, role
 
     ``stream``: url, captured_at, text.  Stores one folder per batch with all new versions.
     """
+    run = run_name(checkpoint)
+
     def handle(batch: DataFrame, epoch: int) -> None:
         from newsloom.operators.changes import page_versions
 
         spark = batch.sparkSession
         rows = batch.select("url", "captured_at", "text", F.lit(False).alias("stored"))
-        if epoch > 0:
-            past = spark.read.parquet(f"{state_path}/versions").filter(F.col("epoch") < epoch)
+        past = stored_before(spark, f"{state_path}/versions", run, epoch)
+        if past is not None:
+            past = past.join(batch.select("url").distinct(), "url", "left_semi")
             latest = past.groupBy("url").agg(F.max_by(F.struct("captured_at", "text"), "captured_at").alias("v"))
-            touched = latest.join(batch.select("url").distinct(), "url", "left_semi")
-            rows = rows.unionByName(touched.select("url", "v.captured_at", "v.text", F.lit(True).alias("stored")))
+            rows = rows.unionByName(latest.select("url", "v.captured_at", "v.text", F.lit(True).alias("stored")))
         versions = page_versions(rows, "url", "captured_at", "text", F.to_date("captured_at"))
         fresh = versions.filter(~F.col("stored"))
-        fresh.select("url", "captured_at", "text").write.mode("overwrite").parquet(f"{state_path}/versions/epoch={epoch}")
-        change_records(fresh, "text", roles, org_words).write.mode("overwrite").parquet(f"{state_path}/changes/epoch={epoch}")
+        fresh.select("url", "captured_at", "text").write.mode("overwrite").parquet(f"{state_path}/versions/run={run}/epoch={epoch}")
+        change_records(fresh, "text", roles, org_words).write.mode("overwrite").parquet(f"{state_path}/changes/run={run}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -155,6 +155,19 @@ def test_streamed_page_changes_equal_batch(spark, tmp_path):
     assert {(r.url, r.captured_at, tuple(r.added_lines), tuple(r.removed_lines)) for r in got.collect()} == want and len(want) == 3
 
 
+def test_a_new_checkpoint_goes_on_from_the_stored_versions(spark, tmp_path):
+    day = lambda d: AS_OF + timedelta(days=d)
+    schema = "url string, captured_at timestamp, text string"
+    for k, rows in enumerate(([("a", day(0), "x\ny"), ("b", day(0), "1")], [("a", day(1), "x\nz"), ("b", day(1), "1"), ("c", day(1), "new")])):
+        src = str(tmp_path / f"in{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+        stream = jobs.file_stream(spark, src, spark.createDataFrame([], schema).schema)
+        jobs.page_change_stream(stream, str(tmp_path / "s"), str(tmp_path / f"ck{k}")).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "s/changes")).collect()
+    assert [(r.url, r.added_lines, r.removed_lines) for r in got] == [("a", ["z"], ["y"])]
+    assert spark.read.parquet(str(tmp_path / "s/versions")).count() == 4
+
+
 def test_streamed_streaks_equal_batch(spark, tmp_path):
     rows = [(f"s{i % 3}", i, i % 4 != 0 and i > 2) for i in range(40)]
     df = spark.createDataFrame(rows, "source_name string, mark bigint, failed boolean")
