@@ -267,7 +267,10 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: doc_id, place, n_shingles, component_id, kept, node; shingles have ``words`` words."""
+    """Per row: doc_id, place, n_shingles, component_id, kept, comp; shingles have ``words`` words.
+
+    ``comp`` tells components apart, also those whose ids are equal or null; it is null without shingles.
+    """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = as_files(docs.select("doc_id", "text"), scratch)
     placed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), locator(docs).alias("place"))
@@ -286,10 +289,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     comps = link_nodes(nodes.select("node", "n_shingles", "signature"), sets_of, scratch)
     linked = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = linked.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = linked.join(least, "comp").select("node", "component_id")
+    ids = linked.join(least, "comp").select("node", "comp", "component_id")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    columns = ["doc_id", "place", "n_shingles", "component_id", kept.alias("kept"), "node"]
-    bare = rows.filter("node is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "place", "n_shingles", "component_id", kept.alias("kept"), "comp"]
+    bare = rows.filter("node is null").withColumn("component_id", F.col("doc_id")).withColumn("comp", F.col("node"))
     return rows.filter("node is not null").join(ids, "node").select(*columns).unionByName(bare.select(*columns))
 
 
@@ -299,7 +302,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     docs = as_files(docs, scratch)
     columns, place = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "place")
     found = scratch.cut(near_duplicates(docs, words), "found")
-    # Rows of one id and component: the first place stays.
-    first = found.filter("kept").groupBy("component_id", "node").agg(F.min("place").alias("place")).groupBy("component_id").agg(F.min("place").alias("place"))
+    # Rows of one id and component: the first place stays. Ids do not tell components apart: they may be null or repeated.
+    first = found.filter("kept and n_shingles > 0").groupBy("comp").agg(F.min("place").alias("place"))
     gone = found.filter("n_shingles > 0").join(first, "place", "left_anti").select(F.col("place").alias(place))
     return docs.select(*columns, locator(docs).alias(place)).join(gone, place, "left_anti").select(*columns)

@@ -80,6 +80,23 @@ def test_one_row_of_each_component_stays(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_components_with_null_or_repeated_ids_each_keep_a_row(spark):
+    rng = random.Random(11)
+    text = lambda n: [rng.choice(["w", "v", "u"]) + str(rng.randrange(9000)) for _ in range(n)]
+    base, other = text(60), text(40)
+    near = [*base[:-1], "changed"]
+    far = [*base[1:], "moved"]
+    rows = [(None, None), (None, ""), (None, " ".join(text(20))), (None, " ".join(text(30))), (None, "one two"), (None, "one two"), (None, "ONE  two")]
+    rows += [(4, " ".join(base)), (9, " ".join(near)), (None, " ".join(far)), (4, " ".join(other)), (4, " ".join(other)), (4, "short text"), (8, "lone words here")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs.coalesce(1)).collect()]
+        short = [t for i, t in kept if i is None and t and t.lower().split() == ["one", "two"]]
+        assert len(short) == 1
+        want = [*rows[:4], (4, " ".join(base)), (4, " ".join(other)), (4, "short text"), (8, "lone words here")]
+        assert sorted((k for k in kept if k[1] not in short), key=repr) == sorted(want, key=repr)
+
+
 def test_hashes_do_not_depend_on_the_chunk():
     a, b = b"one two  Three four five", b"x\tONE two three four FIVE"
     data = np.frombuffer(a + b, np.uint8)
