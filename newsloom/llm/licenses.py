@@ -4,8 +4,13 @@ A text is brought to a canonical form (lower case, copyright lines dropped, equi
 punctuation and white space folded) and looked up by digest in a table of known licences. A document is looked
 up as a whole and, since notices are texts of one line, line by line.
 
-Known licences are a table (license_id, text); it is digested by the same expressions and joined by hash. It is
-broadcast only after its rows are counted, so the lines meet it where they are read.
+Known licences are a table (license_id, text): the full texts packaged in ``license_texts.jsonl`` (with and without
+title, appendix and the usual differences between copies) and one-line notices that name a licence. The driver
+reads the file, so tasks need no path; the table is digested by the same expressions as the documents and joined by
+hash. It is broadcast only after its rows are counted, so the lines meet it where they are read.
+
+Whole texts are found as wholes: a licence followed by other text, or one whose line breaks put "copyright" first
+in a line where no packaged copy does, is not. Notices of several lines count as texts.
 
 Defined results: null, empty and punctuation-only texts have the empty canonical form, which matches nothing;
 equal texts of two licences report both ids, sorted; repeated rows are each reported; an empty table gives an
@@ -14,6 +19,9 @@ empty result. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,14 +49,55 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
 IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""
-KNOWN = [
-    ("MIT", MIT),
-    ("ISC", ISC),
-    ("MIT", "Released under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-]
+# Names of licences in notices, the identifier first.
+_VERSIONED = [
+    ("Apache", "Apache License", ("1.1", "2.0")), ("GPL", "GNU General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")),
+    ("LGPL", "GNU Library General Public License", ("2.0",)), ("AGPL", "GNU Affero General Public License", ("3.0",)), ("MPL", "Mozilla Public License", ("1.0", "1.1", "2.0")),
+    ("EPL", "Eclipse Public License", ("1.0", "2.0")), ("GFDL", "GNU Free Documentation License", ("1.1", "1.2", "1.3")), ("CDDL", "Common Development and Distribution License", ("1.0", "1.1")),
+    ("EUPL", "European Union Public Licence", ("1.1", "1.2")), ("BSL", "Boost Software License", ("1.0",)), ("OFL", "SIL Open Font License", ("1.1",)), ("Artistic", "Artistic License", ("1.0", "2.0")),
+]
+_NAMED = {
+    "MIT": ("MIT", "Expat"), "ISC": ("ISC",), "Unlicense": ("Unlicense",), "WTFPL": ("WTFPL",), "Zlib": ("zlib",), "NCSA": ("NCSA", "University of Illinois/NCSA Open Source"),
+    "0BSD": ("0BSD", "Zero-Clause BSD", "BSD Zero Clause"), "BSD-2-Clause": ("BSD-2-Clause", "BSD 2-Clause", "2-Clause BSD", "Simplified BSD", "FreeBSD"),
+    "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause", "3-Clause BSD", "New BSD", "Modified BSD", "Revised BSD"), "BSD-4-Clause": ("BSD-4-Clause", "BSD 4-Clause", "4-Clause BSD", "Original BSD"),
+}
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_OPENINGS = ["Licensed under ", "Released under ", "Distributed under ", "This work is licensed under ", "This project is licensed under ", "This software is licensed under "]
+
+
+def _names() -> list[tuple[str, str]]:
+    """(license_id, name as notices give it); punctuation does not count."""
+    out = [(i, article + name + tail) for i, names in _NAMED.items() for name in names for article in ("", "the ") for tail in ("", " License")]
+    for short, long, versions in _VERSIONED:
+        later = ("", " or later", ", or any later version") if "GNU" in long else ("",)
+        forms = (f"the {long}", long, f"the {short}", short, *((f"the GNU {short}",) if "GNU" in long else ()))
+        numbers = [(v, n) for v in versions for n in dict.fromkeys((v, v.removesuffix(".0")))]
+        out += [(f"{short}-{v}", f"{name}{mark}{n}{more}") for name in forms for v, n in numbers for mark in (" ", ", version ", " v") for more in later]
+    for short, long in _CC.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            reach = "International" if v == "4.0" else "Unported"
+            names = (f"CC {short} {v}", f"Creative Commons {short} {v}", *(f"{the}Creative Commons {long} {v}{r}" for the in ("", "the ", "a ") for r in ("", f" {reach}", " License", f" {reach} License")))
+            out += [(f"CC-{short}-{v}", name) for name in names]
+    return out + [("CC0-1.0", name) for name in ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "the Creative Commons Zero License", "the Creative Commons CC0 1.0 Universal License")]
+
+
+def known_notices() -> list[tuple[str, str]]:
+    """(license_id, notice): one-line notices, among them SPDX lines."""
+    names = _names()
+    spdx = [(i, f"SPDX-License-Identifier: {i}{more}") for i in sorted({i for i, _ in names}) for more in ("", "-only", "-or-later")]
+    return [(i, f"{opening}{name}.") for i, name in names for opening in _OPENINGS] + spdx
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): the packaged full texts and standard notices of several lines."""
+    with Path(__file__).with_name("license_texts.jsonl").open(encoding="utf-8") as lines:
+        return [(r["license_id"], r["text"]) for r in map(json.loads, lines)]
+
+
+KNOWN = [("MIT", MIT), ("ISC", ISC), *known_texts(), *known_notices()]
 # Spellings that count as equal, the second is used.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("non infringement", "noninfringement"),

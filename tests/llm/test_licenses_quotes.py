@@ -21,6 +21,23 @@ def test_equivalent_texts_find_their_licence(spark):
     assert licenses.scan(docs.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_common_texts_and_notices_are_known(spark):
+    texts = dict(reversed(licenses.known_texts()))
+    want = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "CC0-1.0"]
+    notices = {
+        "GPL-2.0": "Licensed under the GNU General Public License v2.0 or later", "AGPL-3.0": "# SPDX-License-Identifier: AGPL-3.0-only", "BSD-3-Clause": "Released under the BSD 3-clause licence.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "MPL-2.0": "// Distributed under MPL 2.0",
+    }
+    bsd = "Copyright 2021, Someone\r\nAll rights reserved.\r\n\r\n" + texts["BSD-3-Clause"].replace("\n", "\r\n")
+    rows = [*((i, texts[i].upper()) for i in want), ("BSD-3-Clause", bsd), *((i, f"x\n{n}\ny") for i, n in notices.items())]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_ids, r.line_license_ids) for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    whole = len(want) + 1
+    assert [got[k][0] for k in range(whole)] == [i for i, _ in rows[:whole]]
+    assert [got[k] for k in range(whole, len(rows))] == [("", i) for i in notices]
+    assert len(licenses.KNOWN) < 50_000
+
+
 MESSAGES = [
     (1, 0, "user", "How do I sort a list?\n\nIt has Names."), (1, 1, "assistant", "> how do I sort a list\n\nUse sort."), (1, 2, "user", "unrelated"),
     (1, 3, "user", ">> It has names!\n> Use sort.\nThanks, and reversed?"), (1, 4, "assistant", "> Thanks, and reversed?\n>> nobody said this\nYes: reverse."),
