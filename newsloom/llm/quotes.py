@@ -2,8 +2,10 @@
 
 Lines that start with '>' marks are quotations; the number of marks is their level. Neighbouring lines of one
 level form a passage. A passage is normalised (lower case, letters and digits only, single blanks) and hashed,
-and so are the unquoted text of every message, its paragraphs and its lines. A passage is linked to the first
-earlier message of its conversation that has the same hash. A message answers the message behind its outermost
+and so are the unquoted text of every message, its paragraphs, its lines, and as many neighbouring lines or
+paragraphs as a passage of the conversation has, so a trimmed quotation is found whatever it leaves out before or
+behind; one that begins or ends within a line is not. A passage is linked to the first earlier message of its
+conversation that has the same hash. A message answers the message behind its outermost
 linked passage, the last one among equals; without a link it answers the turn before it.
 
 The conversation is then built without quotes: messages in reply order (a message comes after the one it
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch
 
+PARAGRAPH = r"\n\s*\n"
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Turns that are ranked together.
 BLOCK = 1000
@@ -40,6 +43,19 @@ def passage_hash(text: Column) -> Column:
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
+def parts_of(text: Column, separator: str) -> Column:
+    """Normalised parts of a text in order, without empty ones."""
+    return F.filter(F.transform(F.split(text, separator), normalised), lambda x: x != "")
+
+
+def runs_of(parts: str, sizes: str) -> Column:
+    """All runs of neighbouring ``parts``, of each of the ``sizes``."""
+    def starts(k: Column) -> Column:
+        return F.when(F.size(parts) >= k, F.sequence(F.lit(1), F.size(parts) - k + 1)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(sizes, lambda k: F.transform(starts(k), lambda i: F.array_join(F.slice(F.col(parts), i, k), " "))))
+
+
 def split_lines(messages: DataFrame) -> DataFrame:
     """(msg, no, level, content): the lines of every message that has a quotation."""
     line = F.regexp_replace(F.col("line"), MARKS, "")
@@ -80,7 +96,8 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = landed.select("*", place.alias("msg"))
     lines = split_lines(rows)
-    found = scratch.cut(passages(lines).withColumn("hash", passage_hash(F.col("passage"))), "passages")
+    sizes = {"n_lines": F.size(parts_of(F.col("passage"), "\n")), "n_paragraphs": F.size(parts_of(F.col("passage"), PARAGRAPH))}
+    found = scratch.cut(passages(lines).withColumns({"hash": passage_hash(F.col("passage"))} | sizes), "passages")
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("no", "content")))), lambda x: x["content"]), "\n")
     bodies = lines.groupBy("msg").agg(F.trim(F.regexp_replace(own, r"^\s+|\s+$", "")).alias("own"))
     counts = found.groupBy("msg").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("level").alias("max_level"))
@@ -88,9 +105,11 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
     keyed = told.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "msg", "body")
     quoting = found.filter("hash is not null").join(keyed.select("msg", "conv_id", "turn"), "msg")
-    units = F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n"))
+    wanted = quoting.groupBy("conv_id").agg(*[F.array_sort(F.collect_set(F.when(F.col(n) > 1, F.col(n)))).alias(n) for n in sizes])
+    units = F.concat(F.array("body"), F.split("body", PARAGRAPH), F.split("body", "\n"), runs_of("lines", "n_lines"), runs_of("paragraphs", "n_paragraphs"))
     originals = (
-        keyed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+        keyed.join(wanted, "conv_id")
+        .select("conv_id", "turn", "body", *sizes, parts_of(F.col("body"), "\n").alias("lines"), parts_of(F.col("body"), PARAGRAPH).alias("paragraphs"))
         .select("conv_id", "turn", F.explode(F.array_distinct(units)).alias("unit")).withColumn("hash", passage_hash(F.col("unit")))
         .filter("hash is not null").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     )

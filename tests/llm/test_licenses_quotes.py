@@ -80,3 +80,20 @@ def test_a_long_conversation_is_ranked_by_blocks(spark):
     assert [r.position for r in rows] == list(range(1, 5001))
     assert [r.parent_turn for r in rows] == [None, *[3 * i for i in range(4999)]]
     assert quotes.link_quotes(frame.limit(0)).count() == 0
+
+
+def test_trimmed_quotations_find_their_message(spark):
+    text = "First line here.\nSecond line here.\nThird line here.\n\nA second paragraph\nof two lines.\n\nThe last one."
+    quoting = [
+        ("> first line here\n> second line here", 0), ("> Second line here.\n> Third line here.\nright", 0), ("> Third line here.\n>\n> A second paragraph", 0),
+        ("> A second paragraph of\n> two lines.\n> \n> The last one.\nwell", 0), ("> First line here.\n> Third line here.", None), ("> First line here.\n> Second line", None),
+        ("> Second line here.\n> Other text.", None),
+    ]
+    rows = [(1, 0, text), (1, 1, "between"), (1, 2, text), *((1, 3 + i, q) for i, (q, _) in enumerate(quoting)), (2, 0, "x"), (2, 1, quoting[0][0])]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(frame).collect()}
+    assert len(got) == len(rows)
+    for i, (_, source) in enumerate(quoting):
+        r = got[1, 3 + i]
+        assert (r.linked, r.parent_turn) == ((True, source) if source is not None else (False, 2 + i)), i
+    assert not got[2, 1].linked
