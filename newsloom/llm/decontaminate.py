@@ -8,8 +8,9 @@ occurrences are located by sampled suffix positions, and their spans are merged
 No row moves: the only shared data are the test phrases, sent to the tasks in blocks of a bounded size; each
 block is a further pass inside the same stage. Any number of documents may hold one passage.
 
-Defined results: null or word-less text has no words and no hits; a null or word-less item has no phrase; items
-with equal phrases are all reported; repeated rows are each reported; empty tables give empty or hit-less
+Defined results: null or word-less text has no words and no hits; an item with null or word-less text has no phrase;
+an item with a null id is searched like any other, all of them count as one item, null in the list of items and
+absent from its digest, as in the SQL; items with equal phrases are all reported; repeated rows are each reported; empty tables give empty or hit-less
 results; other columns are passed through.
 """
 
@@ -46,12 +47,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
+def _null_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Phrases:
     """Distinct test phrases of a block of items, as numbers of its own vocabulary."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, FIRST_WORD + len(self.vocabulary)) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1)) if ids else ():
@@ -60,7 +65,7 @@ class Phrases:
         self.table = np.zeros((len(found), window), np.int64)
         for row, p in enumerate(found):
             self.table[row, : len(p)] = p
-        self.items = [sorted(x) for x in found.values()]
+        self.items = [sorted(x, key=_null_last) for x in found.values()]
         self.shortest = int(self.lengths.min()) if found else 0
 
     def occurrences(self, docs: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +126,7 @@ def _mark(text_column: str, mark_column: str, shared, shard_bytes: int, dropped:
                 marks[d]["items"].update(phrases.items[p])
             for m in marks:
                 m["spans"] = [{"start": a, "end": b} for a, b in merged(m["spans"])]
-                m["items"] = sorted(m["items"])
+                m["items"] = sorted(m["items"], key=_null_last)
             columns = {f.name: shard.column(i) for i, f in enumerate(shard.schema) if f.name != dropped}
             yield pa.RecordBatch.from_pydict(columns | {mark_column: pa.array(marks, _MARK)})
 
@@ -137,12 +142,12 @@ def mark_occurrences(
     ``keep_text=False`` leaves the text column out of the result.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     out = docs.withColumn(name, F.lit(None).cast(MARK))
     for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+        mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Phrases([(r["item"], bytes(r["text"])) for r in mine], window))
         dropped = None if keep_text or block < blocks - 1 else text
         schema = T.StructType([f for f in out.schema if f.name != dropped])

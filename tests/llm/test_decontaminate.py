@@ -63,6 +63,16 @@ def test_report_equals_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {None, 4, 5, 6, 7, 11}
 
 
+def test_items_with_null_ids_are_searched(spark):
+    items = [(None, "first hidden passage"), (None, "second hidden passage"), (7, "named passage"), (None, None)]
+    docs = [(1, "a first hidden passage b"), (2, "second hidden passage, named passage"), (3, "clean")]
+    benchmark, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({}, {"block_bytes": 20}):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(frame, benchmark, **options).collect()}
+        assert got == {1: (3, 1, True), 2: (5, 2, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(frame, benchmark).collect()] == [3]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
