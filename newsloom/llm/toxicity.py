@@ -2,10 +2,12 @@
 
 The kernel of two strings sums, over all subsequences of three characters, the product of their decayed
 occurrences: ``DECAY`` to the power of the span, spans up to ``SPAN``; it is normalised. Inserted characters
-and punctuation only lengthen spans, so a gapped insult stays close to the plain one.
+only lengthen spans, so a gapped insult stays close to the plain one.
 
-Units are the words of a text's sentences; runs of single characters ("i d i o t") form one unit and long words
-are cut into overlapping windows. A labelled text is toxic if one of its sentences is: witnesses of toxic texts
+Units are the words of a text, one byte per letter or digit of any script; signs and combining accents between
+letters are taken out before, so any number of them may part the letters of an insult. Runs of single letters over
+any white space ("i d  i o t") form one unit, and so do short words with their neighbours ("id iot"); long units are
+cut into overlapping windows. Insults of several longer words are no units. A labelled text is toxic if one of its sentences is: witnesses of toxic texts
 are found by covering the toxic texts of the sample with words absent from clean ones, then renewed by the
 machine itself, with the best units of clean texts as hard negatives. A text's margin is that of its highest unit;
 a logistic curve, fitted on sample texts kept from the machine, turns it into a score.
@@ -24,6 +26,7 @@ learned with its largest; empty tables give empty results.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,8 +44,21 @@ UNIT, STRIDE = 24, 12
 THRESHOLD = 0.7
 CACHE = 400_000
 
-_EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_SPACED = re.compile(rb"(?<!\S)[^\s](?:[ \t][^\s]){2,}(?!\S)")
+FRAGMENT, JOINED = 3, 9  # letters of a short word, and of one joined with its neighbours
+
+
+class _Letters(dict):
+    """Code point to the byte that stands for it in units, 32 for white space, None for what is taken out."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        letter = c.isalnum() or (unicodedata.category(c)[0] == "M" and not 0x300 <= code < 0x370)
+        self[code] = 32 if c.isspace() else (code if code < 128 else 128 + (code & 63)) if letter else None
+        return self[code]
+
+
+_LETTERS = _Letters()
+_SPACED = re.compile(rb"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SYMBOL = np.zeros(256, np.int32)  # 0: a gap, in no subsequence
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[48:58] = np.arange(27, 37)
@@ -51,15 +67,19 @@ _POWERS = DECAY ** np.arange(SPAN + 1)
 
 
 def units_of(text: bytes) -> set[bytes]:
-    """Distinct units of all sentences of a lower-cased text."""
-    spaced = [m.group().replace(b" ", b"").replace(b"\t", b"") for m in _SPACED.finditer(text)]
+    """Distinct units of a lower-cased text."""
+    letters = text.decode("utf-8", "replace").translate(_LETTERS).encode("latin-1")
+    words = letters.split()
+    units = set(words)
+    units.update(b"".join(m.group().split()) for m in _SPACED.finditer(letters))
+    units.update(a + b for a, b in set(zip(words, words[1:])) if min(len(a), len(b)) <= FRAGMENT and len(a) + len(b) <= JOINED)
+    units.update(b"".join(t) for t in set(zip(words, words[1:], words[2:])) if max(map(len, t)) <= FRAGMENT)
     out = set()
-    for word in {w.strip(_EDGE) for w in text.split()} | set(spaced):
+    for word in units:
         if len(word) <= UNIT:
             out.add(word)
         else:
             out.update(word[i : i + UNIT] for i in range(0, len(word) - UNIT + STRIDE, STRIDE))
-    out.discard(b"")
     return out
 
 

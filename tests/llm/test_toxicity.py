@@ -43,6 +43,19 @@ def test_units_join_spaced_letters_and_window_long_words():
     assert max(map(len, toxicity.units_of(b"z" * 100))) <= toxicity.UNIT
 
 
+def test_units_bridge_gaps_in_every_script():
+    unit = lambda word: toxicity.units_of(word.encode())
+    for word in ("idiot", "pathétique", "blödmann", "дурак"):
+        plain = unit(word)
+        assert len(plain) == 1 and len(*plain) == len(word)
+        for gap in (" ", "  ", "\t", "\n", "\r\n", "\u00a0", " - ", "---", ".", "\u200b"):
+            assert plain <= unit("xyzzy " + gap.join(word) + " here!"), (word, gap)
+    for text in ("id iot", "i diot", "id  i ot", "id\niot", "i-d iot"):
+        assert b"idiot" in unit(f"some {text} there"), text
+    assert unit("ду рак") >= unit("дурак") and unit("pathe\u0301tique") == unit("pathetique")
+    assert unit("") == unit(" -- ") == set()
+
+
 def corpus(seed=1, n=400):
     rng = random.Random(seed)
     syllables = ["ba", "ne", "ti", "lo", "sa", "ku", "re", "mi", "don", "gar"]
