@@ -33,9 +33,9 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{name}-{self._n}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("error").parquet(path)
+        df.write.mode("error").options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

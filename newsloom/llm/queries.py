@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, quotes, toxicity, warc
+from newsloom.llm import alignment, decontaminate, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, quotes, toxicity, warc
 from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,8 +121,12 @@ FROM bits
 """
 
 
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op5_quote_links": op5_quote_links, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
+    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op12_align_tokens": op12_align_tokens, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op5_quote_links": op5_quote_links, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
