@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import alignment, decontaminate, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, quotes, toxicity, warc
+from newsloom.llm import alignment, decontaminate, exact_dedup, language_id, lattice_lm, lexical_search, licenses, mixing, near_dedup, quotes, simhash, toxicity, warc
 from newsloom.llm.common import is_held_out, table
 
 NORM_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,13 +121,36 @@ FROM bits
 """
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_TERMS = f"regexp_extract_all({NORM_SQL}, '{lexical_search.TERM}')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {OP11_TERMS} AS w FROM documents),
+sizes AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS total FROM d),
+tf AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY rid, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, sizes GROUP BY t),
+items AS (SELECT DISTINCT item_id, unnest({OP11_TERMS}) AS t FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (t) JOIN weights USING (t), sizes GROUP BY item_id, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op12_align_tokens": op12_align_tokens, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op5_quote_links": op5_quote_links, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
+    return {"op1_toxicity": op1_toxicity, "op10_warc": op10_warc, "op11_lexical_search": op11_lexical_search, "op12_align_tokens": op12_align_tokens, "op13_simhash": op13_simhash, "op2_lm_score": op2_lm_score, "op3_near_dedup": op3_near_dedup, "op4_mix_sources": op4_mix_sources, "op5_quote_links": op5_quote_links, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_exact_dedup": op8_exact_dedup, "op9_license_scan": op9_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op3_near_dedup": OP3_SQL, "op5_quote_links": quotes.ORACLE_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_license_scan": licenses.oracle_sql()}
+    return {"op10_warc": OP10_SQL, "op11_lexical_search": OP11_SQL, "op3_near_dedup": OP3_SQL, "op5_quote_links": quotes.ORACLE_SQL, "op6_decontaminate": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_license_scan": licenses.oracle_sql()}
