@@ -32,13 +32,15 @@ def country_gate(df: DataFrame, text: str, gazetteer: Gazetteer, lowered: str |
     Adds ``is_overseas``, ``overseas_confidence``, ``country``, ``region`` and
     ``overseas_evidence`` (at most eight, in order, distinct).
     """
-    low = F.col(lowered) if lowered else F.lower(text)
+    # A column of its own, so that no rewrite of the plan lowers the text once per place.
+    lower = df.withColumn("_low", F.col(lowered) if lowered else F.lower(text))
+    low = F.col("_low")
     place = F.lit(None).cast("struct<country:string,region:string,aliases:array<string>>")
     for country, region, aliases in reversed(gazetteer.places):
         hit = contains_any(low, [a.lower() for a in aliases])
         entry = F.struct(F.lit(country).alias("country"), F.lit(region).alias("region"), _strings(aliases).alias("aliases"))
         place = F.when(hit, entry).otherwise(place)
-    out = df.withColumn("_low", low).withColumn("_place", place)
+    out = lower.withColumn("_place", place)
     aliases = F.coalesce(F.col("_place.aliases"), F.array().cast("array<string>"))
     hits = F.filter(F.concat(aliases, _strings(gazetteer.signals)), lambda a: F.contains(F.col("_low"), F.lower(a)))
     out = out.withColumn("_ev", F.array_distinct(hits))
@@ -114,7 +116,7 @@ def intelligence_labels(
     ``fallbacks`` are (source type, label, labels that make it unnecessary); ``rollup``
     is a label added when any of its member labels is present.
     """
-    labels = rule_labels(F.lower(text), rules, match)
+    labels = bind(F.lower(text), lambda low: rule_labels(low, rules, match))
     none = F.array().cast("array<string>")
 
     def extend(base: Column) -> Column:
