@@ -8,39 +8,55 @@ independent set of the match graph, and it is computed in rounds:
 * exact keys need no pairs: an item can lead only if it is the first undecided item of its
   URL, hash and event groups, found with map-side combined minima;
 * titles are compared on distinct titles against a few pivots per block and round;
-* each new leader closes its groups at once, so copies and near copies disappear early.
+* each new leader closes its groups at once, so copies and near copies disappear early;
+* what the first round leaves is contracted to conflict components; small ones are folded in
+  arrival order inside one row, so further rounds see only the large ones.
 
-Every round either decides the earliest undecided item or takes pivots out of every block,
-so it ends; nothing is capped.
+Items without a conflict are decided by the first round, so input without conflicts writes a
+fixed number of tables.  Every round either decides the earliest undecided item or takes pivots
+out of every block, so it ends; nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from newsloom.operators import graph
 from newsloom.operators import similarity as sim
+from newsloom.operators.reach import earliest_in_reach
 from newsloom.session import cut_lineage
 from newsloom.skew import counted_broadcast, first_per_key, keyed_lookup
 
 EXACT_KEYS = ("url_key", "hash_key", "event_key")
 EVENT_SCORE_MIN = 0.65
+#: Items of a conflict component that is decided inside one row.
+COMPONENT = 64
 
 
 def _since(as_of: datetime, days: int) -> Column:
     return F.coalesce("published_at", F.lit(as_of)) - F.make_dt_interval(F.lit(days))
 
 
+def _keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """(kind, key, ...) of each row's exact keys; rows lack those that are null."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(EXACT_KEYS)])
+    return rows.select(F.explode(kinds).alias("_k"), *columns).select("_k.kind", "_k.key", *columns).filter("key is not null")
+
+
 def select_leaders(
-    items: DataFrame, as_of: datetime, measure: str = "sequence", threshold: float = sim.TITLE_THRESHOLD,
-    reach_days: int = sim.REACH_DAYS, pivots: int = sim.PIVOTS, max_rounds: int = 100_000,
+    items: DataFrame, as_of: datetime, measure: str = "edit", threshold: float = sim.TITLE_THRESHOLD,
+    reach_days: int = sim.REACH_DAYS, pivots: int = sim.PIVOTS, blocks: DataFrame | None = None, component: int = COMPONENT,
 ) -> DataFrame:
     """Arrival numbers of the eligible items that the sequential order would accept.
 
-    ``items``: arrival_seq (unique), url_key, hash_key, event_key, title, published_at, eligible.
+    ``items``: arrival_seq (unique), url_key, hash_key, event_key, title, published_at, eligible.  ``blocks`` are the
+    prefix blocks of all titles, if they are known.
     """
     undecided = cut_lineage(
         sim.title_ids(items.filter("eligible"), "title")
@@ -50,12 +66,14 @@ def select_leaders(
     )
     titles = cut_lineage(undecided.select("tid", "low").distinct(), "titles")
     undecided = undecided.drop("low")
-    blocks = cut_lineage(sim.prefix_blocks(titles, measure, threshold), "blocks")
+    if blocks is None:
+        blocks = cut_lineage(sim.prefix_blocks(titles, measure, threshold), "blocks")
     pairs = titles.select(F.col("tid").alias("tid_l"), F.col("tid").alias("tid_x"), F.lit(1.0).alias("score"))
     leaders: DataFrame | None = None
-    open_blocks = blocks.limit(1).count() > 0
-    for done in range(max_rounds):
-        if done % 16 == 15:
+    open_blocks, done = True, 0
+    while True:
+        done += 1
+        if done % 16 == 0:
             # Many small tables become one, so that the plan does not grow with the rounds.
             pairs, leaders = cut_lineage(pairs, "pairs"), cut_lineage(leaders, "leaders")
         if open_blocks:
@@ -63,22 +81,78 @@ def select_leaders(
             found, rest = sim.expand_round(blocks, titles, order, measure, threshold, pivots)
             pairs = pairs.unionByName(cut_lineage(found, "pairs"))
             blocks = cut_lineage(rest.join(order.select("tid"), "tid", "left_semi"), "blocks")
-            open_blocks = blocks.limit(1).count() > 0
-        fresh = cut_lineage(_ready(undecided, pairs, blocks if open_blocks else None), "leaders")
-        leaders = fresh if leaders is None else leaders.unionByName(fresh)
+            open_blocks = not blocks.isEmpty()
+        waiting = blocks if open_blocks else None
+        fresh = cut_lineage(_ready(undecided, pairs, waiting), "leaders")
+        leaders = fresh.select("arrival_seq") if leaders is None else leaders.unionByName(fresh.select("arrival_seq"))
         undecided = cut_lineage(_close(undecided, fresh, pairs), "undecided")
-        if undecided.limit(1).count() == 0:
-            return leaders.select("arrival_seq")
-    raise RuntimeError("the cascade did not finish within max_rounds")
+        if undecided.isEmpty():
+            return leaders
+        if done & (done - 1) == 0:  # after 1, 2, 4, 8, ... rounds, as what is left falls apart
+            comps = cut_lineage(conflict_components(undecided, pairs, waiting), "components")
+            small = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.max("waits").alias("waits")).filter((F.col("n") <= component) & ~F.col("waits"))
+            settled = cut_lineage(comps.join(small, "comp", "left_semi").select("arrival_seq", "comp"), "settled")
+            leaders = leaders.unionByName(cut_lineage(_decide_within(undecided, pairs, settled), "leaders"))
+            undecided = cut_lineage(undecided.join(settled, "arrival_seq", "left_anti"), "undecided")
+            if undecided.isEmpty():
+                return leaders
+
+
+def conflict_components(undecided: DataFrame, pairs: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """(arrival_seq, comp, waits): items that a chain of shared keys or similar titles connects.
+
+    Groups become stars around their first item, so a group of any size is one edge per item.  ``waits`` marks items
+    whose title has comparisons open in ``blocks``.
+    """
+    keyed = _keys(undecided, "arrival_seq")
+    heads = keyed.groupBy("kind", "key").agg(F.min("arrival_seq").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    by_key = keyed.join(heads, ["kind", "key"]).select(F.col("arrival_seq").alias("a"), "b")
+    first = undecided.groupBy("tid").agg(F.min("arrival_seq").alias("b"))
+    by_title = undecided.join(first, "tid").select(F.col("arrival_seq").alias("a"), "b")
+    similar = (
+        pairs.filter("tid_l < tid_x").join(first.select(F.col("tid").alias("tid_l"), F.col("b").alias("a")), "tid_l")
+        .join(first.select(F.col("tid").alias("tid_x"), "b"), "tid_x").select("a", "b")
+    )
+    comps = graph.connected(by_key.unionByName(by_title).unionByName(similar))
+    out = undecided.select("arrival_seq", "tid").join(comps.withColumnRenamed("id", "arrival_seq"), "arrival_seq", "left")
+    out = out.withColumn("comp", F.coalesce("comp", "arrival_seq"))
+    if blocks is None:
+        return out.select("arrival_seq", "comp", F.lit(False).alias("waits"))
+    open_titles = blocks.select("tid").distinct().withColumn("waits", F.lit(True))
+    return out.join(open_titles, "tid", "left").select("arrival_seq", "comp", F.coalesce("waits", F.lit(False)).alias("waits"))
+
+
+def _decide_within(undecided: DataFrame, pairs: DataFrame, settled: DataFrame) -> DataFrame:
+    """Leaders of small components: each is folded in arrival order inside one row.
+
+    A component has at most ``COMPONENT`` items, so the row and the fold are bounded.
+    """
+    mine = undecided.join(settled, "arrival_seq")
+    tids = mine.select(F.col("tid").alias("tid_x")).distinct()
+    near = pairs.join(tids, "tid_x").join(tids.withColumnRenamed("tid_x", "tid_l"), "tid_l", "left_semi")
+    near = near.groupBy(F.col("tid_x").alias("tid")).agg(F.collect_set("tid_l").alias("near"))
+    columns = ("arrival_seq", *EXACT_KEYS, "tid", "published_at")
+    rows = mine.join(near, "tid").groupBy("comp").agg(F.sort_array(F.collect_list(F.struct(*columns, "since", "near"))).alias("items"))
+    kind = "array<struct<" + ",".join(f"{c}:{undecided.schema[c].dataType.simpleString()}" for c in columns) + ">>"
+
+    def accept(chosen: Column, x: Column) -> Column:
+        def blocks(leader: Column) -> Column:
+            same = [F.coalesce(leader[k] == x[k], F.lit(False)) for k in EXACT_KEYS]
+            similar = F.array_contains(x["near"], leader["tid"]) & (leader["published_at"] >= x["since"])
+            return reduce(lambda a, b: a | b, same) | F.coalesce(similar, F.lit(False))
+
+        return F.when(F.exists(chosen, blocks), chosen).otherwise(F.concat(chosen, F.array(F.struct(*[x[c].alias(c) for c in columns]))))
+
+    chosen = F.aggregate("items", F.array().cast(kind), accept)
+    return rows.select(F.explode(F.transform(chosen, lambda c: c["arrival_seq"])).alias("arrival_seq"))
 
 
 def _ready(undecided: DataFrame, pairs: DataFrame, blocks: DataFrame | None) -> DataFrame:
     """Items first in each exact group, with no open comparison and no earlier similar item in reach."""
-    firsts = None
-    for key in EXACT_KEYS:
-        f = undecided.groupBy(key).agg(F.min("arrival_seq").alias("arrival_seq")).select("arrival_seq")
-        firsts = f if firsts is None else firsts.join(f, "arrival_seq")
-    cand = undecided.join(firsts, "arrival_seq", "left_semi")
+    firsts = _keys(undecided, "arrival_seq").groupBy("kind", "key").agg(F.min("arrival_seq").alias("arrival_seq"))
+    leading = firsts.groupBy("arrival_seq").agg(F.count(F.lit(1)).alias("_led"))
+    has = reduce(lambda a, b: a + b, [F.col(k).isNotNull().cast("int") for k in EXACT_KEYS])
+    cand = undecided.join(leading, "arrival_seq", "left").filter(F.coalesce("_led", F.lit(0)) == has).drop("_led")
     if blocks is not None:
         cand = cand.join(blocks.select("tid").distinct(), "tid", "left_anti")
     # Earliest undecided arrival per title and publication day: at most one row per day and title.
@@ -87,6 +161,9 @@ def _ready(undecided: DataFrame, pairs: DataFrame, blocks: DataFrame | None) ->
         .groupBy(F.col("tid").alias("tid_l"), F.to_date("published_at").alias("day"))
         .agg(F.min("arrival_seq").alias("seq_l"))
     )
+    # Of each title's days, the smallest arrival on that day or later.
+    later = Window.partitionBy("tid_l").orderBy(F.desc("day"))
+    by_day = by_day.withColumn("seq_l", F.min("seq_l").over(later))
     blocked = (
         cand.select("arrival_seq", F.col("tid").alias("tid_x"), F.to_date("since").alias("since_day"))
         .join(pairs.select("tid_l", "tid_x"), "tid_x")
@@ -99,17 +176,16 @@ def _ready(undecided: DataFrame, pairs: DataFrame, blocks: DataFrame | None) ->
 
 def _close(undecided: DataFrame, fresh: DataFrame, pairs: DataFrame) -> DataFrame:
     """Drop the new leaders and everything they match."""
-    rest = undecided.join(counted_broadcast(fresh.select("arrival_seq")), "arrival_seq", "left_anti")
-    for key in EXACT_KEYS:
-        rest = rest.join(counted_broadcast(fresh.select(key)), key, "left_anti")
+    keyed = _keys(undecided, "arrival_seq").join(_keys(fresh), ["kind", "key"], "left_semi").select("arrival_seq")
     reach = pairs.join(fresh.select(F.col("tid").alias("tid_l"), F.col("arrival_seq").alias("seq_l"), F.col("published_at").alias("pub_l")), "tid_l")
-    reach = reach.select("tid_x", "seq_l", "pub_l")
-    hit = (rest["tid"] == reach["tid_x"]) & (reach["seq_l"] < rest["arrival_seq"]) & (reach["pub_l"] >= rest["since"])
-    return rest.join(reach, hit, "left_anti").select(undecided.columns)
+    reach = reach.select(F.col("tid_x").alias("tid"), "seq_l", "pub_l")
+    similar = earliest_in_reach(undecided, reach, "arrival_seq", "tid", "since", "seq_l", "pub_l").select("arrival_seq")
+    gone = fresh.select("arrival_seq").unionByName(keyed).unionByName(similar)
+    return undecided.join(gone, "arrival_seq", "left_anti")
 
 
 def ingest_cascade(
-    items: DataFrame, as_of: datetime, measure: str = "sequence", threshold: float = sim.TITLE_THRESHOLD,
+    items: DataFrame, as_of: datetime, measure: str = "edit", threshold: float = sim.TITLE_THRESHOLD,
     reach_days: int = sim.REACH_DAYS, existing: DataFrame | None = None, pivots: int = sim.PIVOTS,
 ) -> DataFrame:
     """Outcome of every item.
@@ -130,16 +206,18 @@ def ingest_cascade(
         old = existing.select("arrival_seq", *EXACT_KEYS, "title", "published_at", "confidence").withColumn("eligible", F.lit(True))
         old = sim.title_ids(_relevant(old, slim), "title").withColumn("since", _since(as_of, reach_days))
         old = cut_lineage(old, "existing")
-        outside = _attribute(slim, old, measure, threshold)
+        blocks = _title_blocks(slim.select("tid", "low").unionByName(old.select("tid", "low")), measure, threshold)
+        outside = _attribute(slim, old, measure, threshold, blocks)
         known = cut_lineage(outside, "known")
         free = slim.join(known.filter("stage is not null").select("arrival_seq"), "arrival_seq", "left_anti")
     else:
         old, free = None, slim
-    chosen = select_leaders(free, as_of, measure, threshold, reach_days, pivots)
+        blocks = _title_blocks(slim.select("tid", "low"), measure, threshold)
+    chosen = select_leaders(free, as_of, measure, threshold, reach_days, pivots, blocks)
     leaders = cut_lineage(slim.join(chosen, "arrival_seq", "left_semi"), "accepted")
     against = leaders if old is None else leaders.unionByName(old)
     rest = slim.join(chosen, "arrival_seq", "left_anti")
-    matched = _attribute(rest, against, measure, threshold).select("arrival_seq", "stage", "leader_seq", "match_score")
+    matched = _attribute(rest, against, measure, threshold, blocks).select("arrival_seq", "stage", "leader_seq", "match_score")
     method = F.element_at(F.array(*[F.lit(m) for m in ("canonical_url", "content_hash", "title_similarity", "canonical_event")]), F.col("stage"))
     decided = matched.select(
         "arrival_seq",
@@ -172,32 +250,28 @@ def _relevant(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return parts.dropDuplicates(["arrival_seq"])
 
 
-def _attribute(rest: DataFrame, leaders: DataFrame, measure: str, threshold: float) -> DataFrame:
+def _title_blocks(titles: DataFrame, measure: str, threshold: float) -> DataFrame:
+    """Prefix blocks of all titles of a run; every comparison of the run reads them."""
+    return cut_lineage(sim.prefix_blocks(titles.distinct(), measure, threshold), "blocks")
+
+
+def _attribute(rest: DataFrame, leaders: DataFrame, measure: str, threshold: float, blocks: DataFrame) -> DataFrame:
     """First stage, earliest leader and score for each item; stage is NULL without a match."""
-    out = rest
-    for i, key in enumerate(EXACT_KEYS):
-        table = leaders.groupBy(key).agg(
-            F.min("arrival_seq").alias(f"l{i}"), F.min_by("confidence", "arrival_seq").alias(f"c{i}")
-        )
-        out = keyed_lookup(out, table, [key], "arrival_seq")
-    out = out.withColumn("l0", F.when(F.col("l0") < F.col("arrival_seq"), F.col("l0"))).withColumn(
-        "l1", F.when(F.col("l1") < F.col("arrival_seq"), F.col("l1"))
-    ).withColumn("l2", F.when((F.col("l2") < F.col("arrival_seq")) & F.col("eligible"), F.col("l2")))
+    first = _keys(leaders, "arrival_seq", "confidence").groupBy("kind", "key").agg(F.min(F.struct(F.col("arrival_seq").alias("l"), F.col("confidence").alias("c"))).alias("_m"))
+    met = keyed_lookup(_keys(rest, "arrival_seq"), first, ["kind", "key"], "arrival_seq", how="inner").filter(F.col("_m.l") < F.col("arrival_seq"))
+    of = lambda i, f: F.max(F.when(F.col("kind") == i, F.col(f"_m.{f}"))).alias(f"{f}{i}")
+    exact = met.groupBy("arrival_seq").agg(of(0, "l"), of(1, "l"), of(2, "l"), of(2, "c"))
+    out = rest.join(exact, "arrival_seq", "left").withColumn("l2", F.when(F.col("eligible"), F.col("l2")))
     out = cut_lineage(out, "exact")
     open_items = out.filter("l0 is null and l1 is null")
     pairs = cut_lineage(
-        sim.similar_to(open_items.select("tid", "low").distinct(), leaders.select("tid", "low").distinct(), measure, threshold),
+        sim.similar_to(open_items.select("tid", "low").distinct(), leaders.select("tid", "low").distinct(), measure, threshold, blocks=blocks),
         "title-pairs",
     )
     reach = pairs.join(
-        leaders.select(F.col("tid").alias("tid_l"), F.col("arrival_seq").alias("seq_l"), F.col("published_at").alias("pub_l")), "tid_l"
-    ).select(F.col("tid_x").alias("tid"), "seq_l", "pub_l", "score")
-    titled = (
-        keyed_lookup(open_items.select("arrival_seq", "tid", "since"), reach, ["tid"], "arrival_seq", how="inner")
-        .filter((F.col("seq_l") < F.col("arrival_seq")) & (F.col("pub_l") >= F.col("since")))
-        .groupBy("arrival_seq")
-        .agg(F.min("seq_l").alias("lt"), F.min_by("score", "seq_l").alias("st"))
-    )
+        leaders.select(F.col("tid").alias("tid_l"), F.col("arrival_seq").alias("lt"), F.col("published_at").alias("pub_l")), "tid_l"
+    ).select(F.col("tid_x").alias("tid"), "lt", "pub_l", F.col("score").alias("st"))
+    titled = earliest_in_reach(open_items, reach, "arrival_seq", "tid", "since", "lt", "pub_l", ["st"])
     full = out.join(titled, "arrival_seq", "left")
     stage = (
         F.when(F.col("l0").isNotNull(), 1).when(F.col("l1").isNotNull(), 2).when(F.col("lt").isNotNull(), 3)

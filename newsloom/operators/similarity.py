@@ -2,7 +2,7 @@
 
 Candidates come from a prefix filter on padded character n-grams: with the n-grams of
 all titles in one global order (rare first), two titles within the edit budget must
-share one of their first ``p`` n-grams.  ``p`` follows from the threshold, so no similar
+share one of their first ``p`` distinct n-grams.  ``p`` follows from the threshold, so no similar
 pair is lost and no block is capped.  Work is on distinct titles, so copies cost nothing,
 and blocks are compared against a few leading titles per round (``expand_round``), never
 all against all.
@@ -31,6 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TITLE_THRESHOLD, REACH_DAYS = 0.92, 7
 GRAM = 4
 PIVOTS = 64
+#: Buckets of the n-gram counts that order the prefixes.
+BUCKETS = 1 << 14
 
 
 def sequence_ratio(earlier: Column, later: Column, t: float = TITLE_THRESHOLD) -> Column:
@@ -76,34 +78,37 @@ def title_ids(df: DataFrame, title: str) -> DataFrame:
     return df.withColumn("low", F.lower(title)).withColumn("tid", F.md5("low"))
 
 
-def prefix_blocks(titles: DataFrame, measure: str, t: float = TITLE_THRESHOLD, q: int = GRAM) -> DataFrame:
-    """(blk, tid, len) for distinct titles (tid, low); single-title blocks are dropped."""
+def _grams(q: int) -> Column:
+    """Distinct n-grams of ``low`` as hashes, padded at both ends."""
     pad = "\x01" * (q - 1)
-    padded = F.concat(F.lit(pad), F.col("low"), F.lit(pad))
-    grams = titles.select(
-        "tid",
-        F.char_length("low").alias("len"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.char_length("low") + q - 1),
-                lambda i: F.substr(padded, i, F.lit(q)),
-            )
-        ).alias("g"),
-    )
-    # The k-th repeat of an n-gram is a token of its own, which turns bags into sets.
-    tokens = (
-        grams.groupBy("tid", "len", "g").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        .select("tid", "len", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"), "g")
-        .select("tid", "len", F.xxhash64("g", "k").alias("blk"))
-    )
-    freq = tokens.groupBy("blk").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (
-        keyed_lookup(tokens, freq, ["blk"], "tid", weight="df")
-        .groupBy("tid", "len")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "blk"))).alias("all"))
-        .select("tid", "len", F.explode(F.slice("all", 1, _prefix_length(F.col("len"), measure, t, q).cast("int"))).alias("x"))
-    )
-    return ranked.filter("x.df > 1").select(F.col("x.blk").alias("blk"), "tid", "len")
+    # A look-ahead gives all overlapping n-grams in one pass, however long the title is.
+    every = F.regexp_extract_all(F.concat(F.lit(pad), F.col("low"), F.lit(pad)), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(every, lambda g: F.xxhash64(g)))
+
+
+def _rarity(titles: DataFrame, q: int) -> Column:
+    """Frequency class of an n-gram's bucket, as an array of ``BUCKETS`` numbers.
+
+    The order of n-grams decides only how small the blocks are, so counts of buckets in powers of a fourth
+    root of two do; their number is fixed, whatever the titles.
+    """
+    counts = titles.select(F.explode(_grams(q)).alias("g")).groupBy(F.pmod("g", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    classes = {r["bucket"]: r["c"] for r in counts.select("bucket", F.floor(F.log2("n") * 4).alias("c")).collect()}
+    return F.split(F.lit(",".join(str(classes.get(i, 0)) for i in range(BUCKETS))), ",").cast("array<int>")
+
+
+def prefix_blocks(titles: DataFrame, measure: str, t: float = TITLE_THRESHOLD, q: int = GRAM) -> DataFrame:
+    """(blk, tid, len) for distinct titles (tid, low): the rarest distinct n-grams of each, ranked inside its row.
+
+    Two titles within the budget lack at most ``p - 1`` of each other's n-grams.  If their prefixes of ``p``
+    distinct n-grams shared none, the one whose prefix ends first would lack all ``p`` of the other's; and a
+    title with fewer than ``p`` distinct ones is indexed by all, of which the other must have some.
+    """
+    rarity = _rarity(titles, q)
+    ranked = F.array_sort(F.transform(_grams(q), lambda g: F.struct(F.get(rarity, F.pmod(g, F.lit(BUCKETS)).cast("int")).alias("class"), g.alias("blk"))))
+    length = F.char_length("low")
+    prefix = F.slice(ranked, 1, _prefix_length(length, measure, t, q).cast("int"))
+    return titles.select("tid", length.alias("len"), F.explode(prefix).alias("x")).select(F.col("x.blk").alias("blk"), "tid", "len")
 
 
 def _verify(pairs: DataFrame, titles: DataFrame, measure: str, t: float) -> DataFrame:
@@ -159,11 +164,15 @@ def expand_round(
 
 
 def similar_to(
-    items: DataFrame, leaders: DataFrame, measure: str, t: float = TITLE_THRESHOLD, q: int = GRAM
+    items: DataFrame, leaders: DataFrame, measure: str, t: float = TITLE_THRESHOLD, q: int = GRAM, blocks: DataFrame | None = None,
 ) -> DataFrame:
-    """Verified (tid_l, tid_x, score) between two sets of distinct titles (tid, low)."""
+    """Verified (tid_l, tid_x, score) between two sets of distinct titles (tid, low).
+
+    ``blocks`` are the prefix blocks of a set that holds them all, if they are known already.
+    """
     titles = items.unionByName(leaders).distinct()
-    blocks = cut_lineage(prefix_blocks(titles, measure, t, q), "blocks")
+    if blocks is None:
+        blocks = cut_lineage(prefix_blocks(titles, measure, t, q), "blocks")
     x = blocks.join(items.select("tid"), "tid", "left_semi")
     lead = blocks.join(leaders.select("tid"), "tid", "left_semi").select(
         "blk", F.col("tid").alias("tid_l"), F.col("len").alias("len_l")
@@ -180,6 +189,22 @@ def similar_to(
     return _verify(met, titles, measure, t).unionByName(same)
 
 
+def similar_pairs(titles: DataFrame, measure: str, t: float = TITLE_THRESHOLD, q: int = GRAM, pivots: int = PIVOTS) -> DataFrame:
+    """Verified (tid_l, tid_x, score) within one set of distinct titles (tid, low), in both directions and with itself.
+
+    Blocks are compared with a few pivots per round, until no comparison is open.
+    """
+    titles = cut_lineage(titles, "titles")
+    blocks = cut_lineage(prefix_blocks(titles, measure, t, q), "blocks")
+    order = titles.select("tid", F.col("tid").alias("first_seq"))
+    out = titles.select(F.col("tid").alias("tid_l"), F.col("tid").alias("tid_x"), F.lit(1.0).alias("score"))
+    while not blocks.isEmpty():
+        found, left = expand_round(blocks, titles, order, measure, t, pivots)
+        out = out.unionByName(cut_lineage(found, "pairs"))
+        blocks = cut_lineage(left, "blocks")
+    return out.distinct()
+
+
 def trigrams(c: Column) -> Column:
     """Distinct word trigrams of the lower text, words padded with two blanks before and one after."""
     words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import event_key
 from newsloom.operators import dedup, events, governance, similarity
+from newsloom.operators.reach import earliest_in_reach
 from newsloom.operators.scoring import analyze
 from newsloom.plans.showcase.base import (
     AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, PROJECT_LABELS, RELEVANCE as R, docs, tagged_docs,
 )
 from newsloom.plans.showcase.tag_queries import _REL_CTE, GOV
 from newsloom.session import cut_lineage
-from newsloom.skew import keyed_lookup
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
 
@@ -40,16 +40,14 @@ def project_rollup(spark, sf):
 
 def title_near_duplicates(spark, sf):
     """Per document the earliest arrival with a similar title in reach (edit measure)."""
-    d = similarity.title_ids(docs(spark, sf).select("doc_id", "title", "published_at"), "title")
-    t = d.select("tid", "low").distinct()
-    pairs = similarity.similar_to(t, t, "edit")
-    # One row per title and day keeps a title with many copies small before the comparison.
-    days = d.filter("published_at is not null").groupBy("tid", "published_at").agg(F.min("doc_id").alias("first_id"))
-    reach = pairs.join(days.withColumnRenamed("tid", "tid_l"), "tid_l").select(F.col("tid_x").alias("tid"), F.col("published_at").alias("pub_l"), "first_id", "score")
-    since = F.coalesce("published_at", F.lit(AS_OF)) - F.make_dt_interval(F.lit(7))
-    hit = keyed_lookup(d.select("doc_id", "tid", since.alias("since")), reach, ["tid"], "doc_id", how="inner")
-    hit = hit.filter((F.col("first_id") < F.col("doc_id")) & (F.col("pub_l") >= F.col("since")))
-    return hit.groupBy("doc_id").agg(F.min("first_id").alias("similar_to"), F.round(F.min_by("score", "first_id"), 6).alias("similarity"))
+    d = similarity.title_ids(docs(spark, sf).select("doc_id", "title", "published_at"), "title").withColumn("since", F.coalesce("published_at", F.lit(AS_OF)) - F.make_dt_interval(F.lit(7)))
+    d = cut_lineage(d, "titled")
+    pairs = cut_lineage(similarity.similar_pairs(d.select("tid", "low").distinct(), "edit"), "pairs")
+    # One row per title and date keeps a title with many copies small before the comparison.
+    dates = d.filter("published_at is not null").groupBy(F.col("tid").alias("tid_l"), "published_at").agg(F.min("doc_id").alias("similar_to"))
+    near = pairs.join(dates, "tid_l").select(F.col("tid_x").alias("tid"), "similar_to", F.col("published_at").alias("pub_l"), "score")
+    found = earliest_in_reach(d, near, "doc_id", "tid", "since", "similar_to", "pub_l", ["score"])
+    return found.select("doc_id", "similar_to", F.round("score", 6).alias("similarity"))
 
 
 def _items(spark, sf):
