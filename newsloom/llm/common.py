@@ -40,8 +40,19 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def cut_buckets(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """``cut`` into a table that is stored by ``key``: a join on it leaves the stored rows where they are."""
+        path, table_name = self.path(name), f"scratch_{uuid.uuid4().hex}"
+        stored = df.repartition(buckets, key).write.mode("error").format("parquet").option("path", path)
+        stored.bucketBy(buckets, key).sortBy(key).saveAsTable(table_name)
+        out = self.spark.table(table_name)
+        out._scratch_path, out._scratch_table = path, table_name
+        return out
+
     def drop(self, *tables: DataFrame | str) -> None:
         for t in tables:
+            if hasattr(t, "_scratch_table"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._scratch_table}")
             self._delete(t if isinstance(t, str) else t._scratch_path)
 
     def drop_all(self) -> None:

@@ -13,9 +13,13 @@ unlike otherwise; its members are dealt anew by their rarest shingles (the prefi
 share), which parts them exactly: a shingle's rank in a set bounds the size of the sets that can still be
 linked through it, and pivots are those with the widest bound, the texts with the fewest shingles of their own.
 
+Each bucket's keys cross the network twice, as three numbers. Texts never do: the full sets of the nodes that share
+a bucket are cut where their texts lie (a bit map of a fixed size tells most other rows apart), and stored by node, so
+that a round moves the sets of its own pairs only.
+
 Defined results: A-Z are lower-cased and words are runs without ASCII white space; fewer words than a shingle
 form one shingle; a text without words (or null) has no shingle and is linked with nothing. Sets are told
-apart by a 64-bit digest of their 64-bit shingle hashes. Repeated rows share their class; a class of null ids
+apart by a 128-bit digest of their 64-bit shingle hashes. Repeated rows share their class; a class of null ids
 has a null component. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -32,10 +36,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, bytes_of, fresh, text_chunks
 from newsloom.llm.exact_dedup import as_files, locator
+from newsloom.skew import keyed_lookup
 
 WORDS, COLLECTIONS, PER_COLLECTION = 4, 12, 2
 SHARED, UNION = 100, 80  # linked if SHARED * intersection >= UNION * union
 PIVOTS, LARGE = 48, 48
+#: Bytes of text that are hashed at once, bits of the map of wanted rows, nodes in a stored part of the sets.
+SLICE, MAP_BITS, PART_NODES = 1 << 20, 1 << 27, 20_000
+#: Rows of one set above which they are spread over several tasks.
+HOT_ROWS = 100_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -75,9 +84,26 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, np.diff(np.searchsorted(starts, off))
 
 
+def sliced_word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` in slices that end before white space, if there is one long row."""
+    if len(off) != 2 or len(data) <= 2 * SLICE:
+        return word_hashes(data, off)
+    found, at = [], 0
+    while at < len(data):
+        stop = at + SLICE
+        while stop < len(data) and not _SPACE[data[stop]]:
+            ahead = np.flatnonzero(_SPACE[data[stop : stop + SLICE]])
+            stop += int(ahead[0]) if len(ahead) else SLICE
+        part = data[at:stop]
+        found.append(word_hashes(part, np.array([0, len(part)]))[0])
+        at += len(part)
+    words = np.concatenate(found)
+    return words, np.array([len(words)])
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of every row's shingles of ``size`` words."""
-    words, counts = word_hashes(data, off)
+    words, counts = sliced_word_hashes(data, off)
     if len(words) >= size:
         grams = words[: len(words) - size + 1]
         for k in range(1, size):
@@ -99,8 +125,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[n
     return out
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def collections_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,28 +141,46 @@ def collections_of(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text"):
+        for chunk in text_chunks(batches, "text", SLICE):
             sets = shingle_sets(*bytes_of(chunk.column("text")), size)
             full = [s for s in sets if len(s)]
             signatures = iter(collections_of(full).tolist() if full else [])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": chunk.column("doc_id"), "place": chunk.column("place"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                "digest": pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()),
                 "signature": pa.array([next(signatures) if len(s) else None for s in sets], pa.list_(pa.int64())),
             })
 
     return run
 
 
-def _full_sets(size: int):
+def _full_sets(size: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(*bytes_of(chunk.column("text")), size)]
-            yield pa.RecordBatch.from_pydict({"node": chunk.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("at").to_numpy() % (64 * len(bits))
+            wanted = pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+            for chunk in text_chunks(iter([batch.filter(wanted)]), "text", SLICE):
+                sets = [s.view(np.int64) for s in shingle_sets(*bytes_of(chunk.column("text")), size)]
+                yield pa.RecordBatch.from_pydict({"place": chunk.column("place"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     return run
 
 
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Words of a map with the bit of each hash (``at``) set; its size follows the rows up to ``MAP_BITS``."""
+    size = 1 << 16
+    rows = hashes.count()
+    while size < MAP_BITS and size < 16 * rows:
+        size *= 2
+    place = F.pmod("at", F.lit(size))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def table_keys() -> Column:
     """Keys of all tables: each pair of collections, with the table's number."""
     pairs = combinations(range(COLLECTIONS), 2)
@@ -149,7 +193,7 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
     Every component takes its smallest neighbour if that is smaller, chains are halved until flat, and the
     links are contracted, until none is left.
     """
-    links = scratch.cut(links, "links")
+    links, own = scratch.cut(links, "links"), None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).filter("p < a")
@@ -163,11 +207,13 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
                 break
         parent = parent.drop("moved")
         to = parent.select(F.col("a").alias("comp"), "p")
-        nodes = scratch.cut(nodes.join(to, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "nodes")
+        nodes, spent = scratch.cut(nodes.join(to, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "nodes"), own
+        own = nodes
         a = links.join(parent, "a", "left").select(F.coalesce("p", "a").alias("a"), "b")
         b = a.join(parent.select(F.col("a").alias("b"), "p"), "b", "left").select("a", F.coalesce("p", "b").alias("b"))
         links = scratch.cut(b.filter("a <> b").distinct(), "links")
-        scratch.drop(contracted, jumped)
+        scratch.drop(contracted, jumped, *([spent] if spent is not None else []))
+    scratch.drop(links)
     return nodes
 
 
@@ -214,17 +260,21 @@ def _open(members: DataFrame) -> DataFrame:
 def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node that shares a bucket; ``nodes`` has node, n_shingles, signature.
 
-    ``sets_of(ids)`` gives (node, shingles) of the nodes in ``ids``.
+    ``sets_of(ids)`` gives (node, shingles) of the nodes in ``ids``, stored by node.
     """
-    keys = nodes.select("node", "n_shingles", F.explode(table_keys()).alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n_shingles")).alias("pivot")).filter("size > 1")
+    keys = nodes.select("node", F.explode(table_keys()).alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
     members = scratch.cut(keys.join(buckets.select("key", "pivot"), "key"), "members")
-    comps = scratch.cut(members.select("node", F.col("node").alias("comp")).distinct(), "comps")
-    sets = scratch.cut(sets_of(comps.select("node")), "sets")
+    ids = members.select("node").distinct()
+    sizes = scratch.cut(nodes.select("node", "n_shingles").join(ids, "node"), "sizes")
+    comps = sizes.select("node", F.col("node").alias("comp"))
+    sets = sets_of(sizes.select("node"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Components after linking the pairs (a, n, b, m) that the full sets confirm."""
-        checked = scratch.cut(pairs.filter(_alike(F.col("n"), F.col("m"))).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m")), "pairs")
+        """Components after linking the pairs (a, b) that the full sets confirm."""
+        sized = pairs.distinct().join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n")), "a")
+        sized = sized.join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("m")), "b")
+        checked = scratch.cut(sized.filter(_alike(F.col("n"), F.col("m"))), "pairs")
         shared = F.size(F.array_intersect("sa", "sb"))
         sure = (
             checked.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -234,31 +284,30 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
         of = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         links = sure.join(of[0], "a").join(of[1], "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         out = components(comps, links, scratch)
-        scratch.drop(checked)
+        scratch.drop(checked, *([comps] if out is not comps and hasattr(comps, "_scratch_path") else []))
         return out
 
-    pivot = F.col("pivot.node")
-    comps = linked(
-        members.filter(F.col("node") != pivot).select(pivot.alias("a"), F.col("pivot.n_shingles").alias("n"), F.col("node").alias("b"), F.col("n_shingles").alias("m"))
-    )
+    comps = linked(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     any_size = F.lit(2**31 - 1).cast("long").alias("reach")
-    members = members.filter(F.col("node") != pivot).select("key", "node", "n_shingles", any_size).join(comps, "node")
-    sizes = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-    sizes = scratch.cut(sizes.filter("low < high").select("key", "size"), "open")
-    large = members.join(sizes.filter(F.col("size") > LARGE), "key", "left_semi").select("node").distinct()
-    small = members.join(sizes.filter(F.col("size") <= LARGE), "key", "left_semi").drop("comp")
+    pivot, spent = F.col("pivot.node"), members
+    members = members.filter("node <> pivot").select("key", "node").join(comps, "node").join(sizes, "node").select("key", "node", "n_shingles", any_size, "comp")
+    opened = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+    opened = scratch.cut(opened.filter("low < high").select("key", "size"), "open")
+    large = members.join(opened.filter(F.col("size") > LARGE), "key", "left_semi").select("node").distinct()
+    small = members.join(opened.filter(F.col("size") <= LARGE), "key", "left_semi").drop("comp")
     members = scratch.cut(rare_prefixes(sets.join(large, "node", "left_semi")).unionByName(small), "members")
+    scratch.drop(opened, spent)
     while True:
-        members = scratch.cut(_open(members.join(comps, "node")).select("key", "node", "n_shingles", "reach", "comp"), "members")
+        members, spent = scratch.cut(_open(members.join(comps, "node")).select("key", "node", "n_shingles", "reach", "comp"), "members"), members
+        scratch.drop(spent)
         if members.isEmpty():
+            scratch.drop(members, sizes, sets)
             return comps
         slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
         best = F.min(F.struct((-F.col("reach")).alias("order"), "node", "n_shingles", "reach", "comp")).alias("pivot")
         pivots = scratch.cut(members.filter("reach >= n_shingles").groupBy("key", slot.alias("slot")).agg(best).select("key", "pivot"), "pivots")
-        lower = F.col("node") < pivot
         pairs = members.join(pivots, "key").filter("comp <> pivot.comp and n_shingles <= pivot.reach and pivot.n_shingles <= reach").select(
-            F.least("node", "pivot.node").alias("a"), F.when(lower, F.col("n_shingles")).otherwise(F.col("pivot.n_shingles")).alias("n"),
-            F.greatest("node", "pivot.node").alias("b"), F.when(lower, F.col("pivot.n_shingles")).otherwise(F.col("n_shingles")).alias("m"),
+            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")
         )
         comps = linked(pairs)
         rest = scratch.cut(members.join(pivots.select("key", pivot.alias("node")), ["key", "node"], "left_anti").drop("comp"), "rest")
@@ -274,26 +323,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = as_files(docs.select("doc_id", "text"), scratch)
     placed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), locator(docs).alias("place"))
-    ddl = "doc_id bigint, place struct<file: string, row: bigint>, n_shingles bigint, node bigint, signature array<bigint>"
+    ddl = "doc_id bigint, place struct<file: string, row: bigint>, n_shingles bigint, digest binary, signature array<bigint>"
     rows = scratch.cut(placed.select(F.col("doc_id").cast("long"), "text", "place").mapInArrow(_sketch(words), ddl), "sketch")
-    nodes = scratch.cut(
-        rows.filter("node is not null").groupBy("node")
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.min("place").alias("place")),
-        "nodes",
+    nodes = rows.filter("digest is not null").groupBy("digest").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.min("place").alias("place"),
+        F.count(F.lit(1)).alias("n_rows"),
     )
+    nodes = scratch.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids, "node").select("node", "place")
-        return placed.select("text", "place").join(wanted, "place").select("node", "text").mapInArrow(_full_sets(words), "node bigint, shingles array<bigint>")
+        spark = docs.sparkSession
+        wanted = scratch.cut(nodes.join(ids, "node").select("node", "place"), "wanted")
+        at = F.pmod(F.xxhash64("place"), F.lit(1 << 62)).alias("at")
+        shared = spark.sparkContext.broadcast(bit_map(wanted.select(at)))
+        found = placed.select("text", "place", at).mapInArrow(_full_sets(words, shared), "place struct<file: string, row: bigint>, shingles array<bigint>")
+        parts = 1 + wanted.count() // PART_NODES
+        out = scratch.cut_buckets(found.join(wanted, "place").select("node", "shingles"), "sets", "node", parts)
+        shared.destroy()
+        scratch.drop(wanted)
+        return out
 
     comps = link_nodes(nodes.select("node", "n_shingles", "signature"), sets_of, scratch)
-    linked = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    linked = nodes.select("digest", "node", "least", "n_rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = linked.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = linked.join(least, "comp").select("node", "comp", "component_id")
+    ids = scratch.cut(linked.join(least, "comp").select("digest", "comp", "component_id", "n_rows"), "classes")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     columns = ["doc_id", "place", "n_shingles", "component_id", kept.alias("kept"), "comp"]
-    bare = rows.filter("node is null").withColumn("component_id", F.col("doc_id")).withColumn("comp", F.col("node"))
-    return rows.filter("node is not null").join(ids, "node").select(*columns).unionByName(bare.select(*columns))
+    bare = rows.filter("digest is null").withColumns({"component_id": F.col("doc_id"), "comp": F.lit(None).cast("long")})
+    full = rows.filter("digest is not null").select("doc_id", "place", "n_shingles", "digest")
+    found = keyed_lookup(full, ids, ["digest"], "place", weight="n_rows", how="inner", hot_rows=HOT_ROWS)
+    return found.select(*columns).unionByName(bare.select(*columns))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
