@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import decontaminate, exact_dedup, mixing, near_dedup
 from newsloom.llm import toxicity as tox
-from newsloom.llm.common import table
+from newsloom.llm.common import Scratch, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Every stage's rows are written below ``spark.checkpoint.dir`` and read again, so no later stage repeats an earlier one."""
+    scratch = Scratch(spark, "pipeline")
+    docs, spent = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, before = scratch.cut(stage(spark, docs, sf_dir), "stage"), spent
+        spent = docs
+        if before is not None:
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

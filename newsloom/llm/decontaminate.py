@@ -145,14 +145,17 @@ def mark_occurrences(
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    out = docs.withColumn(name, F.lit(None).cast(MARK))
+    # Plain names on the way through Arrow code, whatever the columns are called.
+    names, plain = [*docs.columns, name], [f"c{i}" for i in range(len(docs.columns) + 1)]
+    out = docs.toDF(*plain[:-1]).withColumn(plain[-1], F.lit(None).cast(MARK))
+    found, marked = dict(zip(names, plain, strict=True))[text], plain[-1]
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Phrases([(r["item"], bytes(r["text"])) for r in mine], window))
-        dropped = None if keep_text or block < blocks - 1 else text
+        dropped = None if keep_text or block < blocks - 1 else found
         schema = T.StructType([f for f in out.schema if f.name != dropped])
-        out = out.mapInArrow(_mark(text, name, shared, shard_bytes, dropped), schema)
-    return out
+        out = out.mapInArrow(_mark(found, marked, shared, shard_bytes, dropped), schema)
+    return out.toDF(*[n for n in names if keep_text or n != text])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -169,5 +172,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a test phrase, columns unchanged."""
     name = fresh(docs, "marks")
-    return mark_occurrences(docs, benchmark, name, **options).filter(F.size(f"{name}.spans") == 0).drop(name)
+    return mark_occurrences(docs, benchmark, name, **options).filter(F.size(F.col(name)["spans"]) == 0).drop(name)
 

@@ -177,12 +177,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with the number of copies in a further column ``copies``.
 
-    Rows are matched by ``doc_id``; repeated rows of an id share its copies, the largest first.
+    Rows are matched by ``doc_id``; rows that share id, source and size share its copies, the largest number goes to the
+    text that is first by its digest. Other columns may have any name and are passed through.
     """
-    name = fresh(docs, "copies")
+    name, key, at = (fresh(docs, n) for n in ("copies", "key", "at"))
     picked = mix(docs, **options).filter("copies > 0")
     order = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
-    picked = picked.select(F.struct("doc_id", "source", "size").alias("_key"), F.col("copies").alias(name), F.row_number().over(order).alias("_at"))
-    key = F.struct("doc_id", "source", size_of(F.col("text")).alias("size"))
-    mine = docs.withColumn("_key", key).withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    return mine.join(picked, ["_key", "_at"]).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    picked = picked.select(F.struct("doc_id", "source", "size").alias(key), F.col("copies").alias(name), F.row_number().over(order).alias(at))
+    mine = docs.withColumn(key, F.struct("doc_id", "source", size_of(F.col("text")).alias("size")))
+    mine = mine.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(F.sha2("text", 256))))
+    return mine.join(picked, [key, at]).select(*[F.col(f"`{c}`") for c in docs.columns], name)

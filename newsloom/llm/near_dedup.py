@@ -267,7 +267,7 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     members = scratch.cut(keys.join(buckets.select("key", "pivot"), "key"), "members")
     ids = members.select("node").distinct()
     sizes = scratch.cut(nodes.select("node", "n_shingles").join(ids, "node"), "sizes")
-    comps = sizes.select("node", F.col("node").alias("comp"))
+    comps = scratch.cut(sizes.select("node", F.col("node").alias("comp")), "comps")
     sets = sets_of(sizes.select("node"))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
         of = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         links = sure.join(of[0], "a").join(of[1], "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         out = components(comps, links, scratch)
-        scratch.drop(checked, *([comps] if out is not comps and hasattr(comps, "_scratch_path") else []))
+        scratch.drop(checked, *([comps] if out is not comps else []))
         return out
 
     comps = linked(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))

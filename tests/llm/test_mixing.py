@@ -68,3 +68,10 @@ def test_empty_and_wordless_tables(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix(docs).collect()] == [(0.0, 0), (0.0, 0)]
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_equal_ids_sources_and_sizes_with_unlike_texts_agree_in_reruns(spark):
+    rows = [(1, f"t{i} words here", "a") for i in range(9)] + [(i + 10, "x y z " * 30, "b") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.text, r.copies) for r in mixing.mixed_documents(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert runs[0] == runs[1] and runs[0]

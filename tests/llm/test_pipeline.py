@@ -48,6 +48,28 @@ def test_no_equal_texts_are_left(kept):
     assert len(norm) == len(set(norm))
 
 
+def test_clashing_and_dotted_names_on_every_stage(spark, tmp_path):
+    """Extra columns with the names that stages use themselves, and with dots, come back as they were."""
+    real = "/root/testdata/sf0.001"
+    names = ["_key", "_at", "key", "at", "place", "marks", "copies", "a.b", "score", "comp", "row"]
+    rows = [(i, f"text number {i} " + " ".join(f"w{i}x{k}" for k in range(30)), "s", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{real}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert after.columns[: len(docs.columns)] == docs.columns
+        docs = after
+    got = {tuple(r)[: len(names) + 3] for r in docs.collect()}
+    assert got and got <= set(rows)
+
+
+def test_run_equals_its_stages(spark, kept, tmp_path):
+    first = kept[0].inputFiles()[0].rsplit("/", 2)[0]
+    assert sorted(map(str, corpus_pipeline.run(spark, first).collect())) == sorted(map(str, kept[-1].collect()))
+
+
 def test_registered_queries():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
