@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import bind, contains_any, labels_where, percent_tokens, terms_found
 from newsloom.rules import Alias, Gazetteer, Rule
-from newsloom.skew import counted_broadcast, keyed_lookup
+from newsloom.session import cut_lineage
+from newsloom.skew import keyed_lookup
 
 # Evidence weights and thresholds of the gates.
 COUNTRY_WEIGHT, SIGNAL_WEIGHT, GATE_CAP, GATE_MIN = "0.48", "0.14", "0.99", "0.55"
 ALIAS_WEIGHTS = {"strong": "0.78", "medium": "0.54", "weak": "0.24"}
 ALIAS_CAP, REVIEW_BELOW, AMBIGUOUS_CAP = "0.98", "0.65", "0.68"
 ACCOUNT_BASE, ACCOUNT_STEP, ACCOUNT_CAP, ACCOUNT_NONE = "0.62", "0.09", "0.97", "0.35"
+#: Bytes of a dictionary term's seed, and the largest size of the filter of all seeds.
+SEED_BYTES, SLOTS = 4, 1 << 20
 
 
 def _dec(value: str) -> Column:
@@ -257,23 +260,87 @@ def products_for(industries: Column, table: Sequence[tuple[str, Sequence[str]]])
     return F.array_distinct(F.flatten(F.transform(industries, lambda i: F.coalesce(F.element_at(lookup, i), empty))))
 
 
-def match_terms(docs: DataFrame, text: str, doc_id: str, terms: DataFrame, gram: int = 4) -> DataFrame:
+def term_seeds(terms: DataFrame, gram: int = SEED_BYTES) -> DataFrame:
+    """The dictionary index: label, term, ``_t`` (its bytes), ``_g`` (its seed) and ``_o`` (bytes before the seed).
+
+    A term's seed is the n-gram of its bytes that the fewest terms have (a shorter term is its own seed), so one
+    n-gram leads to few terms.  ``terms``: label, term, and optionally ``fold`` (match without case, the default).
+    """
+    fold = F.col("fold") if "fold" in terms.columns else F.lit(True)
+    kept = terms.select("label", "term", fold.alias("fold")).filter(F.col("term") != "").distinct()
+    kept = kept.withColumn("_t", F.when(F.col("fold"), F.lower("term")).otherwise(F.col("term")).cast("binary"))
+    width = F.least(F.lit(gram), F.octet_length("_t"))
+    places = F.transform(F.sequence(F.lit(1), F.octet_length("_t") - width + 1), lambda i: F.struct(F.substring(F.col("_t"), i, width).alias("g"), (i - 1).alias("o")))
+    each = kept.select("label", "term", "fold", "_t", F.explode(places).alias("p")).select("label", "term", "fold", "_t", "p.g", "p.o")
+    spread = each.groupBy("fold", "g").agg(F.count_distinct("_t").alias("n"))
+    ranked = each.join(spread, ["fold", "g"]).groupBy("label", "term", "fold", "_t").agg(F.min(F.struct("n", "g", "o")).alias("s"))
+    return ranked.select("label", "term", "fold", "_t", F.col("s.g").alias("_g"), F.col("s.o").alias("_o"))
+
+
+def _slot(seed: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(seed), F.lit(slots)).cast("int")
+
+
+def _sieve(seeds: DataFrame) -> Callable[[Column], Column]:
+    """Test of an n-gram against one literal: byte 1 in the slots that some seed has (a Bloom filter of at most ``SLOTS``)."""
+    count, slots = seeds.count(), 1 << 10
+    while slots < SLOTS and slots < 16 * count:
+        slots *= 2
+    table = bytearray(slots)
+    for row in seeds.select(_slot(F.col("_g"), slots).alias("slot")).distinct().toLocalIterator():
+        table[row["slot"]] = 1
+    bits = F.lit(bytes(table))
+    return lambda gram: F.substring(bits, _slot(gram, slots) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def _passing(body: Column, width: int, passes: Callable[[Column], Column]) -> Column:
+    """Places of the n-grams that pass the test."""
+    return F.filter(F.sequence(F.lit(1), F.octet_length(body) - width + 1), lambda i: passes(F.substring(body, i, F.lit(width))))
+
+
+def match_terms(docs: DataFrame, text: str, doc_id: str, terms: DataFrame, gram: int = SEED_BYTES) -> DataFrame:
     """(doc, label, term) for every dictionary term inside a text, for a dictionary of any size.
 
-    The first ``gram`` characters of a term (all of a shorter one) are its seed.  Of a text's substrings of
-    the seeds' lengths only those that are seeds go on; they are joined with the terms and verified against the
-    text.
+    The n-grams of a text are tested against a Bloom filter of the dictionary's seeds inside its row; only places
+    that pass become rows, each with the bytes around it that the longest term can cover.  They are joined with the
+    terms of their seed and verified there, so no text moves.
     """
-    terms = terms.select("label", "term").filter(F.col("term") != "").distinct().withColumn("_t", F.lower("term"))
-    terms = terms.withColumn("_g", F.substring("_t", 1, gram))
-    lengths = [r[0] for r in terms.select(F.char_length("_g").alias("n")).distinct().orderBy("n").collect()]  # at most ``gram`` rows
-    low = docs.select(doc_id, F.lower(text).alias("_low"))
-
-    # A look-ahead gives all overlapping substrings of a length in one pass.
-    cuts = [F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    grams = low.select(doc_id, F.explode(F.flatten(F.array(*cuts)) if cuts else F.array().cast("array<string>")).alias("_g"))
-    seeds = counted_broadcast(terms.select("_g").distinct())
-    found = grams.join(seeds, "_g", "left_semi")
-    pairs = keyed_lookup(found, terms, ["_g"], doc_id, how="inner").groupBy(doc_id).agg(F.collect_set(F.struct("label", "term", "_t")).alias("_c"))
-    near = low.join(pairs, doc_id).select(doc_id, F.explode(F.filter("_c", lambda c: F.contains(F.col("_low"), c["_t"]))).alias("_c"))
-    return near.select(doc_id, "_c.label", "_c.term").distinct()
+    index = cut_lineage(term_seeds(terms, gram), "dictionary")
+    shapes = index.groupBy("fold", F.octet_length("_g").alias("w")).agg(F.max("_o").cast("int").alias("before"), F.max(F.octet_length("_t") - F.col("_o")).cast("int").alias("after")).orderBy("fold", "w").collect()
+    found = docs.select(doc_id, F.lit(None).cast("binary").alias("_g"), F.lit(None).cast("binary").alias("_x"), F.lit(0).alias("_at"), F.lit(True).alias("fold")).limit(0)
+    for s in shapes:  # at most two times the seed's length
+        passes = _sieve(index.filter((F.col("fold") == s["fold"]) & (F.octet_length("_g") == s["w"])).select("_g"))
+        body = docs.select(doc_id, F.encode(F.lower(text) if s["fold"] else F.col(text), "utf-8").alias("_b")).filter(F.octet_length("_b") >= s["w"])
+        places = _passing(F.col("_b"), s["w"], passes)
+        at = body.select(doc_id, "_b", F.explode(places).alias("_p")).withColumn("_from", F.greatest(F.lit(1), F.col("_p") - s["before"]))
+        found = found.unionByName(at.select(
+            doc_id, F.substring(F.col("_b"), F.col("_p"), F.lit(s["w"])).alias("_g"),
+            F.substring(F.col("_b"), F.col("_from"), F.col("_p") - F.col("_from") + s["after"]).alias("_x"), (F.col("_p") - F.col("_from")).alias("_at"), F.lit(s["fold"]).alias("fold"),
+        ))
+    met = keyed_lookup(found, index, ["fold", "_g"], "_x", how="inner")
+    inside = F.substring(F.col("_x"), F.col("_at") - F.col("_o") + 1, F.octet_length("_t")) == F.col("_t")
+    return met.filter((F.col("_at") >= F.col("_o")) & inside).select(doc_id, "label", "term").distinct()
+
+
+def candidates_by_table(
+    docs: DataFrame, text: str, doc_id: str, aliases: DataFrame, company_context: Sequence[str], overseas_context: Sequence[str],
+) -> DataFrame:
+    """D4 with the aliases as a table of any size: (doc, account, matched_entity, confidence, needs_review, evidence).
+
+    ``aliases``: position, account, alias, strength, lower.  A weak alias needs a company word and, if it is short, an
+    overseas word beside it in the text.
+    """
+    lower = aliases.select(F.col("position").cast("string").alias("label"), F.col("alias").alias("term"), F.col("lower").alias("fold"))
+    hits = match_terms(docs, text, doc_id, lower).select(doc_id, F.col("label").cast("int").alias("position"))
+    raw = F.col(text)
+    backing = docs.select(doc_id, contains_any(raw, company_context).alias("_company"), bind(F.lower(raw), lambda low: contains_any(low, overseas_context)).alias("_abroad"))
+    weight = F.coalesce(*[F.when(F.col("strength") == k, _dec(v)) for k, v in ALIAS_WEIGHTS.items()])
+    known = hits.join(aliases.withColumn("w", weight), "position").join(backing.filter("_company"), doc_id, "left")
+    backed = F.coalesce(F.col("_company") & (F.col("_abroad") | (F.char_length("alias") >= 3)), F.lit(False))
+    usable = known.filter((F.col("strength") != "weak") | backed)
+    total = F.sum("w").cast("decimal(10,2)")
+    out = usable.groupBy(doc_id, "account").agg(
+        F.min_by("alias", "position").alias("matched_entity"), F.least(_dec(ALIAS_CAP).cast("decimal(10,2)"), total).cast("double").alias("confidence"),
+        (total < _dec(REVIEW_BELOW)).alias("needs_review"), F.sort_array(F.collect_list(F.struct("position", "alias"))).alias("evidence"),
+    )
+    return out.withColumn("evidence", F.transform("evidence", lambda e: e["alias"]))

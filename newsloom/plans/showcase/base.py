@@ -227,8 +227,24 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     return account_candidates(df, text, ALIASES, COMPANY_CONTEXT, OVERSEAS_CONTEXT)
 
 
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build):
+    """What an ingest of the folder leaves behind: built by the first query that reads it, kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with gate, labels, candidates and keys: the input of search, board and cascade."""
+    """The article table: documents with gate, labels, candidates and keys, the input of search, board and cascade."""
+    return once(spark, sf_dir, "articles", lambda: cut_lineage(tag_documents(spark, sf_dir), "articles"))
+
+
+def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate, labels, candidates and keys of every document, as the ingest computes them."""
     from newsloom.functions.text import content_digest
     from newsloom.functions.urls import canonical_url
     from newsloom.operators.events import event_fingerprint
@@ -249,11 +265,11 @@ def tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The tagged documents as a written table with only the columns a query reads.
+    """Columns of the article table.
 
     Tags are computed once at ingest; queries filter and aggregate the stored columns.
     """
-    return cut_lineage(tagged_docs(spark, sf_dir).select(*columns), "articles")
+    return tagged_docs(spark, sf_dir).select(*columns)
 
 
 MONEY_SQL = "(?:usd|eur|rmb|cny|sar|aed|美元|欧元|人民币)?\\s*\\d+(?:[.,]\\d+)?\\s*(?:亿|万|million|billion)?"

@@ -1,16 +1,19 @@
 """Article search, boards, joins and paging (C, F, I, K rows)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import joins, search, similarity
 from newsloom.operators.dedup import best_per_event
 from newsloom.operators.scoring import analyze
+from newsloom.operators.text_index import TextIndex
 from newsloom.plans.board import board_page, event_board
 from newsloom.plans.showcase.base import (
-    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, RELEVANCE as R, article_table, docs, table,
+    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, RELEVANCE as R, article_table, docs, once, table,
 )
 from newsloom.plans.showcase.tag_queries import _REL_CTE
-from newsloom.session import cut_lineage
+from newsloom.session import checkpoint_root, cut_lineage
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
 day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
@@ -55,10 +58,30 @@ def saved_filter_search(spark, sf):
     return hits.select("doc_id", day("published_at"))
 
 
+def text_index(spark, sf):
+    """The index of the documents, added in two batches; the second one replaces some of the first."""
+    def build():
+        index = TextIndex(spark, f"{checkpoint_root(spark)}/newsloom/text-index-{uuid.uuid4().hex}")
+        rows = _articles(spark, sf).select("id", "title", "summary", "content_excerpt")
+        older = rows.filter("id % 2 = 0 or id % 5 = 0")
+        changed = older.withColumn("title", F.when(F.col("id") % 5 == 0, F.reverse("title")).otherwise(F.col("title")))
+        index.add(changed, 1, "id", search.fulltext_body(), F.col("title"))
+        index.add(rows.filter("id % 2 = 1 or id % 5 = 0"), 2, "id", search.fulltext_body(), F.col("title"))
+        return index
+
+    return once(spark, sf, "text-index", build)
+
+
 def fulltext_search(spark, sf):
-    """All tokens in the body, or a title alike."""
+    """All tokens in the body, or a title alike, from the index."""
     spec = search.FilterSpec(q="thing on the retion", search="fulltext", include_archive=True)
-    return search.apply_filters(_articles(spark, sf), spec, AS_OF).select("doc_id")
+    return search.apply_filters(_articles(spark, sf), spec, AS_OF, text_index(spark, sf).matches(spec.q)).select("doc_id")
+
+
+def index_counts(spark, sf):
+    """Document counts of the index's tokens, over the batches that hold them."""
+    n = text_index(spark, sf).document_counts("token")
+    return n.select("term", num("documents"))
 
 
 def token_search(spark, sf):
@@ -66,6 +89,13 @@ def token_search(spark, sf):
 
 
 def trigram_search(spark, sf):
+    """Titles alike, from the index."""
+    found = text_index(spark, sf).with_similar_title("thing on the retion")
+    return found.select(F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def trigram_scan(spark, sf):
+    """Titles alike, computed from the titles themselves."""
     s = similarity.trigram_similarity(F.col("title"), "thing on the retion")
     return docs(spark, sf).select("doc_id", F.round(s, 6).alias("similarity")).filter(F.col("similarity") > search.TRIGRAM_MIN)
 
@@ -80,7 +110,7 @@ def array_filters(spark, sf):
 def _board(spark, sf):
     d = docs(spark, sf)
     a = analyze(d, R, "title", "text", "source_type", "reliability_level").withColumn("content_hash", F.md5("text")).drop("text", "url")
-    return cut_lineage(a, "articles").withColumns({
+    return once(spark, sf, "analysed", lambda: cut_lineage(a, "analysed")).withColumns({
         "id": F.col("doc_id"), "source_name": F.col("source"), "summary": F.col("lang"), "content_excerpt": F.col("evidence_excerpt"),
         "sales_relevance_score": F.col("relevance_score"), "canonical_event_id": F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("ev-"), (F.col("doc_id") % 97).cast("string"))),
         "is_primary_source": F.col("source_type") == "official", "is_demo": F.lit(False),
@@ -182,7 +212,7 @@ def account_articles(spark, sf):
 QUERIES = {
     "rolling_window_search": rolling_window_search, "archive_search": archive_search, "search_total": search_total, "date_range_search": date_range_search,
     "saved_filter_search": saved_filter_search, "fulltext_search": fulltext_search, "board_entities": board_entities,
-    "token_search": token_search, "trigram_search": trigram_search, "array_filters": array_filters, "event_board": board_rows,
+    "token_search": token_search, "trigram_search": trigram_search, "trigram_scan": trigram_scan, "index_counts": index_counts, "array_filters": array_filters, "event_board": board_rows,
     "event_board_page": board_sorted_page, "board_people": board_people, "best_per_event": best_event_rows, "flags_join": flags_join,
     "semi_sources": semi_sources, "anti_ledger": anti_ledger, "detail_join": label_article_join, "order_page": order_page,
     "nested_children": supplier_parts, "saved_filters": saved_filter_specs, "view_splits": view_splits, "account_articles": account_articles,
@@ -225,6 +255,13 @@ ORACLE = {
     "trigram_search": f"""WITH {DOCS_CTE}, q AS (SELECT list_distinct(flatten(list_transform(['thing', 'on', 'the', 'retion'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS qg),
         s AS (SELECT doc_id, round(len(list_intersect(g, qg)) / len(list_distinct(list_concat(g, qg))), 6) AS similarity FROM {_TRI('title')}, q)
         SELECT doc_id, similarity FROM s WHERE similarity > 0.2""",
+    "trigram_scan": f"""WITH {DOCS_CTE}, q AS (SELECT list_distinct(flatten(list_transform(['thing', 'on', 'the', 'retion'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS qg),
+        s AS (SELECT doc_id, round(len(list_intersect(g, qg)) / len(list_distinct(list_concat(g, qg))), 6) AS similarity FROM {_TRI('title')}, q)
+        SELECT doc_id, similarity FROM s WHERE similarity > 0.2""",
+    "index_counts": f"""{_ART.split(', art AS')[0]}, b AS (SELECT doc_id, 1 AS n, concat_ws(' ', CASE WHEN doc_id % 5 = 0 THEN reverse(title) ELSE title END, lang, text) AS body FROM d WHERE doc_id % 2 = 0 OR doc_id % 5 = 0
+          UNION ALL SELECT doc_id, 2, concat_ws(' ', title, lang, text) FROM d WHERE doc_id % 2 = 1 OR doc_id % 5 = 0),
+        t AS (SELECT n, doc_id, unnest(list_distinct(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}_]+'))) AS term FROM b)
+        SELECT term, count(*) AS documents FROM t WHERE term <> '' GROUP BY 1""",
     "array_filters": f"""{_EV}, k AS (SELECT doc_id FROM c GROUP BY 1 HAVING bool_or(contains(lower(account), 'ald')))
         SELECT doc_id, 'filters' AS kind FROM g JOIN k USING (doc_id) WHERE len(list_filter(labels, lambda x: contains(lower(x), 'rai'))) > 0
         UNION ALL SELECT doc_id, 'family' FROM g WHERE list_has_any(labels, ['company', 'leader'])""",

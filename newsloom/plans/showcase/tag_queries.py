@@ -8,7 +8,7 @@ from newsloom import schemas
 from newsloom.operators import governance, tagging
 from newsloom.operators.scoring import analyze, longest_alias, sales_metadata, score_band
 from newsloom.plans.showcase.base import (
-    ACCOUNT_WORDS, ACTION_WORDS, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, LABEL_WORDS, POLICY_LABELS, PRODUCT_DEFAULT,
+    ACCOUNT_WORDS, ACTION_WORDS, ALIASES, COMPANY_CONTEXT, OVERSEAS_CONTEXT, CANDIDATE_CTE, DOCS_CTE, GATE_CTE, LABEL_WORDS, POLICY_LABELS, PRODUCT_DEFAULT,
     PRODUCT_WORDS, PROJECT_LABELS, RELEVANCE as R, docs, labels_column, places, sql_any, sql_first, sql_list, sql_str, table,
     tagged_docs, with_candidates,
 )
@@ -51,6 +51,14 @@ def alias_candidates(spark, sf):
     )
 
 
+def alias_table(spark, sf):
+    """Account candidates when the aliases are a table."""
+    rows = [(i, a.account, a.alias, a.strength, a.lower) for i, a in enumerate(ALIASES)]
+    aliases = spark.createDataFrame(rows, "position int, account string, alias string, strength string, lower boolean")
+    c = tagging.candidates_by_table(table(spark, sf, "documents"), "text", "doc_id", aliases, COMPANY_CONTEXT, OVERSEAS_CONTEXT)
+    return c.select("doc_id", "account", "matched_entity", F.round("confidence", 2).alias("confidence"), "needs_review", join("evidence").alias("evidence"))
+
+
 def dictionary_matches(spark, sf):
     """Every benchmark word of seven letters or more that occurs inside a document."""
     words = table(spark, sf, "benchmark").select(
@@ -178,7 +186,7 @@ def feed_routes(spark, sf):
 
 QUERIES = {
     "tag_gate": tag_gate, "account_hits": account_hits, "multi_label": multi_label, "multi_label_words": multi_label_words,
-    "alias_candidates": alias_candidates, "dictionary_matches": dictionary_matches, "rule_table_labels": rule_table_labels, "first_action": first_action,
+    "alias_candidates": alias_candidates, "alias_table": alias_table, "dictionary_matches": dictionary_matches, "rule_table_labels": rule_table_labels, "first_action": first_action,
     "policy_dimensions": policy_rows, "source_roles": source_roles, "longest_alias": longest_aliases, "relevance_facts": relevance_facts,
     "relevance_score": relevance_score, "score_bands": score_bands, "score_evidence": score_evidence, "relevance_texts": relevance_texts,
     "sales_metadata": sales_meta, "org_changes": org_changes, "org_headlines": org_headlines, "feed_routes": feed_routes,
@@ -282,6 +290,7 @@ ORACLE = {
     "multi_label": f"{_TAG} SELECT doc_id, array_to_string(labels, '|') AS labels FROM g",
     "multi_label_words": f"""SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN {_WORD(w)} THEN {sql_str(n)} END" for n, w in LABEL_WORDS)}], lambda x: x IS NOT NULL), '|') AS labels
         FROM (SELECT doc_id, lower(text) AS low FROM documents)""",
+    "alias_table": f"""WITH {DOCS_CTE}, {CANDIDATE_CTE} SELECT doc_id, account, matched_entity, round(confidence, 2)::DOUBLE AS confidence, needs_review, evidence FROM c""",
     "alias_candidates": f"""WITH {DOCS_CTE}, {CANDIDATE_CTE}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, account) - 1 AS rank, account, matched_entity, confidence::DOUBLE AS confidence, needs_review, evidence FROM c""",
     "rule_table_labels": "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(label)}, {i}, {sql_str(t)})" for i, (label, terms) in enumerate(LABEL_WORDS) for t in terms)
