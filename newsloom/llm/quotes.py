@@ -2,9 +2,9 @@
 
 Lines that start with '>' marks are quotations; the number of marks is their level. Neighbouring lines of one
 level form a passage. A passage is normalised (lower case, letters and digits only, single blanks) and hashed,
-and so are the unquoted text of every message, its paragraphs, its lines, and as many neighbouring lines or
-paragraphs as a passage of the conversation has, so a trimmed quotation is found whatever it leaves out before or
-behind; one that begins or ends within a line is not. A passage is linked to the first earlier message of its
+and so are the unquoted text of every message, its paragraphs, its lines, and the runs of neighbouring lines or
+paragraphs that lie around a quotation's longest one as in the quotation, so a trimmed quotation is found whatever it
+leaves out before or behind; one that begins or ends within a line is not. A passage is linked to the first earlier message of its
 conversation that has the same hash. A message answers the message behind its outermost
 linked passage, the last one among equals; without a link it answers the turn before it.
 
@@ -25,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import bind
 from newsloom.llm.common import Scratch
 
 PARAGRAPH = r"\n\s*\n"
+KINDS = (("line", "\n"), ("paragraph", PARAGRAPH))
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Turns that are ranked together.
 BLOCK = 1000
@@ -48,12 +50,48 @@ def parts_of(text: Column, separator: str) -> Column:
     return F.filter(F.transform(F.split(text, separator), normalised), lambda x: x != "")
 
 
-def runs_of(parts: str, sizes: str) -> Column:
-    """All runs of neighbouring ``parts``, of each of the ``sizes``."""
-    def starts(k: Column) -> Column:
-        return F.when(F.size(parts) >= k, F.sequence(F.lit(1), F.size(parts) - k + 1)).otherwise(F.array().cast("array<int>"))
+def _counted(parts: Column, kind: str) -> Column:
+    return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("part"), i.alias("at")))
 
-    return F.flatten(F.transform(sizes, lambda k: F.transform(starts(k), lambda i: F.array_join(F.slice(F.col(parts), i, k), " "))))
+
+def _longest(parts: Column) -> Column:
+    """Place of the longest part, the first among equals."""
+    return -F.array_max(F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("back"))))["back"]
+
+
+def anchors(passages: DataFrame) -> DataFrame:
+    """(conv_id, kind, part, before, size): how a trimmed quotation of several lines or paragraphs lies around its longest one."""
+    kinds = []
+    for kind, separator in KINDS:
+        parts = passages.select("conv_id", parts_of(F.col("passage"), separator).alias("parts")).filter(F.size("parts") > 1)
+        longest = parts.withColumn("before", _longest(F.col("parts")).cast("int"))
+        kinds.append(longest.select("conv_id", F.lit(kind).alias("kind"), F.xxhash64(F.get("parts", F.col("before"))).alias("part"), "before", F.size("parts").alias("size")))
+    return kinds[0].unionByName(kinds[1]).distinct()
+
+
+def runs(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(msg, runs): for each message the runs of neighbouring lines or paragraphs that some quotation may be.
+
+    A line meets the quotations that have it as their longest one, so a message gives as many runs as it has such
+    meetings, however many quotations of whatever length its conversation holds.
+    """
+    asked = keyed.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    parts = F.concat(*[_counted(parts_of(F.col("body"), separator), kind) for kind, separator in KINDS])
+    met = asked.select("conv_id", "msg", F.explode(parts).alias("p")).select("conv_id", "msg", "p.*").join(wanted, ["conv_id", "kind", "part"])
+    starts = met.select("msg", "kind", (F.col("at") - F.col("before")).alias("start"), "size").filter("start >= 0")
+    return starts.groupBy("msg").agg(F.collect_set(F.struct("kind", "start", "size")).alias("runs"))
+
+
+def run_texts(body: Column, found: Column) -> Column:
+    """Texts of the runs that lie within the message."""
+    def of(kind: str, separator: str) -> Column:
+        def cut(parts: Column) -> Column:
+            inside = F.filter(found, lambda r: (r["kind"] == kind) & (r["start"] + r["size"] <= F.size(parts)))
+            return F.transform(inside, lambda r: F.array_join(F.slice(parts, r["start"] + 1, r["size"]), " "))
+
+        return bind(parts_of(body, separator), cut)
+
+    return F.concat(*[of(kind, separator) for kind, separator in KINDS])
 
 
 def split_lines(messages: DataFrame) -> DataFrame:
@@ -96,8 +134,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = landed.select("*", place.alias("msg"))
     lines = split_lines(rows)
-    sizes = {"n_lines": F.size(parts_of(F.col("passage"), "\n")), "n_paragraphs": F.size(parts_of(F.col("passage"), PARAGRAPH))}
-    found = scratch.cut(passages(lines).withColumns({"hash": passage_hash(F.col("passage"))} | sizes), "passages")
+    found = scratch.cut(passages(lines).withColumn("hash", passage_hash(F.col("passage"))), "passages")
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("no", "content")))), lambda x: x["content"]), "\n")
     bodies = lines.groupBy("msg").agg(F.trim(F.regexp_replace(own, r"^\s+|\s+$", "")).alias("own"))
     counts = found.groupBy("msg").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("level").alias("max_level"))
@@ -105,12 +142,11 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
     keyed = told.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "msg", "body")
     quoting = found.filter("hash is not null").join(keyed.select("msg", "conv_id", "turn"), "msg")
-    wanted = quoting.groupBy("conv_id").agg(*[F.array_sort(F.collect_set(F.when(F.col(n) > 1, F.col(n)))).alias(n) for n in sizes])
-    units = F.concat(F.array("body"), F.split("body", PARAGRAPH), F.split("body", "\n"), runs_of("lines", "n_lines"), runs_of("paragraphs", "n_paragraphs"))
+    quoted = keyed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").join(runs(keyed, anchors(quoting)), "msg", "left")
+    trimmed = F.coalesce(run_texts(F.col("body"), F.col("runs")), F.array().cast("array<string>"))
+    units = F.concat(F.array("body"), F.split("body", PARAGRAPH), F.split("body", "\n"), trimmed)
     originals = (
-        keyed.join(wanted, "conv_id")
-        .select("conv_id", "turn", "body", *sizes, parts_of(F.col("body"), "\n").alias("lines"), parts_of(F.col("body"), PARAGRAPH).alias("paragraphs"))
-        .select("conv_id", "turn", F.explode(F.array_distinct(units)).alias("unit")).withColumn("hash", passage_hash(F.col("unit")))
+        quoted.select("conv_id", "turn", F.explode(F.array_distinct(units)).alias("unit")).withColumn("hash", passage_hash(F.col("unit")))
         .filter("hash is not null").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     )
     links = (
@@ -145,13 +181,22 @@ WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, re
 l AS (SELECT rid, conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>')),
 q AS (SELECT rid, conv_id, turn, no, len(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[ \t]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') AS content FROM l),
 r AS (SELECT *, no - row_number() OVER (PARTITION BY rid, level ORDER BY no) AS run FROM q),
-p AS (SELECT rid, conv_id, turn, level, min(no) AS first, trim(regexp_replace(lower(string_agg(content, chr(10) ORDER BY no)), '[^\p{L}\p{N}]+', ' ', 'g')) AS form
-      FROM r WHERE level > 0 GROUP BY rid, conv_id, turn, level, run),
+g AS (SELECT rid, conv_id, turn, level, min(no) AS first, string_agg(content, chr(10) ORDER BY no) AS raw FROM r WHERE level > 0 GROUP BY rid, conv_id, turn, level, run),
+p AS (SELECT rid, conv_id, turn, level, first, trim(regexp_replace(lower(raw), '[^\p{L}\p{N}]+', ' ', 'g')) AS form,
+      array_to_string([x FOR x IN [trim(regexp_replace(lower(v), '[^\p{L}\p{N}]+', ' ', 'g')) FOR v IN string_split(raw, chr(10))] IF x <> ''], chr(10)) AS by_line,
+      array_to_string([x FOR x IN [trim(regexp_replace(lower(v), '[^\p{L}\p{N}]+', ' ', 'g')) FOR v IN regexp_split_to_array(raw, '\n\s*\n')] IF x <> ''], chr(10)) AS by_paragraph FROM g),
 o AS (SELECT rid, trim(regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY no) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g')) AS own FROM q GROUP BY rid),
 t AS (SELECT m.*, coalesce(own, text) AS body FROM m LEFT JOIN o USING (rid)),
-u AS (SELECT conv_id, turn, unnest(list_distinct(list_concat([body], regexp_split_to_array(body, '\n\s*\n'), string_split(body, chr(10))))) AS unit FROM t),
-s AS (SELECT conv_id, form, min(turn) AS source FROM (SELECT conv_id, turn, trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')) AS form FROM u) AS x WHERE form <> '' GROUP BY conv_id, form),
-k AS (SELECT rid, p.conv_id, p.turn, arg_max(source, struct_pack(a := -level, b := first)) AS quoted FROM p JOIN s ON s.conv_id = p.conv_id AND s.form = p.form AND source < p.turn GROUP BY rid, p.conv_id, p.turn),
+z AS (SELECT conv_id, turn, body, string_split(body, chr(10)) AS ls, regexp_split_to_array(body, '\n\s*\n') AS ps FROM t WHERE conv_id IN (SELECT conv_id FROM p)),
+y AS (SELECT conv_id, turn, body, ls, ps, [x FOR x IN [trim(regexp_replace(lower(v), '[^\p{L}\p{N}]+', ' ', 'g')) FOR v IN ls] IF x <> ''] AS nl,
+      [x FOR x IN [trim(regexp_replace(lower(v), '[^\p{L}\p{N}]+', ' ', 'g')) FOR v IN ps] IF x <> ''] AS np FROM z),
+u AS (SELECT conv_id, turn, 0 AS kind, trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')) AS form FROM (SELECT conv_id, turn, unnest(list_distinct(list_concat([body], ps, ls))) AS unit FROM y)
+      UNION ALL SELECT conv_id, turn, 1, unnest(flatten([[array_to_string(nl[i : j], chr(10)) FOR j IN range(i, len(nl) + 1)] FOR i IN range(1, len(nl) + 1)])) FROM y
+      UNION ALL SELECT conv_id, turn, 2, unnest(flatten([[array_to_string(np[i : j], chr(10)) FOR j IN range(i, len(np) + 1)] FOR i IN range(1, len(np) + 1)])) FROM y),
+s AS (SELECT conv_id, kind, form, min(turn) AS source FROM u WHERE form <> '' GROUP BY conv_id, kind, form),
+f AS (SELECT rid, p.conv_id, p.turn, level, first, min(source) AS source FROM p JOIN s ON s.conv_id = p.conv_id AND source < p.turn
+      AND s.form = CASE kind WHEN 0 THEN p.form WHEN 1 THEN by_line ELSE by_paragraph END GROUP BY rid, p.conv_id, p.turn, level, first),
+k AS (SELECT rid, conv_id, turn, arg_max(source, struct_pack(a := -level, b := first)) AS quoted FROM f GROUP BY rid, conv_id, turn),
 c AS (SELECT conv_id, turn, min(quoted) AS up FROM k GROUP BY conv_id, turn),
 w AS (SELECT conv_id, turn, up FROM c UNION SELECT w.conv_id, w.turn, c.up FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.up),
 h AS (SELECT conv_id, turn, min(up) AS thread FROM w GROUP BY conv_id, turn),

@@ -27,11 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch
+from newsloom.skew import keyed_lookup
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, FOOTER_BYTES = 0x184D2A5E, 0x8F92EAB1, 9
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 32 << 20
+#: Frames that a task reads back on average, and the bytes of a bundle whose frames stay together.
+FRAMES_PER_TASK, RUN_BYTES = 32, 2 << 20
+#: Records of one payload above which they are spread over several tasks.
+HOT_ROWS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 INDEX = (
     "page_id bigint, record_id string, record_type string, refers_to bigint, bundle string, frame int, "
@@ -190,10 +195,11 @@ def write_archive(pages: DataFrame, least: int = 0, frame_bytes: int = FRAME_BYT
     """Write one record per page; return the index table (see ``INDEX``)."""
     scratch = Scratch(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("same", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= least).groupBy("same").agg(F.min("page_id").alias("first"))
+    first = rows.filter(F.octet_length("payload") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.filter("first is not null")
     revisit = F.col("first").isNotNull() & (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    typed = rows.join(first, "same", "left").select(
+    # Pages that many records share (empty or default ones) are spread over several tasks.
+    typed = keyed_lookup(rows, first, ["same"], "page_id", weight="n", hot_rows=HOT_ROWS).select(
         "page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to")
     )
     return scratch.cut(typed.mapInArrow(_write(scratch.path("bundles"), frame_bytes, bundle_bytes), INDEX), "index")
@@ -206,18 +212,27 @@ def read_archive(index: DataFrame, payloads: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column("bundle").to_pylist():
+            wanted: dict[str, set[int]] = {}
+            for row in batch.to_pylist():
+                wanted.setdefault(row["bundle"], set()).add(row["frame_start"])
+            for uri, starts in wanted.items():
                 fs, path = pafs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as file:
-                    for start, packed, plain in seek_table(file):
+                    frames = [f for f in seek_table(file) if f[0] in starts]
+                    if len(frames) < len(starts):
+                        raise ValueError(f"{uri}: frames of the index are not in the seek table")
+                    for start, packed, plain in frames:
                         data, at, found = read_frame(file, start, packed, plain), 0, []
                         while at < len(data):
                             record, at = parse_record(data, at)
                             found.append(record)
                         yield _batch([{n: r[n] for n in schema.names} for r in found], schema)
 
-    bundles = index.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
-    return bundles.select("bundle").mapInArrow(run, ddl)
+    # Runs of neighbouring frames are dealt out, not whole bundles: their number follows the archive.
+    frames = index.groupBy("bundle", "frame_start").agg(F.count(F.lit(1)).alias("n"))
+    tasks = 1 + frames.count() // FRAMES_PER_TASK
+    run_of = F.floor(F.col("frame_start") / RUN_BYTES)
+    return frames.repartition(tasks, "bundle", run_of).select("bundle", "frame_start").mapInArrow(run, ddl)
 
 
 def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:

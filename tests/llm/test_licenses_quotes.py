@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -63,17 +65,49 @@ def test_links_bodies_and_threads(linked):
     assert got[None, 1].parent_turn is None and not got[5, 2].linked
 
 
-def test_equals_sql(linked):
+def equal_to_sql(messages, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [m for m in MESSAGES if m[0] is not None and m[1] is not None])
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [m for m in messages if m[0] is not None and m[1] is not None])
     cur = con.execute(quotes.ORACLE_SQL)
     names = [c[0] for c in cur.description]
     want = sorted((tuple(dict(zip(names, r, strict=True))[n] for n in sorted(names)) for r in cur.fetchall()), key=repr)
-    mine = [r.asDict() for r in linked[1] if r.conv_id is not None and r.turn is not None]
+    mine = [r.asDict() for r in rows if r.conv_id is not None and r.turn is not None]
     assert sorted((tuple(m[n] for n in sorted(m)) for m in mine), key=repr) == want
 
 
+def test_equals_sql(linked):
+    equal_to_sql(MESSAGES, linked[1])
+
+
+def test_random_trimmed_quotations_equal_sql(spark):
+    rng = random.Random(8)
+    messages = []
+    for c in range(12):
+        bodies: list[str] = []
+        for t in range(rng.randrange(2, 9)):
+            lines = [rng.choice(["ok", "thanks a lot", "one line", "another line", "", "the rest", "x"]) for _ in range(rng.randrange(0, 8))]
+            if bodies and rng.random() < 0.8:
+                source = rng.choice(bodies).split("\n")
+                i = rng.randrange(len(source))
+                lines = [f"> {x}" for x in source[i : i + rng.randrange(1, 6)]] + lines
+            bodies.append("\n".join(x for x in lines if not x.startswith(">")).strip())
+            messages.append((c, t, "user", "\n".join(lines)))
+    frame = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    rows = quotes.link_quotes(frame).collect()
+    assert sum(r.linked for r in rows) > 15
+    equal_to_sql(messages, rows)
+
+
+def test_a_long_message_with_many_quotations(spark):
+    """5,000 lines and 300 quotations of 2 to 301 lines: one run is formed per quotation, not one per line and length."""
+    lines = [f"line number {i} of the long message" for i in range(5000)]
+    rows = [(1, 0, "\n".join(lines))] + [(1, 1 + k, "\n".join(f"> {x}" for x in lines[7 * k : 9 * k + 2]) + f"\nanswer {k}") for k in range(300)]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = quotes.link_quotes(frame).collect()
+    assert all(r.linked and r.thread == 0 and r.body == f"answer {r.turn - 1}" for r in got if r.turn) and len(got) == 301
+
+
 def test_a_long_conversation_is_ranked_by_blocks(spark):
     frame = spark.range(5000).selectExpr("1L AS conv_id", "id * 3 AS turn", "'user' AS role", "concat('text ', id) AS text")
     rows = quotes.link_quotes(frame).orderBy("turn").collect()
