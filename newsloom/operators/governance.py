@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import PERSON_SHAPE, clean_entity_name, contains_any, plausible_person_name, squeeze
+from newsloom.functions.text import PERSON_SHAPE, bind, clean_entity_name, contains_any, plausible_person_name, squeeze
 
 
 @dataclass(frozen=True)
@@ -50,15 +50,17 @@ def leadership(df: DataFrame, text: str, r: GovernanceRules) -> DataFrame:
     kind = F.coalesce(appoint, _first(F.col("_c"), r.activities))
 
     def capture(p: str) -> Column:
-        name = F.regexp_extract(F.col("_c"), p, 1)
-        return F.when(F.col("_c").rlike(p) & _plausible(name, r), name)
+        # Without a match the name is empty, which is no name.
+        return bind(F.regexp_extract(F.col("_c"), p, 1), lambda name: F.when((name != "") & _plausible(name, r), name))
 
     person = F.coalesce(*[capture(p) for p in r.person_patterns])
     out = out.withColumns({"_kind": F.when(contains_any(F.col("_c"), r.roles), kind), "_change": appoint.isNotNull(), "_p": person})
     roles = "|".join(sorted(r.roles, key=len, reverse=True))
-    quoted = F.concat(F.lit(r"\Q"), F.col("_p"), F.lit(r"\E"))
-    near = F.concat(F.lit(f"({roles}).{{0,12}}"), quoted, F.lit("|"), quoted, F.lit(f".{{0,12}}({roles})"))
-    hit = lambda g: F.nullif(F.call_function("regexp_extract", F.col("_c"), near, F.lit(g)), F.lit(""))
+    # The name becomes a mark of its own length, so that one constant pattern finds the role beside it.
+    marked = F.replace("_c", F.col("_p"), F.concat(F.lit("\x01"), F.repeat(F.lit("\x02"), F.char_length("_p") - 1)))
+    near = rf"({roles}).{{0,12}}\x01|\x01\x02*+.{{0,12}}({roles})"
+    hit = lambda g: F.nullif(F.regexp_extract("_m", near, g), F.lit(""))
+    out = out.withColumn("_m", F.when(F.col("_kind").isNotNull() & F.col("_p").isNotNull(), marked))
     title = F.coalesce(hit(1), hit(2), F.nullif(F.regexp_extract(F.col("_c"), f"({roles})", 1), F.lit("")))
     ok = F.col("_kind").isNotNull() & F.col("_p").isNotNull()
     out = out.withColumn("_t", F.when(ok, title))
@@ -70,7 +72,7 @@ def leadership(df: DataFrame, text: str, r: GovernanceRules) -> DataFrame:
         "title_after": F.when(F.col("_change") & ~F.col("_kind").isin(*r.leaving), F.col("_t")),
         "leadership_confidence": F.when(ok, F.when(F.col("_change"), 0.86).otherwise(0.72)),
         "leadership_excerpt": F.when(ok, F.substring("_c", 1, 1200)),
-    }).drop("_c", "_kind", "_change", "_p", "_t")
+    }).drop("_c", "_kind", "_change", "_p", "_m", "_t")
 
 
 def org_change(text: Column, r: GovernanceRules, fallback: bool = True) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECENT_DAYS = 30
+#: Logarithm of a sketch's size; the standard error is 1.04 / sqrt(2 ** SKETCH_BITS).
+SKETCH_BITS = 14
 
 
 def statistics_base(articles: DataFrame, as_of: datetime, days: int = 365) -> DataFrame:
@@ -38,6 +40,19 @@ def distinct_events_by_sets(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("event_count"))
 
 
+def daily_sketches(df: DataFrame, at: str, columns: list[str], identity: str = "event_identity", lg_k: int = SKETCH_BITS) -> DataFrame:
+    """L8, G1-G3 as an option: one mergeable sketch of distinct events per day and value; a day is sketched once and kept."""
+    rows = df.filter(F.col(identity).isNotNull() & F.col(at).isNotNull())
+    return rows.groupBy(F.to_date(at).alias("day"), *columns).agg(F.hll_sketch_agg(identity, F.lit(lg_k)).alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame, as_of: datetime, days: int, columns: list[str]) -> DataFrame:
+    """Distinct events of the last ``days`` days per value, from the stored daily sketches alone."""
+    start = F.to_date(F.lit(as_of - timedelta(days=days)))
+    inside = sketches.filter((F.col("day") >= start) & (F.col("day") <= F.to_date(F.lit(as_of))))
+    return inside.groupBy(*columns).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def conditional_event_counts(df: DataFrame, conditions: dict[str, Column], identity: str = "event_identity") -> DataFrame:
     """Distinct events overall and under each condition, in one row.
 

@@ -1,9 +1,12 @@
 """Entities, imports and reviews."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import entities, reviews
-from newsloom.plans.showcase.base import TITLE_SQL, docs, table
+from newsloom.plans.showcase.base import TITLE_SQL, docs, once, table
+from newsloom.session import checkpoint_root
 from newsloom.sources import imports
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
@@ -86,22 +89,55 @@ def rejected_sources(spark, sf):
     return imports.rejected_files(rows, "file", "body")
 
 
-def _export_rows(spark, sf):
-    d = docs(spark, sf)
+def _export_row():
+    """One document as an export row, under different field names."""
     k = F.col("doc_id")
-    # One export file per source: a bare list, an envelope or a single-key map of rows.
-    row = F.create_map(
-        F.when(k % 3 == 0, "title").when(k % 3 == 1, "msg_title").otherwise("name"), F.when(k % 13 == 5, "  ").otherwise(F.substring_index("title", " ", 6)),
+    return F.create_map(
+        F.when(k % 3 == 0, "title").when(k % 3 == 1, "msg_title").otherwise("name"), F.when(k % 13 == 5, "  ").otherwise(F.col("title")),
         F.when(k % 2 == 0, "link").otherwise("content_url"), F.concat(F.when(k % 7 == 2, "https://other.example.net/").otherwise("http://Posts.example.org/s/"), k.cast("string")),
-        F.when(k % 5 == 0, "digest").otherwise("body"), F.col("lang"),
+        F.when(k % 5 == 0, "digest").otherwise("body"), F.col("text"),
         F.lit("publish_time"), F.when(k % 4 == 0, F.unix_seconds("fetched_at").cast("string")).otherwise(F.date_format("fetched_at", "yyyy/MM/dd HH:mm:ss")),
         F.lit("account_name"), F.col("source"), F.lit("doc"), k.cast("string"),
     )
-    lines = F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(row).alias("r"))))
-    files = d.groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.transform(lines, lambda x: x["r"]), ","), F.lit("]")).alias("rows"))
+
+
+def _export_file():
+    """Export file of a document: its source and the thousand ids it lies in, so no file has more records."""
+    return F.concat_ws("-", "source", F.floor(F.col("doc_id") / 1000).cast("string"))
+
+
+def _export_rows(spark, sf):
+    """Export files of whole texts: a bare list, an envelope or a single-key map of rows, by source."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("k"), F.to_json(_export_row()).alias("r"))))
+    files = docs(spark, sf).groupBy("source", _export_file().alias("file")).agg(F.concat(F.lit("["), F.array_join(F.transform(lines, lambda x: x["r"]), ","), F.lit("]")).alias("rows"))
     no = F.substring("source", 4, 9).cast("int")
     body = F.when(no % 3 == 0, F.col("rows")).when(no % 3 == 1, F.concat(F.lit('{"items":'), "rows", F.lit("}"))).otherwise(F.concat(F.lit('{"version":1,"data":'), "rows", F.lit("}")))
-    return files.select(F.col("source").alias("file"), F.lit(1000).alias("size"), body.alias("content"))
+    return files.select("file", F.octet_length(body).cast("bigint").alias("size"), body.alias("content"))
+
+
+def import_files(spark, sf):
+    """JSON and CSV exports read from disk: limits, secrets, good and bad rows of every file."""
+    def build():
+        path = f"{checkpoint_root(spark)}/newsloom/exports-{uuid.uuid4().hex}"
+        d = docs(spark, sf).withColumn("file", _export_file())
+        d = d.withColumn("text", F.when(F.col("doc_id") % 397 == 8, F.concat("text", F.lit(" pass_ticket=1"))).otherwise(F.col("text")))
+        by_id = lambda x, y: F.when(x["doc_id"] < y["doc_id"], -1).when(x["doc_id"] > y["doc_id"], 1).otherwise(0)
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", _export_row().alias("r"))), by_id), lambda x: x["r"])
+        d.groupBy("file").agg(rows.alias("articles")).write.partitionBy("file").json(f"{path}/json")
+        flat = d.select("file", "doc_id", F.col("title").alias("article_title"), F.concat(F.lit("http://Posts.example.org/s/"), F.col("doc_id").cast("string")).alias("url"), F.regexp_replace("text", r"[\r\n]+", " ").alias("content"))
+        flat.filter("doc_id % 4 = 1").repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").option("header", True).option("escape", '"').csv(f"{path}/csv")
+        return path
+
+    path, found = once(spark, sf, "exports", build), []
+    short = F.regexp_extract("file", "file=([^/]+)/", 1).alias("file")
+    for kind in ("json", "csv"):
+        files = imports.read_exports(spark, f"{path}/{kind}/*", kind)
+        rows = imports.json_rows(files) if kind == "json" else imports.csv_rows(spark, f"{path}/{kind}/*")
+        rows, refused = imports.accepted(rows, files)
+        _, _, counts = imports.normalize_rows(rows, ("posts.example.org",))
+        out = counts.join(refused, "file", "full").select(F.lit(kind).alias("kind"), short, "total_count", "missing_body_count", "invalid_count", "reason")
+        found.append(out)
+    return found[0].unionByName(found[1])
 
 
 def import_split(spark, sf):
@@ -160,7 +196,7 @@ def audit_tail(spark, sf):
 
 QUERIES = {
     "entity_resolution": entity_resolution, "reconcile_entities": reconcile_entities, "reconcile_counts": reconcile_counts, "hierarchy": hierarchy, "upsert_entities": upsert_entities,
-    "account_aliases": account_alias_rows, "secret_scan": secret_scan, "rejected_files": rejected_sources, "import_split": import_split, "import_errors": import_errors,
+    "account_aliases": account_alias_rows, "secret_scan": secret_scan, "rejected_files": rejected_sources, "import_split": import_split, "import_files": import_files, "import_errors": import_errors,
     "import_counts": import_counts, "import_accounting": import_accounting, "import_replay": import_replay, "review_state": review_state, "review_history": review_history, "audit_tail": audit_tail,
 }
 
@@ -170,8 +206,8 @@ rec AS (SELECT CASE WHEN k % 5 = 3 THEN 'discovered-' || substr(sha256(name), 1,
     CASE WHEN k % 5 = 3 THEN url ELSE coalesce(url, 'https://s' || k || '.example.org') END AS official_url, CASE WHEN k % 5 = 3 THEN 'new_pending' WHEN k % 4 = 1 THEN 'url_changed' ELSE 'matched' END AS status FROM f
   UNION ALL SELECT 'org-' || s_suppkey, s_name, 'https://s' || s_suppkey || '.example.org', CASE WHEN s_suppkey % 3 < 2 THEN 'missing' ELSE 'unlisted' END FROM supplier WHERE s_suppkey % 5 IN (2, 3))"""
 _SECRET = r"'(?i)(?:^|[\s,;?&])(?:uin|pass_ticket|appmsg_token|wxtoken|cookie|credentials?|private_?key)\s*[:=]'"
-_EXP = f"""x AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 13 = 5 THEN '' ELSE trim(array_to_string(list_slice(string_split({TITLE_SQL}, ' '), 1, 6), ' ')) END AS title,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS row_number, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) + INTERVAL 6 HOUR AS ats FROM documents),
+_EXP = f"""x AS (SELECT doc_id, trim(coalesce(text, '')) AS body, source, source || '-' || (doc_id // 1000) AS file, CASE WHEN doc_id % 13 = 5 THEN '' ELSE trim(coalesce({TITLE_SQL}, '')) END AS title,
+  row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS row_number, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) + INTERVAL 6 HOUR AS ats FROM documents),
 y AS (SELECT *, CASE WHEN title = '' THEN 'missing title' WHEN doc_id % 7 = 2 THEN 'address host is not allowed' END AS reason FROM x)"""
 _LOG = """lg AS (SELECT doc_id * 10 + 1 AS review_id, doc_id AS article_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'needs_changes' END AS st FROM labels
   UNION ALL SELECT doc_id * 10 + 2, doc_id, 'needs_changes' FROM labels WHERE doc_id % 6 = 0)"""
@@ -190,11 +226,19 @@ ORACLE = {
         SELECT account, alias, CASE WHEN alias IN ('N3', 'N4') THEN 'weak' WHEN alias = 'N5' OR length(alias) >= 6 THEN 'strong' ELSE 'medium' END AS alias_strength, alias = 'N7' AS is_ambiguous FROM a""",
     "secret_scan": f"""SELECT doc_id, TRUE AS secret FROM documents WHERE doc_id % 29 = 3 OR doc_id % 31 = 4 OR regexp_matches(text, {_SECRET}) OR contains(lower(text), '-----begin private key-----') OR contains(replace(lower(text), ' ', '_'), 'begin_private_key')""",
     "rejected_files": f"""SELECT DISTINCT source || '/' || lang || '/' || (doc_id % 7) AS file FROM documents WHERE doc_id % 29 = 3 OR regexp_matches(text, {_SECRET}) OR contains(lower(text), '-----begin private key-----') OR contains(replace(lower(text), ' ', '_'), 'begin_private_key')""",
-    "import_split": f"""WITH {_EXP} SELECT source AS file, row_number, title, 'http://Posts.example.org/s/' || doc_id AS original_url, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS content_text,
-        CASE WHEN doc_id % 5 = 0 THEN lang ELSE '' END AS summary, source AS author, source AS source_name, strftime(ats, '%Y-%m-%d %H:%M:%S') AS published_at FROM y WHERE reason IS NULL""",
-    "import_errors": f"WITH {_EXP} SELECT source AS file, row_number, reason FROM y WHERE reason IS NOT NULL",
-    "import_counts": f"""WITH {_EXP} SELECT source AS file, count(*) FILTER (reason IS NULL) AS total_count, count(*) FILTER (reason IS NULL AND doc_id % 5 = 0) AS missing_body_count,
+    "import_split": f"""WITH {_EXP} SELECT file, row_number, title, 'http://Posts.example.org/s/' || doc_id AS original_url, CASE WHEN doc_id % 5 = 0 THEN '' ELSE body END AS content_text,
+        CASE WHEN doc_id % 5 = 0 THEN body ELSE '' END AS summary, source AS author, source AS source_name, strftime(ats, '%Y-%m-%d %H:%M:%S') AS published_at FROM y WHERE reason IS NULL""",
+    "import_errors": f"WITH {_EXP} SELECT file, row_number, reason FROM y WHERE reason IS NOT NULL",
+    "import_counts": f"""WITH {_EXP} SELECT file, count(*) FILTER (reason IS NULL) AS total_count, count(*) FILTER (reason IS NULL AND (doc_id % 5 = 0 OR body = '')) AS missing_body_count,
         count(*) FILTER (reason IS NOT NULL) AS invalid_count FROM y GROUP BY 1""",
+    "import_files": f"""WITH {_EXP}, raw AS (SELECT source || '-' || (doc_id // 1000) AS file, doc_id, doc_id % 397 = 8 OR regexp_matches(CAST(to_json(text) AS VARCHAR), {_SECRET}) OR contains(lower(text), '-----begin private key-----')
+          OR contains(replace(lower(text), ' ', '_'), 'begin_private_key') AS secret FROM documents),
+        hit AS (SELECT 'json' AS kind, file, bool_or(secret) AS secret FROM raw GROUP BY 2 UNION ALL SELECT 'csv', file, bool_or(secret) FROM raw WHERE doc_id % 4 = 1 GROUP BY 2),
+        every AS (SELECT 'json' AS kind, file, reason, doc_id % 5 = 0 OR body = '' AS bare FROM y
+          UNION ALL SELECT 'csv', file, CASE WHEN trim(coalesce(t, '')) = '' THEN 'missing title' END, trim(regexp_replace(body, '[\\r\\n]+', ' ', 'g')) = '' FROM (SELECT y.*, {TITLE_SQL.replace('text', 'd.text')} AS t FROM y JOIN documents d USING (doc_id)) WHERE doc_id % 4 = 1)
+        SELECT kind, file, CASE WHEN NOT secret THEN count(*) FILTER (reason IS NULL) END AS total_count, CASE WHEN NOT secret THEN count(*) FILTER (reason IS NULL AND bare) END AS missing_body_count,
+          CASE WHEN NOT secret THEN count(*) FILTER (reason IS NOT NULL) END AS invalid_count, CASE WHEN secret THEN 'secret material' END AS reason
+        FROM every JOIN hit USING (kind, file) GROUP BY kind, file, secret""",
     "import_accounting": """WITH o AS (SELECT o_orderkey % 40 AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'new' WHEN 'O' THEN 'duplicate' ELSE 'skipped' END AS outcome, o_orderkey AS k FROM orders),
         e AS (SELECT batch_id, outcome FROM o WHERE batch_id > 3 OR outcome <> 'skipped' UNION ALL SELECT batch_id, 'invalid' FROM o WHERE k % 100 = 17)
         SELECT batch_id, count(*) FILTER (outcome <> 'invalid') AS total_count, count(*) FILTER (outcome = 'new') AS success_count, count(*) FILTER (outcome = 'duplicate') AS duplicate_count,

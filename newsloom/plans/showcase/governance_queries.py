@@ -13,6 +13,7 @@ from newsloom.plans.showcase.base import (
 )
 from newsloom.plans.showcase.ingest_queries import ORACLE as INGEST_ORACLE, _items
 from newsloom.plans.showcase.page_queries import _VERS, _changed, _responses
+from newsloom.plans.showcase.stream_queries import landed_in_batches
 from newsloom.plans.showcase.tag_queries import GOV
 from newsloom.rules import rule_list
 from newsloom.session import checkpoint_root, cut_lineage
@@ -96,17 +97,20 @@ def capability_report(spark, sf):
     return t.filter("crawlable").select("source_name", "status", num("http_status"), num("test_count"))
 
 
-def stream_ingest(spark, sf):
-    """The cascade fed by a stream of tagged documents, state kept in Parquet."""
+def ingest_state(spark, sf):
+    """Outcomes of the cascade fed by three micro-batches of tagged documents, state kept in Parquet."""
     root = os.path.join(checkpoint_root(spark), "newsloom-streams", f"ingest-{uuid.uuid4().hex}")
-    _items(spark, sf).write.parquet(root + "/in")
-    schema = spark.read.parquet(root + "/in").schema
-    stream = jobs.file_stream(spark, root + "/in", schema)
+    stream = landed_in_batches(spark, _items(spark, sf), "arrival_seq", root + "/in")
     q = jobs.ingest_stream(stream, root + "/state", root + "/_c", AS_OF, lambda b: b, "edit").start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    out = spark.read.parquet(root + "/state")
+    return spark.read.parquet(root + "/state")
+
+
+def stream_ingest(spark, sf):
+    """The cascade fed by a stream: the outcomes of a single batch."""
+    out = ingest_state(spark, sf)
     return out.select("arrival_seq", "outcome", "match_method", "leader_seq", F.round("match_score", 6).alias("match_score"))
 
 

@@ -1,16 +1,23 @@
 """Identity, cascade and roll-ups (E rows)."""
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import event_key
 from newsloom.operators import dedup, events, governance, similarity
 from newsloom.operators.reach import earliest_in_reach
 from newsloom.operators.scoring import analyze
+from newsloom.plans.ingest import IngestConfig, ingest
 from newsloom.plans.showcase.base import (
-    AS_OF, AS_OF_SQL, CANDIDATE_CTE, DOCS_CTE, EVENT_CTE, GATE_CTE, PROJECT_LABELS, RELEVANCE as R, docs, tagged_docs,
+    ACTION_WORDS, ALIASES, AS_OF, AS_OF_SQL, CANDIDATE_CTE, COMPANY_CONTEXT, DOCS_CTE, EVENT_CTE, FALLBACKS, GATE_CTE, LABEL_WORDS, OVERSEAS_CONTEXT, PROJECT_LABELS,
+    RELEVANCE as R, ROLLUP, docs, once, places, tagged_docs,
 )
 from newsloom.plans.showcase.tag_queries import _REL_CTE, GOV
-from newsloom.session import cut_lineage
+from newsloom.rules import RelevanceRules, rule_list
+from newsloom.session import checkpoint_root, cut_lineage
+from newsloom.sources import sinks
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
 
@@ -124,7 +131,75 @@ def org_event_keys(spark, sf):
     return events.insert_if_absent(None, d, "org_key").select("org_key", "doc_id", "change")
 
 
+def article_upsert(spark, sf):
+    """Stored articles after changes that move some of them to another month."""
+    path = f"{checkpoint_root(spark)}/newsloom/articles-{uuid.uuid4().hex}"
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), "title", "published_at", F.col("doc_id").alias("arrival_seq"))
+    sinks.write_keyed(d.filter("id % 9 <> 4"), path)
+    moved = F.when(F.col("id") % 10 == 3, F.col("published_at") + F.make_dt_interval(F.lit(45))).when(F.col("id") % 10 != 7, F.col("published_at"))
+    changes = d.filter("id % 10 in (3, 7) or id % 9 = 4").withColumns({"title": F.concat(F.lit("new "), "title"), "published_at": moved})
+    older = changes.withColumns({"arrival_seq": F.col("arrival_seq") - 1, "title": F.lit("an older change")})
+    sinks.upsert_keyed(spark, path, changes.unionByName(older))
+    return sinks.read_keyed(spark, path).select("id", "title", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"), "pub_month")
+
+
+def _config():
+    return IngestConfig(
+        gazetteer=None, aliases=ALIASES, company_context=COMPANY_CONTEXT, overseas_context=OVERSEAS_CONTEXT, labels=rule_list(LABEL_WORDS), project_labels=PROJECT_LABELS,
+        actions=rule_list(ACTION_WORDS), relevance=RelevanceRules(), label_fallbacks=FALLBACKS, label_rollup=ROLLUP, own_types=("official", "procurement"), official_types=("official", "policy"), measure="edit",
+    )
+
+
+def _landed(spark, sf):
+    """Documents as landed items, and their sources."""
+    d = docs(spark, sf)
+    items = d.select(F.col("doc_id").alias("arrival_seq"), F.col("source").alias("source_name"), "title", "url", "published_at", F.col("text").alias("excerpt"), F.col("lang").alias("language"), F.lit(False).alias("link_only"))
+    none = F.array().cast("array<string>")
+    sources = d.select(F.col("source").alias("source_name"), "source_type", "reliability_level").distinct().withColumns(
+        {"source_tags": none, "country_focus": none, "region_focus": none, "industry_focus": none, "entity_id": F.lit(None).cast("string")}
+    )
+    return items, sources
+
+
+def _ingested(spark, sf):
+    """All tables of one ingest of the documents."""
+    items, sources = _landed(spark, sf)
+    return once(spark, sf, "ingest", lambda: ingest(items, sources, replace(_config(), gazetteer=places(spark, sf)), AS_OF))
+
+
+def ingest_articles(spark, sf):
+    a = _ingested(spark, sf)["articles"]
+    return a.select("article_id", "event_key", "project_key", num("cross_source_count"))
+
+
+def ingest_evidence(spark, sf):
+    return _ingested(spark, sf)["evidence"].select("article_id", "url", "arrival_seq", "source_name")
+
+
+def ingest_events(spark, sf):
+    e = _ingested(spark, sf)["events"]
+    return e.select("event_key", num("source_count"), num("official_source_count"), "verification_status")
+
+
+def ingest_projects(spark, sf):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    p = _ingested(spark, sf)["projects"]
+    return p.select("project_key", "name", day("first_event_at").alias("first_event"), day("last_event_at").alias("last_event"), "event_count")
+
+
+def ingest_two_batches(spark, sf):
+    """The documents in two batches, the second over what the first one stored: the outcomes of a single one."""
+    items, sources = _landed(spark, sf)
+    config = replace(_config(), gazetteer=places(spark, sf))
+    middle = items.agg(F.floor(F.avg("arrival_seq"))).first()[0]
+    first = ingest(items.filter(F.col("arrival_seq") <= middle), sources, config, AS_OF)
+    second = ingest(items.filter(F.col("arrival_seq") > middle), sources, config, AS_OF, first)
+    out = first["outcomes"].unionByName(second["outcomes"])
+    return out.select("arrival_seq", "outcome", "match_method", "leader_seq", F.round("match_score", 6).alias("match_score"))
+
+
 QUERIES = {
+    "article_upsert": article_upsert, "ingest_articles": ingest_articles, "ingest_evidence": ingest_evidence, "ingest_events": ingest_events, "ingest_projects": ingest_projects, "ingest_two_batches": ingest_two_batches,
     "event_key": event_keys, "event_rollup": event_rollup, "project_rollup": project_rollup, "title_near_duplicates": title_near_duplicates, "ingest_cascade": ingest_cascade,
     "ingest_cascade_sequence": ingest_cascade_sequence, "url_groups": url_groups, "source_attachment": source_attachment, "primary_promotion": primary_promotion,
     "duplicate_ledger": duplicate_ledger, "analysis_fingerprint": analysis_keys, "business_activities": business_activities, "org_event_keys": org_event_keys,
@@ -185,3 +260,26 @@ ORACLE = {
         k AS (SELECT *, sha256(source || '|' || change || '|' || coalesce(strftime(published_at, '%Y-%m-%d'), 'date-unverified')) AS org_key FROM r WHERE change IS NOT NULL)
         SELECT org_key, min(doc_id) AS doc_id, arg_min(change, doc_id) AS change FROM k GROUP BY 1""",
 }
+
+# The full ingest digests title and excerpt together; all else is the cascade above and what it feeds.
+_OUT = ORACLE["ingest_cascade"].replace("regexp_replace(text, '[^\\p{L}\\p{N}_]+'", "regexp_replace(title || text, '[^\\p{L}\\p{N}_]+'")
+_FED = f"""{_E}, o AS MATERIALIZED ({_OUT}),
+    att AS (SELECT coalesce(leader_seq, arrival_seq) AS article_id, arrival_seq, source AS source_name, source_type IN ('official', 'policy') AS official,
+        'HTTPS://News.Example.org//item/' || (CASE WHEN doc_id % 11 = 5 THEN doc_id - 4 ELSE doc_id END) || '/?utm_source=' || source || '#top' AS url FROM o JOIN d ON doc_id = arrival_seq WHERE outcome <> 'skipped'),
+    ev AS (SELECT article_id, url, min(arrival_seq) AS arrival_seq, arg_min(source_name, arrival_seq) AS source_name, arg_min(official, arrival_seq) AS official FROM att GROUP BY 1, 2),
+    lk AS (SELECT att.article_id, att.source_name, arg_min(ev.official, att.arrival_seq) AS official FROM att JOIN ev ON ev.article_id = att.article_id AND ev.url = att.url GROUP BY 1, 2),
+    new AS (SELECT e.* FROM e JOIN o ON doc_id = arrival_seq WHERE outcome = 'new')"""
+ORACLE |= {
+    "article_upsert": f"""WITH {DOCS_CTE}, x AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 IN (3, 7) OR doc_id % 9 = 4 THEN 'new ' || title ELSE title END AS title,
+          CASE WHEN doc_id % 10 = 3 THEN published_at + INTERVAL 45 DAY WHEN doc_id % 10 = 7 THEN NULL ELSE published_at END AS pub FROM d)
+        SELECT id, title, strftime(pub, '%Y-%m-%d') AS published_at, coalesce(strftime(pub, '%Y-%m'), 'undated') AS pub_month FROM x""",
+    "ingest_two_batches": _OUT,
+    "ingest_evidence": f"{_FED} SELECT article_id, url, arrival_seq, source_name FROM ev",
+    "ingest_articles": f"""{_FED}, n AS (SELECT article_id, count(DISTINCT source_name) AS cross_source_count FROM ev GROUP BY 1)
+        SELECT article_id, event_key, CASE WHEN ptypes <> '' THEN project_key END AS project_key, cross_source_count FROM new JOIN n ON article_id = doc_id""",
+    "ingest_events": f"""{_FED}, r AS (SELECT event_key, count(DISTINCT lk.source_name) AS source_count, count(DISTINCT CASE WHEN lk.official THEN lk.source_name END) AS official_source_count FROM lk JOIN new ON doc_id = article_id GROUP BY 1)
+        SELECT event_key, source_count, official_source_count, CASE WHEN source_count >= 2 AND official_source_count > 0 THEN 'cross_verified' WHEN official_source_count > 0 THEN 'source_verified' ELSE 'unverified' END AS verification_status
+        FROM new JOIN r USING (event_key)""",
+    "ingest_projects": f"""{_FED} SELECT project_key, arg_min(title, doc_id) AS name, (list(strftime(published_at, '%Y-%m-%d') ORDER BY doc_id))[1] AS first_event, strftime(max(published_at), '%Y-%m-%d') AS last_event, count(*) AS event_count
+        FROM new WHERE ptypes <> '' GROUP BY 1""",
+}

@@ -1,12 +1,15 @@
 """Pages, versions and stored responses (A7-A14, A20, B18, D36, D40, E15 inputs, E18-E20, L9)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
-from newsloom.functions.urls import canonical_url
+from newsloom.functions.urls import canonical_url, host
 from newsloom.operators import changes
 from newsloom.operators.dedup import last_content_first_position
 from newsloom.plans.showcase.base import AS_OF, TITLE_SQL, docs, pages, sql_any, table
+from newsloom.session import checkpoint_root
 from newsloom.sources import catalog, readers
 
 num = lambda c: F.col(c).cast("bigint").alias(c)
@@ -144,7 +147,75 @@ def changed_lines(spark, sf):
                     F.size("detected_changes").cast("bigint").alias("n_changes"), F.array_join(F.transform("detected_changes", lambda x: x["kind"]), "|").alias("kinds"), "confidence")
 
 
+def sitemap_by_host(spark, sf):
+    """The second page of ten entries of every site."""
+    p = pages(spark, sf).select(host(F.col("url")).alias("site"), F.col("url").alias("loc"), F.when(F.col("page_id") % 6 != 0, F.concat(F.lit("2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15T08:00:00Z"))).alias("lastmod"))
+    out = readers.sitemap_pages_by(p, "site", page=2, limit=10)
+    return out.select("site", num("rank"), "url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
+
+
+def _dated(spark, sf):
+    d = docs(spark, sf).select("source", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("position"), "doc_id", "title", "published_at")
+    return d
+
+
+def catalogue_by_source(spark, sf):
+    out = readers.select_catalogue_by(_dated(spark, sf), "source", ["antion", "thing"], AS_OF, 5, 7, 300)
+    return out.select("source", "doc_id", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"))
+
+
+def batches_by_source(spark, sf):
+    """A batch of each source behind its own cursor."""
+    d = _dated(spark, sf)
+    cursors = d.select("source").distinct().withColumn("offset", F.substring("source", 4, 9).cast("int") * 3)
+    return readers.offset_batches(d.drop("title", "url"), "source", cursors, 20).select("source", "doc_id", num("rank"), "next_cursor", "exhausted")
+
+
+def _written(spark, name, rows):
+    path = f"{checkpoint_root(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return path
+
+
+def reader_html_list(spark, sf):
+    """List items of landed page files, through the reader registry."""
+    path = _written(spark, "html-pages", pages(spark, sf).select("url", "html"))
+    return readers.read_source(spark, "html_list", path, as_of=AS_OF).select("page_url", num("position"), "title", "url")
+
+
+def reader_catalogue(spark, sf):
+    """The selection of dated catalogues from files."""
+    path = _written(spark, "catalogue", _dated(spark, sf).withColumnRenamed("source", "source_name").drop("doc_id"))
+    out = readers.read_source(spark, "catalogue", path, terms=["antion", "thing"], as_of=AS_OF, recent=5, priority=7, lookback_days=300)
+    return out.select(F.col("source_name").alias("source"), F.col("position").alias("doc_id"), F.date_format("published_at", "yyyy-MM-dd").alias("published_at"))
+
+
+def reader_sections(spark, sf):
+    """Sections of landed page files."""
+    path = _written(spark, "section-pages", pages(spark, sf).groupBy("url").agg(F.max_by("html", "page_id").alias("html")))
+    out = readers.read_source(spark, "sections", path, terms=["ing", "und", "the"])
+    return out.select("url", "link_url", num("score"), num("rank"))
+
+
+def feed_entries(spark, sf):
+    """Entries of RSS feeds, one file per source, read in their order."""
+    path = f"{checkpoint_root(spark)}/newsloom/feeds-{uuid.uuid4().hex}"
+    shown = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    d = docs(spark, sf)
+    item = F.concat(
+        F.lit("<item><title>"), shown(F.col("title")), F.lit("</title><link>https://feeds.example.org/"), F.col("doc_id").cast("string"), F.lit("?utm_source=rss&amp;a=1</link><description>&lt;p&gt;"), F.col("lang"),
+        F.lit("&lt;/p&gt;</description><pubDate>"), F.date_format("fetched_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200</pubDate></item>"),
+    )
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda r: r["x"]), "\n")
+    feeds = d.groupBy("source", F.floor(F.col("doc_id") / 400).alias("part")).agg(F.concat(F.lit("<rss><channel>"), rows, F.lit("</channel></rss>")).alias("value"))
+    feeds.withColumn("feed", F.concat_ws("-", "source", F.col("part").cast("string"))).drop("source", "part").write.partitionBy("feed").text(path)
+    out = readers.read_source(spark, "rss", f"{path}/*", limit=50)
+    return out.select("title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"), "excerpt")
+
+
 QUERIES = {
+    "sitemap_by_host": sitemap_by_host, "catalogue_by_source": catalogue_by_source, "batches_by_source": batches_by_source, "reader_html_list": reader_html_list, "reader_catalogue": reader_catalogue,
+    "reader_sections": reader_sections, "feed_entries": feed_entries,
     "page_article": page_article, "page_links": page_links, "page_clean_text": page_clean_text, "list_items": list_rows, "discover_sections": sections,
     "news_leads": news_leads, "sitemap_page": sitemap_page, "api_documents": api_documents, "catalogue_selection": catalogue_selection,
     "catalogue_batch": catalogue_batch, "last_content": last_content, "detail_fallback": detail_fallback, "detail_errors": detail_errors,
@@ -197,7 +268,25 @@ _DIFF = lambda a, b: f"list_sort(list_distinct(list_filter(string_split({a}, chr
 _DOC = f"""SELECT doc_id, {TITLE_SQL} AS title, lang, source, CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) END AS ats FROM documents"""
 _KIND = "CASE WHEN " + sql_any("x", ("the", "que")) + " THEN 'leadership_or_title' WHEN " + sql_any("x", ("tion", "ung")) + " THEN 'organization_or_relation' END"
 
+_BY_SOURCE = f"""WITH d AS ({_DOC}), a AS (SELECT doc_id, source, ats, row_number() OVER (PARTITION BY source ORDER BY ats DESC NULLS LAST, doc_id) AS rn FROM d),
+        b AS (SELECT doc_id, source, ats, row_number() OVER (PARTITION BY source ORDER BY ats DESC NULLS LAST, doc_id) AS rn FROM d WHERE {sql_any('title', ('antion', 'thing'))} AND (ats IS NULL OR ats >= TIMESTAMP '2025-02-04' - INTERVAL 300 DAY))
+        SELECT DISTINCT source, doc_id, strftime(ats, '%Y-%m-%d') AS published_at FROM (SELECT * FROM a WHERE rn <= 5 UNION ALL SELECT * FROM b WHERE rn <= 7)"""
+
 ORACLE = {
+    "catalogue_by_source": _BY_SOURCE, "reader_catalogue": _BY_SOURCE,
+    "sitemap_by_host": """WITH f AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS site, url, CASE WHEN page_id % 6 <> 0 THEN '2024-0' || (page_id % 9 + 1) || '-15 08:00' END AS published_at FROM pages),
+        o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY published_at DESC NULLS LAST, url) AS rank FROM f) SELECT * FROM o WHERE rank BETWEEN 11 AND 20""",
+    "batches_by_source": f"""WITH d AS ({_DOC}), o AS (SELECT source, doc_id, CAST(substr(source, 4) AS INTEGER) * 3 AS off, row_number() OVER (PARTITION BY source ORDER BY ats DESC NULLS LAST, doc_id) AS rank, count(*) OVER (PARTITION BY source) AS total FROM d)
+        SELECT source, doc_id, rank, CASE WHEN total > off + 20 THEN CAST(off + 20 AS VARCHAR) END AS next_cursor, total <= off + 20 AS exhausted FROM o WHERE rank > off AND rank <= off + 20""",
+    "reader_sections": f"""WITH pg AS (SELECT * FROM {_PAGE_URL} QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1), {_LINKS[_LINKS.index('l0 AS'):]}, s AS (SELECT url, link_url, position, CASE WHEN contains(label, 'ing') THEN 100 WHEN contains(label, 'und') THEN 99 WHEN contains(label, 'the') THEN 98 ELSE 0 END AS score FROM links),
+        t AS (SELECT url, link_url, max(score) AS score, arg_min(position, struct_pack(a := -score, b := position)) AS position FROM s WHERE score > 0 GROUP BY 1, 2
+              UNION ALL SELECT url, {_SELF}, 0, 2147483647 FROM pg),
+        m AS (SELECT url, link_url, max(score) AS score, min(position) AS position FROM t GROUP BY 1, 2),
+        o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, position, link_url) AS rank FROM m)
+        SELECT url, link_url, CAST(score AS BIGINT) AS score, rank FROM o WHERE rank <= 8""",
+    "feed_entries": f"""WITH d AS ({_DOC}), f AS (SELECT *, trim(regexp_replace(title, '{_W}', ' ', 'g')) AS shown, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS rn FROM d)
+        SELECT shown AS title, 'https://feeds.example.org/' || doc_id || '?a=1' AS url, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 400 AS INTEGER)) + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M') AS published_at, lang AS excerpt
+        FROM f WHERE rn <= 50 AND length(shown) >= 4""",
     "page_article": f"""WITH c AS (SELECT page_id, html, {_CHROME} AS clean FROM pages)
         SELECT page_id, {_plain("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} AS title, {_plain("regexp_extract(clean, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)")} AS body FROM c""",
     "page_links": f"WITH {_LINKS} SELECT page_id, CAST(position AS BIGINT) AS position, label, link_url FROM links",
@@ -239,3 +328,4 @@ ORACLE = {
         SELECT url, captured_at, array_to_string(added, chr(10)) AS added, array_to_string(removed, chr(10)) AS removed, CAST(len(kinds) AS BIGINT) AS n_changes, array_to_string(kinds, '|') AS kinds,
           CASE WHEN len(added) > 0 OR len(removed) > 0 THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS confidence FROM y""",
 }
+ORACLE["reader_html_list"] = ORACLE["list_items"]

@@ -1,5 +1,7 @@
 """Statistics (G rows)."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import stats
@@ -29,6 +31,21 @@ def region_country_sets(spark, sf):
     return stats.distinct_events_by_sets(stats.statistics_base(_articles(spark, sf), AS_OF), ["country", "region"])
 
 
+def sketched_regions(spark, sf):
+    """Distinct events per region over 30 and 365 days: exact, and whether the sketches of the days come within four standard errors."""
+    df = stats.statistics_base(_articles(spark, sf), AS_OF).filter("region is not null")
+    sketches = cut_lineage(stats.daily_sketches(df, "published_at", ["region"]), "sketches")
+    out = None
+    for days in (30, 365):
+        window = df.filter(F.to_date("published_at") >= F.to_date(F.lit(AS_OF - timedelta(days=days))))
+        exact = stats.distinct_events_by(window, "region").select("region", "event_count")
+        both = exact.join(stats.sketched_counts(sketches, AS_OF, days, ["region"]), "region")
+        bound = F.greatest(F.lit(1.0), F.col("event_count") * 4 * 1.04 / 2 ** (stats.SKETCH_BITS / 2))
+        rows = both.select(F.lit(days).alias("days"), "region", "event_count", (F.abs(F.col("estimate") - F.col("event_count")) <= bound).alias("within"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def dashboard(spark, sf):
     d = stats.dashboard(_articles(spark, sf), AS_OF, FAMILIES)
     return d.select(*[F.col(c).cast("bigint").alias(c) if not c.endswith("ratio") else F.col(c) for c in d.columns])
@@ -58,7 +75,7 @@ def order_priority_sets(spark, sf):
 
 
 QUERIES = {
-    "events_per_region": events_per_region, "region_country_sets": region_country_sets, "dashboard": dashboard, "facets": opportunity_facets,
+    "sketched_regions": sketched_regions, "events_per_region": events_per_region, "region_country_sets": region_country_sets, "dashboard": dashboard, "facets": opportunity_facets,
     "top_countries": top_regions, "cross_source_counts": source_counts, "customer_sets": order_priority_sets,
 }
 
@@ -69,6 +86,8 @@ _CNT = lambda cond: f"count(DISTINCT CASE WHEN {cond} THEN ident END)"
 _ANY = lambda xs: "list_has_any(labels, [" + ", ".join(f"'{x}'" for x in xs) + "])"
 
 ORACLE = {
+    "sketched_regions": f"""{_BASE}, w AS (SELECT b.*, unnest([30, 365]) AS days FROM b WHERE region IS NOT NULL)
+        SELECT days, region, count(DISTINCT ident) AS event_count, TRUE AS within FROM w WHERE published_at >= {AS_OF_SQL} - to_days(CAST(days AS INTEGER)) GROUP BY 1, 2""",
     "events_per_region": f"{_BASE} SELECT region, count(DISTINCT ident) AS event_count FROM b WHERE region IS NOT NULL GROUP BY 1",
     "region_country_sets": f"""{_BASE} SELECT CASE WHEN GROUPING(country) = 0 THEN 'country' ELSE 'region' END AS dimension, coalesce(country, region) AS value, count(DISTINCT ident) AS event_count
         FROM b WHERE country IS NOT NULL GROUP BY GROUPING SETS ((country), (region))""",

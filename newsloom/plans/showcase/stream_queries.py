@@ -27,11 +27,33 @@ def _drain(query):
         raise query.exception()
 
 
+BATCHES = 3
+
+
+def landed_in_batches(spark, rows, order, folder):
+    """A stream that reads ``rows`` in three micro-batches, each behind the other in ``order``."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    for i in range(BATCHES):
+        part = rows.filter(F.floor((F.col(order) - (low or 0)) / step) == i)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return jobs.file_stream(spark, folder, rows.schema, 1)
+
+
 def stream_dedup(spark, sf):
-    """First sighting of each content digest, streamed into Parquet."""
+    """First sighting of each content digest, against a ledger of the batches before."""
     out = _folder(spark, "dedup")
-    d = _stream(spark, sf, "documents").select(content_digest(F.col("text"), F.lit("")).alias("digest"))
-    q = jobs.first_seen_unbounded(d, ["digest"])
+    d = table(spark, sf, "documents").select("doc_id", content_digest(F.col("text"), F.lit("")).alias("digest"))
+    stream = landed_in_batches(spark, d, "doc_id", out + "/in").select("digest")
+    _drain(jobs.ledger_dedup_stream(stream, "digest", out + "/t", out + "/_c").start())
+    return spark.read.parquet(out + "/t").select("digest")
+
+
+def stream_first_seen(spark, sf):
+    """First sighting of each event key within a watermark that covers all of them."""
+    out = _folder(spark, "first")
+    e = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    q = jobs.first_seen(e, ["event_type", "day"], "at", "1000 days").select("event_type", "day")
     _drain(q.writeStream.format("parquet").option("checkpointLocation", out + "/_c").trigger(availableNow=True).start(out + "/t"))
     return spark.read.parquet(out + "/t")
 
@@ -53,28 +75,43 @@ def stream_windows(spark, sf):
     return res.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n")
 
 
+def health_state(spark, sf):
+    """States of the failure streaks after each of three micro-batches."""
+    out = _folder(spark, "health")
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("source_name"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("mark"), (F.col("event_type") == "error").alias("failed"))
+    stream = landed_in_batches(spark, e, "mark", out + "/in")
+    _drain(jobs.failure_streak_stream(stream, out + "/t", out + "/_c").start())
+    return spark.read.parquet(out + "/t")
+
+
 def stream_health(spark, sf):
-    """Failure streak per source kept by a stateful operator."""
-    e = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("source_name"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("mark"), (F.col("event_type") == "error").alias("failed"))
-    res = _last_result(spark, jobs.failure_streaks(e), "update", "health")
-    keep = res.groupBy("source_name").agg(F.max_by(F.struct("consecutive_failures", "paused"), "epoch").alias("v"))
-    return keep.select("source_name", "v.consecutive_failures", "v.paused")
+    """Failure streak per source, merged batch by batch."""
+    res = health_state(spark, sf)
+    last = res.agg(F.max("epoch").alias("epoch"))
+    return res.join(F.broadcast(last), "epoch", "left_semi").select("source_name", "consecutive_failures", "paused")
+
+
+def page_states(spark, sf):
+    """Change records of three micro-batches of conversation turns taken as page versions."""
+    out = _folder(spark, "pages")
+    p = table(spark, sf, "conversations").select("turn", F.col("conv_id").cast("string").alias("url"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("turn").cast("int"))).alias("captured_at"), "text")
+    stream = landed_in_batches(spark, p, "turn", out + "/in").drop("turn")
+    _drain(jobs.page_change_stream(stream, out + "/s", out + "/_c").start())
+    return spark.read.parquet(out + "/s/changes")
 
 
 def stream_page_changes(spark, sf):
     """Change records of conversation turns taken as page versions."""
-    out = _folder(spark, "pages")
-    p = _stream(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("url"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("turn").cast("int"))).alias("captured_at"), "text")
-    _drain(jobs.page_change_stream(p, out + "/s", out + "/_c").start())
-    c = spark.read.parquet(out + "/s/changes")
+    c = page_states(spark, sf)
     return c.select("url", F.date_format("captured_at", "yyyy-MM-dd").alias("captured_at"), F.size("added_lines").cast("bigint").alias("added"), F.size("removed_lines").cast("bigint").alias("removed"))
 
 
-QUERIES = {"stream_dedup": stream_dedup, "stream_windows": stream_windows, "stream_health": stream_health, "stream_page_changes": stream_page_changes}
+QUERIES = {"stream_dedup": stream_dedup, "stream_first_seen": stream_first_seen, "stream_windows": stream_windows, "stream_health": stream_health, "stream_page_changes": stream_page_changes}
 
 _DIFF = lambda a, b: f"len(list_distinct(list_filter(string_split({a}, chr(10)), lambda x: NOT list_contains(string_split({b}, chr(10)), x))))"
 
 ORACLE = {
+    "stream_first_seen": "SELECT DISTINCT event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "stream_dedup": "SELECT DISTINCT sha256(lower(regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g'))) AS digest FROM documents",
     "stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_health": f"""WITH {RUNS_CTE}, r AS (SELECT *, sum(CASE WHEN status <> 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY source_name ORDER BY started_at, run_id) AS island FROM runs),

@@ -59,6 +59,18 @@ def alias_table(spark, sf):
     return c.select("doc_id", "account", "matched_entity", F.round("confidence", 2).alias("confidence"), "needs_review", join("evidence").alias("evidence"))
 
 
+def article_confidence(spark, sf):
+    """Confidence of the gate and of the best account together."""
+    df = tagged_docs(spark, sf)
+    return df.select("doc_id", F.round(tagging.article_confidence(F.col("overseas_confidence"), F.col("candidates")), 2).alias("confidence"))
+
+
+def alias_evidence(spark, sf):
+    """Every alias that speaks for some account of a document."""
+    df = tagged_docs(spark, sf).filter(F.size("candidates") > 0)
+    return df.select("doc_id", join(tagging.evidence_aliases(F.col("candidates"))).alias("aliases"))
+
+
 def dictionary_matches(spark, sf):
     """Every benchmark word of seven letters or more that occurs inside a document."""
     words = table(spark, sf, "benchmark").select(
@@ -186,7 +198,7 @@ def feed_routes(spark, sf):
 
 QUERIES = {
     "tag_gate": tag_gate, "account_hits": account_hits, "multi_label": multi_label, "multi_label_words": multi_label_words,
-    "alias_candidates": alias_candidates, "alias_table": alias_table, "dictionary_matches": dictionary_matches, "rule_table_labels": rule_table_labels, "first_action": first_action,
+    "alias_candidates": alias_candidates, "alias_table": alias_table, "article_confidence": article_confidence, "alias_evidence": alias_evidence, "dictionary_matches": dictionary_matches, "rule_table_labels": rule_table_labels, "first_action": first_action,
     "policy_dimensions": policy_rows, "source_roles": source_roles, "longest_alias": longest_aliases, "relevance_facts": relevance_facts,
     "relevance_score": relevance_score, "score_bands": score_bands, "score_evidence": score_evidence, "relevance_texts": relevance_texts,
     "sales_metadata": sales_meta, "org_changes": org_changes, "org_headlines": org_headlines, "feed_routes": feed_routes,
@@ -290,6 +302,10 @@ ORACLE = {
     "multi_label": f"{_TAG} SELECT doc_id, array_to_string(labels, '|') AS labels FROM g",
     "multi_label_words": f"""SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN {_WORD(w)} THEN {sql_str(n)} END" for n, w in LABEL_WORDS)}], lambda x: x IS NOT NULL), '|') AS labels
         FROM (SELECT doc_id, lower(text) AS low FROM documents)""",
+    "article_confidence": f"""WITH {DOCS_CTE}, {GATE_CTE}, {CANDIDATE_CTE}, k AS (SELECT doc_id, max(confidence) AS top FROM c GROUP BY 1)
+        SELECT doc_id, round(least(0.98, greatest(gate_score::DOUBLE, coalesce(top, 0.35)::DOUBLE)), 2) AS confidence FROM g LEFT JOIN k USING (doc_id)""",
+    "alias_evidence": f"""WITH {DOCS_CTE}, {CANDIDATE_CTE} SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS aliases
+        FROM (SELECT doc_id, flatten(list(string_split(evidence, '|') ORDER BY confidence DESC, account)) AS l FROM c GROUP BY 1)""",
     "alias_table": f"""WITH {DOCS_CTE}, {CANDIDATE_CTE} SELECT doc_id, account, matched_entity, round(confidence, 2)::DOUBLE AS confidence, needs_review, evidence FROM c""",
     "alias_candidates": f"""WITH {DOCS_CTE}, {CANDIDATE_CTE}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, account) - 1 AS rank, account, matched_entity, confidence::DOUBLE AS confidence, needs_review, evidence FROM c""",

@@ -61,3 +61,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_root(spark), "newsloom", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

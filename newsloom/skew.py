@@ -15,7 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_ROWS = 500_000
@@ -103,6 +102,15 @@ def split_lag(
     )
 
 
-def hash_bucket(column: str, buckets: int) -> Column:
-    """Stable bucket number of a column."""
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast(T.IntegerType())
+def split_rank(df: DataFrame, key: str, block: Column, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Add the place (from 1) of each row within ``key`` under ``order``, without one task per key.
+
+    ``block`` must be non-decreasing along ``order`` (end it with a unique column): a row's place is the number of rows
+    in the earlier blocks of its key plus its place in its own block.
+    """
+    blocked = df.withColumn("_blk", block)
+    sizes = blocked.groupBy(key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(key, "_blk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key, "_blk").orderBy(*order))
+    return blocked.withColumn("_own", own).join(before, [key, "_blk"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_blk", "_own", "_before")

@@ -18,6 +18,7 @@ from newsloom.functions import html as H
 from newsloom.functions.dates import parse_iso, parse_list_date
 from newsloom.functions.text import contains_any, squeeze
 from newsloom.functions.urls import absolute_url, canonical_url, host, is_valid_item, url_part
+from newsloom.skew import split_rank
 
 # List limits of the readers.
 FEED_LIMIT, LIST_LIMIT, SECTION_LIMIT, EXCERPT_CHARS = 50, 40, 8, 6000
@@ -238,7 +239,76 @@ def offset_batch(items: DataFrame, offset: int, size: int = 10) -> tuple[DataFra
     return batch, {"next_cursor": str(offset + n) if more else None, "exhausted": not more}
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"rss": read_rss, "sitemap": read_sitemap}
+def _newest_first(at: str, tie: str) -> tuple[Column, list[Column]]:
+    """Blocks of days and the order within them: newest first, undated rows last."""
+    return F.coalesce(-F.datediff(at, F.lit("1970-01-01")), F.lit(2**31 - 1)), [F.col(at).desc_nulls_last(), F.col(tie).asc()]
+
+
+def sitemap_pages_by(entries: DataFrame, key: str, include: str | None = None, page: int = 1, limit: int = LIST_LIMIT) -> DataFrame:
+    """A10 for many sites in one plan: one page of every site (``key``) of (key, loc, lastmod) rows, with its place."""
+    rows = entries.select(key, F.replace(F.trim("loc"), F.lit("&amp;"), F.lit("&")).alias("url"), parse_iso(F.col("lastmod")).alias("published_at"))
+    rows = rows.filter("url is not null")
+    if include:
+        rows = rows.filter(F.col("url").rlike(f"(?i){include}"))
+    block, order = _newest_first("published_at", "url")
+    return split_rank(rows, key, block, order).filter(F.col("rank").between((page - 1) * limit + 1, page * limit))
+
+
+def select_catalogue_by(items: DataFrame, key: str, terms: list[str], as_of: datetime, recent: int = 25, priority: int = 35, lookback_days: int = 730) -> DataFrame:
+    """A13, J3 for many sources in one plan: the newest rows of each, and its newest term rows in the look-back."""
+    block, order = _newest_first("published_at", "position")
+    cutoff = F.lit(as_of) - F.make_dt_interval(F.lit(lookback_days))
+    wanted = contains_any(F.col("title"), terms) & (F.col("published_at").isNull() | (F.col("published_at") >= cutoff))
+    newest = split_rank(items, key, block, order).filter(F.col("rank") <= recent)
+    top = split_rank(items.filter(wanted), key, block, order).filter(F.col("rank") <= priority)
+    both = newest.drop("rank").withColumn("_k", F.lit(0)).unionByName(top.drop("rank").withColumn("_k", F.lit(1)))
+    cols = [c for c in items.columns if c not in (key, "url")]
+    return both.groupBy(key, "url").agg(F.min_by(F.struct(*cols), F.struct("_k", "position")).alias("_v")).select(key, "url", *[F.col(f"_v.{c}").alias(c) for c in cols])
+
+
+def offset_batches(items: DataFrame, key: str, cursors: DataFrame, size: int = 10) -> DataFrame:
+    """A14 for many sources in one plan: the batch behind each source's cursor (key, offset), with its next cursor.
+
+    Places come from counts of days, so a deep cursor sorts no more than a shallow one, and nothing runs at plan time.
+    """
+    n = max(1, min(25, size))
+    block, order = _newest_first("published_at", "position")
+    ranked = split_rank(items, key, block, order)
+    totals = items.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
+    placed = ranked.join(cursors.join(totals, key), key).filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + n))
+    more = F.col("_total") > F.col("offset") + n
+    return placed.withColumns({"next_cursor": F.when(more, (F.col("offset") + n).cast("string")), "exhausted": ~more}).drop("_total", "offset")
+
+
+def _landed(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages (url, html) as JSON lines."""
+    return spark.read.schema("url string, html string").json(path)
+
+
+def read_html_list(spark: SparkSession, path: str, as_of: datetime, **options) -> DataFrame:
+    """List items of landed pages."""
+    return list_items(_landed(spark, path), as_of, **options)
+
+
+def read_sections(spark: SparkSession, path: str, terms: list[str], n: int = SECTION_LIMIT) -> DataFrame:
+    """The sections that landed pages lead to."""
+    return discover_sections(anchors(_landed(spark, path)), terms, n=n)
+
+
+def read_json_api(spark: SparkSession, path: str) -> DataFrame:
+    """Items of landed documents API answers, one JSON text per file."""
+    return documents_page(spark.read.text(path, wholetext=True))
+
+
+def read_catalogue(spark: SparkSession, path: str, terms: list[str], as_of: datetime, **options) -> DataFrame:
+    """Selection of dated catalogues (source_name, url, position, title, published_at) as JSON lines."""
+    rows = spark.read.schema("source_name string, url string, position bigint, title string, published_at timestamp").json(path)
+    return select_catalogue_by(rows, "source_name", terms, as_of, **options)
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {
+    "rss": read_rss, "sitemap": read_sitemap, "html_list": read_html_list, "sections": read_sections, "json_api": read_json_api, "catalogue": read_catalogue,
+}
 
 
 def register_reader(name: str, reader: Callable[..., DataFrame]) -> None:

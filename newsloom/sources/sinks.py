@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, drop_folder
 from newsloom.skew import first_per_key
 
 UNDATED = "undated"
+KEY_BUCKETS = 32
 
 
 def with_month(df: DataFrame, at: str = "published_at") -> DataFrame:
@@ -50,6 +51,39 @@ def upsert_months(spark: SparkSession, path: str, changes: DataFrame, key: str =
     merged.hint("rebalance", "pub_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pub_month").parquet(path)
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    """Append rows to a ledger table."""
-    df.write.mode("append").parquet(path)
+def _key_bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def write_keyed(df: DataFrame, path: str, key: str = "id", at: str = "published_at") -> None:
+    """Write the article table by month, and beside it the month of every key, by bucket of the key."""
+    write_months(df, f"{path}/months", at=at)
+    months = with_month(df.select(key, at), at).select(key, "pub_month", _key_bucket(key).alias("bucket"))
+    months.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys")
+
+
+def read_keyed(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
+    return read_months(spark, f"{path}/months", months)
+
+
+def upsert_keyed(spark: SparkSession, path: str, changes: DataFrame, key: str = "id", order: str = "arrival_seq", at: str = "published_at") -> None:
+    """Upsert by key, also when a row's publication month changes.
+
+    The key table says which month holds the old row, so only the old and the new months of the changed keys are
+    rewritten, and only the key buckets they fall into.  The last change of a key wins.  New content is materialised
+    before old files go.
+    """
+    cols = [c for c in changes.columns if c != key]
+    new = cut_lineage(with_month(first_per_key(changes, [key], [-F.col(order)], cols), at), "changes")
+    buckets = [r[0] for r in new.select(_key_bucket(key)).distinct().collect()]  # at most KEY_BUCKETS
+    known = spark.read.parquet(f"{path}/keys").filter(F.col("bucket").isin(buckets))
+    held = known.join(new.select(key), key, "left_semi").select("pub_month")
+    touched = [r[0] for r in held.union(new.select("pub_month")).distinct().collect()]  # one per calendar month
+    old = spark.read.parquet(f"{path}/months").filter(F.col("pub_month").isin(touched)).join(new.select(key), key, "left_anti")
+    merged = cut_lineage(old.unionByName(new, allowMissingColumns=True), "upsert")
+    keys = cut_lineage(known.join(new.select(key), key, "left_anti").select(key, "pub_month", "bucket").unionByName(new.select(key, "pub_month", _key_bucket(key).alias("bucket"))), "keys")
+    left = {r[0] for r in merged.select("pub_month").distinct().collect()}
+    merged.hint("rebalance", "pub_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pub_month").parquet(f"{path}/months")
+    for month in sorted(set(touched) - left):  # a month that lost its last row keeps no file
+        drop_folder(spark, f"{path}/months/pub_month={month}")
+    keys.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/keys")

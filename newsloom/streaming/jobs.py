@@ -37,11 +37,6 @@ def first_seen(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataF
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def first_seen_unbounded(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """L2: drop every repeat of a key; state grows with the number of keys."""
-    return stream.dropDuplicates(keys)
-
-
 def trailing_counts(stream: DataFrame, at: str, keys: list[str], width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Event-time window counts per key; rows later than ``delay`` are dropped by the watermark."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
@@ -50,7 +45,7 @@ def trailing_counts(stream: DataFrame, at: str, keys: list[str], width: str, sli
 
 
 def ingest_stream(
-    stream: DataFrame, state_path: str, checkpoint: str, as_of: datetime, prepare: Callable[[DataFrame], DataFrame], measure: str = "sequence"
+    stream: DataFrame, state_path: str, checkpoint: str, as_of: datetime, prepare: Callable[[DataFrame], DataFrame], measure: str = "edit"
 ):
     """L1: run the cascade on each micro-batch against the articles accepted so far.
 
@@ -87,9 +82,40 @@ def stored_before(spark: SparkSession, path: str, run: str, epoch: int) -> DataF
     return old.filter((F.col("run") != run) | (F.col("epoch") < epoch))
 
 
-def failure_streaks(runs: DataFrame, source: str = "source_name", pause_after: int = 5) -> DataFrame:
+def failure_streak_stream(stream: DataFrame, state_path: str, checkpoint: str, pause_after: int = 5):
     """Failures since the last success, kept per source as runs arrive.
 
+    ``stream``: source_name, ``mark`` (bigint order of the run) and ``failed``.  A batch is reduced to a few numbers per
+    source by built-in aggregates, combined on the map side, and merged with the state the batch before it left (one
+    row per source).  Batches of a source must arrive in order; inside a batch the order is free.
+    """
+    run = run_name(checkpoint)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        ok = batch.groupBy("source_name").agg(F.max(F.when(~F.col("failed"), F.col("mark"))).alias("ok"))
+        bad = batch.filter("failed").join(ok, "source_name").filter("ok is null or mark > ok").groupBy("source_name").agg(F.count(F.lit(1)).alias("bad"), F.max("mark").alias("newest"))
+        mine = ok.join(bad, "source_name", "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+        before = stored_before(spark, state_path, run, epoch)
+        if before is not None:
+            last = before.agg(F.max(F.struct("epoch", "run"))).first()[0]
+            before = before.filter((F.col("epoch") == last["epoch"]) & (F.col("run") == last["run"])) if last else None
+        if before is None:
+            before = spark.createDataFrame([], "source_name string, last_ok bigint, open_count bigint")
+        both = before.select("source_name", "last_ok", "open_count").join(mine, "source_name", "full")
+        state = both.select(
+            "source_name", F.greatest("last_ok", "ok").alias("last_ok"),
+            (F.col("bad") + F.when(F.col("ok").isNull(), F.coalesce("open_count", F.lit(0))).otherwise(0)).alias("_new"), "open_count",
+        ).select("source_name", "last_ok", F.coalesce("_new", "open_count").cast("bigint").alias("open_count"))
+        state = state.withColumns({"consecutive_failures": F.col("open_count"), "paused": F.col("open_count") >= pause_after})
+        state.write.mode("overwrite").parquet(f"{state_path}/run={run}/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def failure_streaks(runs: DataFrame, source: str = "source_name", pause_after: int = 5) -> DataFrame:
+    """L5 as a stateful operator, for streams that need no stored state.
+
     Columns: source, ``mark`` (bigint order of the run) and ``failed``.  State is two numbers per
     source: the newest success and the open failures after it.  Batches of a source must arrive in
     order; inside a batch the order is free, and only open failure marks are held.
@@ -111,6 +137,26 @@ def failure_streaks(runs: DataFrame, source: str = "source_name", pause_after: i
     )
 
 
+def ledger_dedup_stream(stream: DataFrame, key: str, ledger_path: str, checkpoint: str, prefix: int = 1):
+    """L2: rows whose digest ``key`` no earlier batch has; the digests live in a ledger of files, not in memory.
+
+    The ledger is partitioned by the first characters of the digest, and a batch reads only the parts that its own
+    digests fall into.  State grows on disk alone, and no digest is ever forgotten.
+    """
+    run = run_name(checkpoint)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key]).withColumn("prefix", F.concat(F.lit("p"), F.substring(key, 1, prefix)))
+        old = stored_before(spark, ledger_path, run, epoch)
+        if old is not None:
+            parts = [r[0] for r in fresh.select("prefix").distinct().collect()]  # at most 16 ** prefix
+            fresh = fresh.join(old.filter(F.col("prefix").isin(parts)).select("prefix", key), ["prefix", key], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{ledger_path}/run={run}/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def page_change_stream(stream: DataFrame, state_path: str, checkpoint: str, roles: tuple[str, ...] = (), org_words: tuple[str, ...] = ()):
     """L4: change records of landed page versions against the newest stored version of each address.
 

@@ -190,3 +190,37 @@ def test_backfill_resumes_and_keeps_undated(spark):
     assert sorted((r.page_number, r.published_at is None) for r in jobs.backfill_window(df, start, end).collect()) == [(1, False), (1, True), (2, False)]
     done = jobs.checkpoint_rows(df.filter("page_number = 1"), start, end)
     assert [r.page_number for r in jobs.backfill_window(df, start, end, done).collect()] == [2]
+
+
+def test_catalogue_streams_run_in_three_batches(spark, sf_dir):
+    """State is read by the later batches: each stream of the catalogue leaves three epochs."""
+    from newsloom.plans.showcase import governance_queries, stream_queries
+
+    assert {r.epoch for r in stream_queries.health_state(spark, sf_dir).select("epoch").distinct().collect()} == {0, 1, 2}
+    assert len({r.epoch for r in stream_queries.page_states(spark, sf_dir).select("epoch").distinct().collect()}) >= 2
+    assert {r.epoch for r in governance_queries.ingest_state(spark, sf_dir).select("epoch").distinct().collect()} == {0, 1, 2}
+
+
+def test_streak_merge_and_ledger(spark, tmp_path):
+    """Successes and failures over batches, and digests that come again."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"s{rng.randrange(5)}", i, rng.random() < 0.7) for i in range(120)]
+    src = str(tmp_path / "in")
+    for k in range(4):
+        part = spark.createDataFrame(rows[30 * k : 30 * k + 30], "source_name string, mark bigint, failed boolean")
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = jobs.file_stream(spark, src, part.schema, 1)
+    jobs.failure_streak_stream(stream, str(tmp_path / "t"), str(tmp_path / "c")).start().awaitTermination()
+    got = {r.source_name: r.consecutive_failures for r in spark.read.parquet(str(tmp_path / "t")).filter("epoch = 3").collect()}
+    want: dict = {}
+    for name, _, failed in rows:
+        want[name] = want.get(name, 0) + 1 if failed else 0
+    assert got == want
+    keys = spark.createDataFrame([(f"{i % 40:04x}",) for i in range(100)], "digest string")
+    for part in keys.randomSplit([1.0, 1.0, 1.0], 3):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "k"))
+    jobs.ledger_dedup_stream(jobs.file_stream(spark, str(tmp_path / "k"), keys.schema, 1), "digest", str(tmp_path / "l"), str(tmp_path / "d")).start().awaitTermination()
+    seen = [r.digest for r in spark.read.parquet(str(tmp_path / "l")).collect()]
+    assert sorted(seen) == sorted({f"{i % 40:04x}" for i in range(100)})
