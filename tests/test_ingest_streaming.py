@@ -194,11 +194,10 @@ def test_backfill_resumes_and_keeps_undated(spark):
 
 def test_catalogue_streams_run_in_three_batches(spark, sf_dir):
     """State is read by the later batches: each stream of the catalogue leaves three epochs."""
-    from newsloom.plans.showcase import governance_queries, stream_queries
+    from newsloom.plans.showcase import stream_queries
 
     assert {r.epoch for r in stream_queries.health_state(spark, sf_dir).select("epoch").distinct().collect()} == {0, 1, 2}
     assert len({r.epoch for r in stream_queries.page_states(spark, sf_dir).select("epoch").distinct().collect()}) >= 2
-    assert {r.epoch for r in governance_queries.ingest_state(spark, sf_dir).select("epoch").distinct().collect()} == {0, 1, 2}
 
 
 def test_streak_merge_and_ledger(spark, tmp_path):
