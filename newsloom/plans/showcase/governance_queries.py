@@ -100,11 +100,7 @@ def capability_report(spark, sf):
 def ingest_state(spark, sf):
     """Outcomes of the cascade fed by three micro-batches of tagged documents, state kept in Parquet."""
     root = os.path.join(checkpoint_root(spark), "newsloom-streams", f"ingest-{uuid.uuid4().hex}")
-    stream = landed_in_batches(spark, _items(spark, sf), "arrival_seq", root + "/in")
-    q = jobs.ingest_stream(stream, root + "/state", root + "/_c", AS_OF, lambda b: b, "edit").start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    landed_in_batches(spark, _items(spark, sf), "arrival_seq", root + "/in", lambda s: jobs.ingest_stream(s, root + "/state", root + "/_c", AS_OF, lambda b: b, "edit"))
     return spark.read.parquet(root + "/state")
 
 

@@ -30,22 +30,24 @@ def _drain(query):
 BATCHES = 3
 
 
-def landed_in_batches(spark, rows, order, folder):
-    """A stream that reads ``rows`` in three micro-batches, each behind the other in ``order``."""
+def landed_in_batches(spark, rows, order, folder, start):
+    """Lands ``rows`` in three parts, each behind the other in ``order``, and runs the stream over each as one micro-batch.
+
+    ``start`` makes the stream's writer from the landed rows.  A part has as many files as tasks write it; the checkpoint
+    tells the next run which ones were read.
+    """
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = ((high or 0) - (low or 0)) // BATCHES + 1
     for i in range(BATCHES):
-        part = rows.filter(F.floor((F.col(order) - (low or 0)) / step) == i)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return jobs.file_stream(spark, folder, rows.schema, 1)
+        rows.filter(F.floor((F.col(order) - (low or 0)) / step) == i).write.mode("append").parquet(folder)
+        _drain(start(jobs.file_stream(spark, folder, rows.schema)).start())
 
 
 def stream_dedup(spark, sf):
     """First sighting of each content digest, against a ledger of the batches before."""
     out = _folder(spark, "dedup")
     d = table(spark, sf, "documents").select("doc_id", content_digest(F.col("text"), F.lit("")).alias("digest"))
-    stream = landed_in_batches(spark, d, "doc_id", out + "/in").select("digest")
-    _drain(jobs.ledger_dedup_stream(stream, "digest", out + "/t", out + "/_c").start())
+    landed_in_batches(spark, d, "doc_id", out + "/in", lambda s: jobs.ledger_dedup_stream(s.select("digest"), "digest", out + "/t", out + "/_c"))
     return spark.read.parquet(out + "/t").select("digest")
 
 
@@ -79,8 +81,7 @@ def health_state(spark, sf):
     """States of the failure streaks after each of three micro-batches."""
     out = _folder(spark, "health")
     e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("source_name"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("mark"), (F.col("event_type") == "error").alias("failed"))
-    stream = landed_in_batches(spark, e, "mark", out + "/in")
-    _drain(jobs.failure_streak_stream(stream, out + "/t", out + "/_c").start())
+    landed_in_batches(spark, e, "mark", out + "/in", lambda s: jobs.failure_streak_stream(s, out + "/t", out + "/_c"))
     return spark.read.parquet(out + "/t")
 
 
@@ -95,8 +96,7 @@ def page_states(spark, sf):
     """Change records of three micro-batches of conversation turns taken as page versions."""
     out = _folder(spark, "pages")
     p = table(spark, sf, "conversations").select("turn", F.col("conv_id").cast("string").alias("url"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("turn").cast("int"))).alias("captured_at"), "text")
-    stream = landed_in_batches(spark, p, "turn", out + "/in").drop("turn")
-    _drain(jobs.page_change_stream(stream, out + "/s", out + "/_c").start())
+    landed_in_batches(spark, p, "turn", out + "/in", lambda s: jobs.page_change_stream(s.drop("turn"), out + "/s", out + "/_c"))
     return spark.read.parquet(out + "/s/changes")
 
 
