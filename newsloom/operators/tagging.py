@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import bind, contains_any, labels_where, percent_tokens, terms_found
 from newsloom.rules import Alias, Gazetteer, Rule
 from newsloom.session import cut_lineage
-from newsloom.skew import keyed_lookup
+from newsloom.skew import BROADCAST_ROWS, keyed_lookup
+
+# Ship the functions themselves, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Evidence weights and thresholds of the gates.
 COUNTRY_WEIGHT, SIGNAL_WEIGHT, GATE_CAP, GATE_MIN = "0.48", "0.14", "0.99", "0.55"
@@ -277,25 +285,35 @@ def term_seeds(terms: DataFrame, gram: int = SEED_BYTES) -> DataFrame:
     return ranked.select("label", "term", "fold", "_t", F.col("s.g").alias("_g"), F.col("s.o").alias("_o"))
 
 
-def _slot(seed: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(seed), F.lit(slots)).cast("int")
+def _slots(data: bytes | None, width: int, slots: int) -> np.ndarray:
+    """Slot of each n-gram of ``width`` bytes, in order."""
+    body = np.frombuffer(data or b"", np.uint8).astype(np.int64)
+    out = np.zeros(max(0, len(body) - width + 1), np.int64)
+    for i in range(width):
+        out = (out * 257 + body[i : i + len(out)]) % slots
+    return out
 
 
-def _sieve(seeds: DataFrame) -> Callable[[Column], Column]:
-    """Test of an n-gram against one literal: byte 1 in the slots that some seed has (a Bloom filter of at most ``SLOTS``)."""
+def _sieve(seeds: DataFrame, width: int) -> Callable[[Column], Column]:
+    """Places (from 1) of the n-grams of a text that may be a seed: those in slots that some seed has (a Bloom filter of at most ``SLOTS``)."""
     count, slots = seeds.count(), 1 << 10
     while slots < SLOTS and slots < 16 * count:
         slots *= 2
-    table = bytearray(slots)
-    for row in seeds.select(_slot(F.col("_g"), slots).alias("slot")).distinct().toLocalIterator():
-        table[row["slot"]] = 1
-    bits = F.lit(bytes(table))
-    return lambda gram: F.substring(bits, _slot(gram, slots) + 1, F.lit(1)) == F.lit(b"\x01")
+    slots -= 1  # odd, so that every byte of an n-gram counts
+
+    @F.pandas_udf(T.IntegerType())
+    def slot(grams: pd.Series) -> pd.Series:
+        return pd.Series([int(_slots(g, width, slots)[0]) for g in grams], dtype="int32")
+
+    held = np.zeros(slots, bool)
+    for row in seeds.select(slot("_g").alias("slot")).distinct().toLocalIterator():
+        held[row["slot"]] = True
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def places(bodies: pd.Series) -> pd.Series:
+        return pd.Series([(np.flatnonzero(held[_slots(b, width, slots)]) + 1).astype(np.int32) for b in bodies], dtype=object)
 
-def _passing(body: Column, width: int, passes: Callable[[Column], Column]) -> Column:
-    """Places of the n-grams that pass the test."""
-    return F.filter(F.sequence(F.lit(1), F.octet_length(body) - width + 1), lambda i: passes(F.substring(body, i, F.lit(width))))
+    return places
 
 
 def match_terms(docs: DataFrame, text: str, doc_id: str, terms: DataFrame, gram: int = SEED_BYTES) -> DataFrame:
@@ -303,21 +321,23 @@ def match_terms(docs: DataFrame, text: str, doc_id: str, terms: DataFrame, gram:
 
     The n-grams of a text are tested against a Bloom filter of the dictionary's seeds inside its row; only places
     that pass become rows, each with the bytes around it that the longest term can cover.  They are joined with the
-    terms of their seed and verified there, so no text moves.
+    terms of their seed and verified there, so no text moves.  A dictionary that can be broadcast is, in the same pass.
     """
     index = cut_lineage(term_seeds(terms, gram), "dictionary")
     shapes = index.groupBy("fold", F.octet_length("_g").alias("w")).agg(F.max("_o").cast("int").alias("before"), F.max(F.octet_length("_t") - F.col("_o")).cast("int").alias("after")).orderBy("fold", "w").collect()
     found = docs.select(doc_id, F.lit(None).cast("binary").alias("_g"), F.lit(None).cast("binary").alias("_x"), F.lit(0).alias("_at"), F.lit(True).alias("fold")).limit(0)
     for s in shapes:  # at most two times the seed's length
-        passes = _sieve(index.filter((F.col("fold") == s["fold"]) & (F.octet_length("_g") == s["w"])).select("_g"))
+        places = _sieve(index.filter((F.col("fold") == s["fold"]) & (F.octet_length("_g") == s["w"])).select("_g"), s["w"])
         body = docs.select(doc_id, F.encode(F.lower(text) if s["fold"] else F.col(text), "utf-8").alias("_b")).filter(F.octet_length("_b") >= s["w"])
-        places = _passing(F.col("_b"), s["w"], passes)
-        at = body.select(doc_id, "_b", F.explode(places).alias("_p")).withColumn("_from", F.greatest(F.lit(1), F.col("_p") - s["before"]))
+        at = body.select(doc_id, "_b", F.explode(places(F.col("_b"))).alias("_p")).withColumn("_from", F.greatest(F.lit(1), F.col("_p") - s["before"]))
         found = found.unionByName(at.select(
             doc_id, F.substring(F.col("_b"), F.col("_p"), F.lit(s["w"])).alias("_g"),
             F.substring(F.col("_b"), F.col("_from"), F.col("_p") - F.col("_from") + s["after"]).alias("_x"), (F.col("_p") - F.col("_from")).alias("_at"), F.lit(s["fold"]).alias("fold"),
         ))
-    met = keyed_lookup(found, index, ["fold", "_g"], "_x", how="inner")
+    if index.count() <= BROADCAST_ROWS:
+        met = found.join(F.broadcast(index), ["fold", "_g"])
+    else:  # hot seeds are counted, so the places are kept
+        met = keyed_lookup(cut_lineage(found, "places"), index, ["fold", "_g"], "_x", how="inner")
     inside = F.substring(F.col("_x"), F.col("_at") - F.col("_o") + 1, F.octet_length("_t")) == F.col("_t")
     return met.filter((F.col("_at") >= F.col("_o")) & inside).select(doc_id, "label", "term").distinct()
 
