@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch
+from newsloom.llm.common import Scratch, text_chunks
 from newsloom.skew import keyed_lookup
 
 # Fixed values of the seekable Zstandard format.
@@ -175,7 +175,7 @@ def _arrow(ddl: str) -> pa.Schema:
 def _write(folder: str, frame_bytes: int, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, bundle, done = _arrow(INDEX), None, []
-        for batch in batches:
+        for batch in text_chunks(batches, "payload"):  # few rows at a time become Python objects
             for row in batch.to_pylist():
                 bundle = bundle or BundleWriter(folder, frame_bytes)
                 entry = {"page_id": row["page_id"], "record_id": record_id(row["page_id"]), "record_type": row["kind"], "refers_to": row["refers_to"]}

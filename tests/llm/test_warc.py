@@ -61,3 +61,20 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark, pages):
     assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
+
+
+def test_few_rows_at_a_time_become_python_objects(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    sizes, chunks = [], warc.text_chunks
+
+    def spy(batches, column):
+        for chunk in chunks(batches, column):
+            sizes.append(sum(len(p) for p in chunk.column(column).to_pylist()))
+            yield chunk
+
+    monkeypatch.setattr(warc, "text_chunks", spy)
+    rows = [{"page_id": i, "url": "u", "payload": b"x" * 400_000, "kind": "response", "refers_to": None} for i in range(20)]
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("kind", pa.string()), ("refers_to", pa.int64())])
+    found = [r["page_id"] for b in warc._write(f"file://{tmp_path}", 1 << 18, 1 << 25)(iter([pa.RecordBatch.from_pylist(rows, schema)])) for r in b.to_pylist()]
+    assert sorted(found) == list(range(20)) and max(sizes) <= 2 << 20
