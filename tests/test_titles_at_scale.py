@@ -65,3 +65,32 @@ def test_unlike_long_titles_are_ruled_out_by_their_sketches(spark):
     left, right = (df.select(F.col("tid").alias(c)) for c in ("tid_l", "tid_x"))
     pairs = left.join(right, F.col("tid_l") < F.col("tid_x")).withColumn("long", F.lit(True))
     assert similarity._alike(pairs, df, "edit", similarity.TITLE_THRESHOLD).count() == 1
+
+
+def test_blocks_hold_few_rows_of_unlike_titles_that_share_words(spark):
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(draw.choices(words, k=15)) for _ in range(300)]
+    blocks = similarity.prefix_blocks(titles(spark, texts), "edit")
+    assert blocks.count() < 25 * len(texts)
+
+
+@pytest.mark.parametrize("measure", ["edit", "sequence"])
+def test_changed_titles_share_a_block_at_every_length(spark, measure):
+    draw = random.Random(13)
+    t, pairs = similarity.TITLE_THRESHOLD, []
+    for length in [*range(6, 61), 90, 257, 400]:
+        for _ in range(4):
+            a = "".join(draw.choices("abcdé ", k=length))
+            k = int(length * (1 - t) / t + 1e-9) if measure == "edit" else int(length * 2 * (1 - t) / t + 1e-9)
+            b = list(a)
+            for at in sorted(draw.sample(range(length), k), reverse=True):
+                b.insert(at, draw.choice("xyz"))
+            pairs.append((a, "".join(b)))
+    pairs = [(a, b) for a, b in pairs if a != b]
+    df = titles(spark, sorted({x for p in pairs for x in p}))
+    names = {r.tid: r.low for r in df.collect()}
+    blocks = similarity.prefix_blocks(df, measure)
+    met = similarity._met(similarity._side(blocks, "o"), similarity._side(blocks, "p"), "o", "p", measure, t)
+    got = {frozenset((names[r.tid_o], names[r.tid_p])) for r in met.select("tid_o", "tid_p").distinct().collect()}
+    assert not [p for p in pairs if frozenset(p) not in got]
