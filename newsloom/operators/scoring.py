@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import contains_any, display_title, evidence_excerpt, labels_where, squeeze, terms_found
+from newsloom.functions.text import bind, contains_any, display_title, evidence_excerpt, labels_where, squeeze, terms_found
 from newsloom.operators.tagging import _strings, products_for
 from newsloom.rules import EventRule, RelevanceRules
 
@@ -61,12 +61,10 @@ def leaders(content: Column, r: RelevanceRules) -> Column:
         ),
     )
     ok = F.filter(found, lambda p: ~contains_any(p["name"], r.leader_reject))
-    first = F.filter(
-        F.transform(ok, lambda p, i: F.struct(p["name"].alias("name"), p["title"].alias("title"), i.alias("i"))),
-        lambda p: F.array_position(F.transform(ok, lambda q: q["name"]), p["name"]) == p["i"] + 1,
-    )
+    # Bound, so that the segments are searched once and not again for every name.
+    first = lambda people, names: F.filter(people, lambda p, i: F.array_position(names, p["name"]) == i + 1)
     return F.transform(
-        first,
+        bind(ok, lambda people: bind(F.transform(people, lambda q: q["name"]), lambda names: first(people, names))),
         lambda p: F.struct(
             p["name"].alias("name"),
             p["title"].alias("title"),

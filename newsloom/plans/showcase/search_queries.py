@@ -108,7 +108,8 @@ def array_filters(spark, sf):
 
 
 def _board(spark, sf):
-    d = docs(spark, sf)
+    # The analysis costs far more than the reading: rows are dealt out anew, however large the files' row groups are.
+    d = docs(spark, sf).hint("rebalance")
     a = analyze(d, R, "title", "text", "source_type", "reliability_level").withColumn("content_hash", F.md5("text")).drop("text", "url")
     return once(spark, sf, "analysed", lambda: cut_lineage(a, "analysed")).withColumns({
         "id": F.col("doc_id"), "source_name": F.col("source"), "summary": F.col("lang"), "content_excerpt": F.col("evidence_excerpt"),

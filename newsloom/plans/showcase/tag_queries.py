@@ -142,7 +142,8 @@ def score_bands(spark, sf):
 
 def score_evidence(spark, sf):
     a = _analyzed(spark, sf)
-    rows = a.select("doc_id", F.explode("score_evidence").alias("component", "e"))
+    # Every row has all components.  Before a plain explode Spark tests their number first, for which it runs the analysis again.
+    rows = a.select("doc_id", F.explode_outer("score_evidence").alias("component", "e"))
     return rows.select("doc_id", "component", num(F.col("e.score")).alias("score"), num(F.size("e.matched")).alias("n_matched"))
 
 

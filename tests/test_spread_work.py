@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import tagging
-from newsloom.plans.showcase import stream_queries
+from newsloom.functions.text import evidence_excerpt, squeeze
+from newsloom.operators import tagging, text_index
+from newsloom.plans.showcase import search_queries, stream_queries, tag_queries
+from newsloom.sources import imports
 
 
 def test_landed_parts_are_written_by_several_tasks_and_read_as_one_batch_each(spark, tmp_path):
@@ -39,3 +41,42 @@ def test_slots_of_texts_and_seeds_agree():
         slots = tagging._slots(body, width, 1023)
         assert [int(s) for s in slots] == [int(tagging._slots(body[i : i + width], width, 1023)[0]) for i in range(len(body) - width + 1)]
     assert len(tagging._slots(None, 4, 1023)) == len(tagging._slots(b"abc", 4, 1023)) == 0
+
+
+def test_json_of_a_file_is_read_once(spark):
+    files = spark.createDataFrame([("f", 1, '{"articles":[{"title":"a"}, 3, {"title":"b"}]}'), ("g", 1, "[]"), ("h", 1, '{"url":"u"}'), ("i", 1, None)], "file string, size int, content string")
+    rows = imports.json_rows(files)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("$.articles") == 1
+    got = {(r.file, r.row_number, tuple(r.row.items())) for r in rows.collect()}
+    assert got == {("f", 1, (("title", "a"),)), ("f", 2, (("title", "b"),)), ("h", 1, (("url", "u"),))}
+
+
+def test_terms_of_a_batch_are_cut_once(spark, tmp_path, monkeypatch):
+    plans = []
+    seen = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or seen(self, *a))
+    rows = spark.createDataFrame([(1, "A title", "two words"), (2, None, None)], "id long, title string, body string")
+    index = text_index.TextIndex(spark, str(tmp_path))
+    index.add(rows, 1, "id", F.col("body"), F.col("title"))
+    assert len(plans) == 1 and plans[0].count("Filter ((size(") == plans[0].count("Filter (size(") == 0
+    assert {r.term for r in index.document_counts("token").collect()} == {"two", "words"}
+
+
+def test_evidence_is_analysed_once(spark, sf_dir):
+    plan = tag_queries.score_evidence(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter ((size(" not in plan and "Filter (size(" not in plan
+
+
+def test_excerpt_is_the_beginning_of_the_squeezed_text(spark):
+    texts = ["", None, " \n a  b", "x " * 3000, " " * 3000 + "y  z" * 400, "a" + " " * 2500 + "b" * 600, "w" * 499 + " " * 1600 + "v", " " * 10 + "q" * 501]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for n in (500, 600):
+        assert df.filter(~evidence_excerpt(F.col("t"), n).eqNullSafe(F.substring(squeeze(F.col("t")), 1, n))).count() == 0
+
+
+def test_board_rows_are_dealt_out_before_the_analysis(spark, sf_dir, monkeypatch):
+    held = []
+    monkeypatch.setattr(search_queries, "once", lambda s, d, name, build: build())
+    monkeypatch.setattr(search_queries, "cut_lineage", lambda df, name: held.append(df) or df)
+    search_queries._board(spark, sf_dir)
+    assert "RebalancePartitions" in held[0]._jdf.queryExecution().optimizedPlan().toString()
