@@ -42,7 +42,8 @@ class TextIndex:
         rows = articles.select(F.col(row_id).cast("bigint").alias("id"), F.array_distinct(tokens(body)).alias("words"), trigrams(title).alias("grams"))
         segments = 1 + articles.count() // SEGMENT_IDS
         kinds = F.concat(_listed("token", "words"), _listed("trigram", "grams"))
-        listed = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("segment"), F.explode(kinds).alias("t"))
+        # Before a plain explode Spark tests for terms first, for which it cuts every text again.
+        listed = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("segment"), F.explode_outer(kinds).alias("t")).filter("t is not null")
         lists = listed.groupBy("t.kind", "t.term", "segment").agg(F.sort_array(F.collect_set("id")).alias("ids"))
         lists = lists.select("term", "segment", F.size("ids").alias("n"), "ids", F.lit(batch).cast("bigint").alias("batch"), "kind", _bucket(F.col("term")).alias("bucket"))
         by = lists.repartition("bucket").sortWithinPartitions("bucket", "kind", "term")
