@@ -65,15 +65,11 @@ def json_rows(files: DataFrame) -> DataFrame:
     envelope = F.coalesce(*[objects(F.get_json_object(body, f"$.{k}")) for k in ENVELOPES])
     single = F.from_json(body, _ROW)
     known = F.exists(F.map_keys(single), lambda k: k.isin("title", "url", "link", "content_text"))
-    rows = (
-        F.when(F.ltrim(body).startswith("["), as_list)
-        .when(envelope.isNotNull(), envelope)
-        .when(known, F.array(single))
-    )
+    rows = F.when(F.ltrim(body).startswith("["), as_list).otherwise(F.coalesce(envelope, F.when(known, F.array(single))))
     kept = F.filter(rows, lambda r: r.isNotNull())
-    return files.select(*[c for c in files.columns if c != "content"], F.posexplode(kept).alias("_i", "row")).withColumn(
-        "row_number", F.col("_i") + 1
-    ).drop("_i")
+    # Before a plain explode Spark tests for rows first, for which it reads the JSON again.
+    found = files.select(*[c for c in files.columns if c != "content"], F.posexplode_outer(kept).alias("_i", "row"))
+    return found.filter("_i is not null").withColumn("row_number", F.col("_i") + 1).drop("_i")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
