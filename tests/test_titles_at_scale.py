@@ -94,3 +94,11 @@ def test_changed_titles_share_a_block_at_every_length(spark, measure):
     met = similarity._met(similarity._side(blocks, "o"), similarity._side(blocks, "p"), "o", "p", measure, t)
     got = {frozenset((names[r.tid_o], names[r.tid_p])) for r in met.select("tid_o", "tid_p").distinct().collect()}
     assert not [p for p in pairs if frozenset(p) not in got]
+
+
+@pytest.mark.parametrize("measure", ["edit", "sequence"])
+def test_null_and_empty_titles_are_like_themselves_only(spark, measure):
+    df = similarity.title_ids(spark.createDataFrame([(None,), ("",), ("a",), ("alpha beta gamma delta one",), ("alpha beta gamma delta seven more",)], "t string"), "t").select("tid", "low")
+    pairs = similarity.similar_pairs(df, measure).join(df.withColumnsRenamed({"tid": "tid_l", "low": "a"}), "tid_l").join(df.withColumnsRenamed({"tid": "tid_x", "low": "b"}), "tid_x")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(x, x) for x in ("", "a", "alpha beta gamma delta one", "alpha beta gamma delta seven more")}
+    assert similarity.sketched(df).filter("low is null and sketch is null").count() == 1
