@@ -1,6 +1,7 @@
 """Titles: blocks hold only titles that can meet, and long titles cost no table of all character pairs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,29 @@ def test_null_and_empty_titles_are_like_themselves_only(spark, measure):
     pairs = similarity.similar_pairs(df, measure).join(df.withColumnsRenamed({"tid": "tid_l", "low": "a"}), "tid_l").join(df.withColumnsRenamed({"tid": "tid_x", "low": "b"}), "tid_x")
     assert {(r.a, r.b) for r in pairs.collect()} == {(x, x) for x in ("", "a", "alpha beta gamma delta one", "alpha beta gamma delta seven more")}
     assert similarity.sketched(df).filter("low is null and sketch is null").count() == 1
+
+
+def test_marks_differ_in_no_more_bits_than_characters_not_shared():
+    draw = random.Random(17)
+    texts = ["", "a", "\U0001f600a"] + ["".join(draw.choices("abcdefghi é\U0001f600", k=draw.randrange(120))) for _ in range(60)]
+    marks = [m for _, codes, lengths in similarity._slices(texts) for m in similarity._marks(codes, lengths)]
+    bits = lambda a, b: sum(bin(int(x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b))
+    unshared = lambda a, b: sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values())
+    assert all(bits(marks[i], marks[j]) <= unshared(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts))
+    assert bits(marks[0], marks[1]) == 1
+
+
+@pytest.mark.parametrize("measure", ["edit", "sequence"])
+def test_titles_that_share_a_passage_but_not_their_characters_do_not_meet(spark, measure):
+    draw = random.Random(19)
+    texts = ["breaking news of today " + "".join(draw.choices(own, k=35)) for own in ("abc", "def", "ghi", "jkl", "mno", "pqr") for _ in range(2)]
+    texts.append(texts[0][:-1] + "z")
+    df = titles(spark, texts)
+    names = {r.tid: r.low for r in df.collect()}
+    blocks = similarity.prefix_blocks(df, measure)
+    met = similarity._met(similarity._side(blocks, "l"), similarity._side(blocks, "x"), "l", "x", measure, similarity.TITLE_THRESHOLD).distinct().collect()
+    assert blocks.groupBy("blk").count().filter("count = 13").count() > 0
+    # Titles whose ends are of the same three characters may pass, others may not.
+    own = lambda tid: set("abc def ghi jkl mno pqr".split()[(ord(names[tid][23]) - ord("a")) // 3])
+    assert all(own(r.tid_l) == own(r.tid_x) for r in met)
+    assert {(texts[0], texts[-1]), (texts[-1], texts[0])} <= {(names[r.tid_l], names[r.tid_x]) for r in met}
