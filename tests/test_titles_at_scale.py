@@ -2,11 +2,12 @@
 
 import random
 from collections import Counter
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import similarity
+from newsloom.operators import dedup, similarity
 
 
 def titles(spark, texts):
@@ -129,3 +130,14 @@ def test_titles_that_share_a_passage_but_not_their_characters_do_not_meet(spark,
     own = lambda tid: set("abc def ghi jkl mno pqr".split()[(ord(names[tid][23]) - ord("a")) // 3])
     assert all(own(r.tid_l) == own(r.tid_x) for r in met)
     assert {(texts[0], texts[-1]), (texts[-1], texts[0])} <= {(names[r.tid_l], names[r.tid_x]) for r in met}
+
+
+def test_the_cascade_sketches_its_titles_once(spark, monkeypatch):
+    calls, sketched = [], similarity.sketched
+    monkeypatch.setattr(similarity, "sketched", lambda df: calls.append(1) or sketched(df))
+    at = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    rows = [(i, f"u{i}", f"h{i}", f"e{i}", t, at, True) for i, t in enumerate(["a title of some length", "another one", None, "a title of some length!"])]
+    schema = "arrival_seq bigint, url_key string, hash_key string, event_key string, title string, published_at timestamp, eligible boolean"
+    out = dedup.ingest_cascade(spark.createDataFrame(rows, schema), at, "edit")
+    assert {r.arrival_seq: (r.outcome, r.leader_seq) for r in out.collect()} == {0: ("new", None), 1: ("new", None), 2: ("new", None), 3: ("duplicate", 0)}
+    assert len(calls) == 1
