@@ -63,7 +63,8 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     limit = F.lit(cap) * F.col("source_size")
     rest, free = total, None
     while True:
-        over = F.lit(False) if free is None else F.col("weight") * F.lit(rest) > limit * F.lit(free)
+        # The weights are 32-bit numbers, as are small Python numbers: only products of 64 bits hold the words of a large corpus.
+        over = F.lit(False) if free is None else F.col("weight").cast("long") * F.lit(rest).cast("long") > limit * F.lit(free)
         row = sources.agg(F.sum(F.when(over, limit).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
         taken, weight = row[0] or 0, row[1] or 0
         if (total - taken, weight) == (rest, free) or not weight:

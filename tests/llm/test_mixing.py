@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import mixing
 
@@ -75,3 +76,24 @@ def test_equal_ids_sources_and_sizes_with_unlike_texts_agree_in_reruns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     runs = [sorted((r.text, r.copies) for r in mixing.mixed_documents(docs.repartition(n)).collect()) for n in (1, 4)]
     assert runs[0] == runs[1] and runs[0]
+
+
+def test_a_corpus_of_billions_of_words_has_targets_and_copies(spark):
+    """Six sources of several hundred million words each, given by their classes of sizes; 5 times the sum passes 32 bits."""
+    sizes = {f"s{k}": [(s, 100_000 * (1 + (s + k) % 7)) for s in (1, 40, 700, 9000)] for k in range(6)}
+    rows = [(True, src, size, n) for src, held in sizes.items() for size, n in held]
+    classes = spark.createDataFrame(rows, "has_src boolean, src string, size long, n long")
+    for shrunk in (1, 40):  # the words of all sources together fit 32 bits for the last ones
+        words = {src: sum(size * (n // shrunk) for size, n in held) for src, held in sizes.items()}
+        of = [(True, src, words[src], sum(n // shrunk for _, n in sizes[src]), (5, 2, 1)[i % 3]) for i, src in enumerate(sorted(sizes))]
+        sources = mixing.targets(spark.createDataFrame(of, "has_src boolean, src string, source_size long, docs long, weight int"))
+        found = {r.src: r.target for r in sources.collect()}
+        total, limit = sum(words.values()), {src: 3 * n for src, n in words.items()}
+        assert abs(sum(found.values()) - total) <= 1e-6 * total and all(found[s] <= limit[s] * (1 + 1e-9) for s in found)
+        shares = {src: found[src] / w for (_, src, _, _, w) in of if found[src] < limit[src] * (1 - 1e-9)}
+        assert max(shares.values()) - min(shares.values()) <= 1e-6 * max(shares.values())
+        scratch = mixing.Scratch(spark, "test-mix")
+        fewer = classes.withColumn("n", F.floor(F.col("n") / shrunk))
+        copies = mixing.class_copies(fewer, mixing.solve_dual(fewer, sources, scratch), scratch).groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+        assert all(abs(r.taken - found[r.src]) <= 9000 for r in copies.collect())
+        scratch.drop_all()
