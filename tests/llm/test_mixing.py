@@ -97,3 +97,10 @@ def test_a_corpus_of_billions_of_words_has_targets_and_copies(spark):
         copies = mixing.class_copies(fewer, mixing.solve_dual(fewer, sources, scratch), scratch).groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
         assert all(abs(r.taken - found[r.src]) <= 9000 for r in copies.collect())
         scratch.drop_all()
+
+
+def test_documents_of_the_mix_have_weights_beyond_32_bits(spark):
+    """Weights that are 2**28 times as large pass 32 bits as words of a large corpus do; only their shares count."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 4}") for i in range(60)], "doc_id long, text string, source string")
+    got = [sorted((r.doc_id, r.copies) for r in mixing.mixed_documents(docs, weights=tuple(w << k for w in mixing.WEIGHTS)).collect()) for k in (0, 28)]
+    assert got[0] == got[1] and got[0]
