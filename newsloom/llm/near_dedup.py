@@ -181,6 +181,15 @@ def bit_map(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join, whatever size Spark expects.
+
+    It counts an exploded row once, however many rows come of it, and a column of places by its packed size on disk; a
+    broadcast on such a guess may be a hundred times as large as it allows, and is built by the driver.
+    """
+    return df.hint("merge")
+
+
 def table_keys() -> Column:
     """Keys of all tables: each pair of collections, with the table's number."""
     pairs = combinations(range(COLLECTIONS), 2)
@@ -233,7 +242,7 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
     spread = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("sets", "key"))
     reach = F.floor((F.col("n_shingles") - rank + 1) * (SHARED + UNION) / UNION + 1e-9) - F.col("n_shingles")
-    ranked = each.join(spread, "key").withColumn("reach", reach)
+    ranked = each.join(sorted_side(spread), "key").withColumn("reach", reach)
     return ranked.filter((SHARED * F.col("reach") >= UNION * F.col("n_shingles")) & (F.col("sets") > 1)).select("key", "node", "n_shingles", "reach")
 
 
@@ -264,7 +273,7 @@ def link_nodes(nodes: DataFrame, sets_of, scratch: Scratch) -> DataFrame:
     """
     keys = nodes.select("node", F.explode(table_keys()).alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-    members = scratch.cut(keys.join(buckets.select("key", "pivot"), "key"), "members")
+    members = scratch.cut(keys.join(sorted_side(buckets.select("key", "pivot")), "key"), "members")
     ids = members.select("node").distinct()
     sizes = scratch.cut(nodes.select("node", "n_shingles").join(ids, "node"), "sizes")
     comps = scratch.cut(sizes.select("node", F.col("node").alias("comp")), "comps")
@@ -338,7 +347,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
         shared = spark.sparkContext.broadcast(bit_map(wanted.select(at)))
         found = placed.select("text", "place", at).mapInArrow(_full_sets(words, shared), "place struct<file: string, row: bigint>, shingles array<bigint>")
         parts = 1 + wanted.count() // PART_NODES
-        out = scratch.cut_buckets(found.join(wanted, "place").select("node", "shingles"), "sets", "node", parts)
+        out = scratch.cut_buckets(found.join(sorted_side(wanted), "place").select("node", "shingles"), "sets", "node", parts)
         shared.destroy()
         scratch.drop(wanted)
         return out
@@ -363,5 +372,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = scratch.cut(near_duplicates(docs, words), "found")
     # Rows of one id and component: the first place stays. Ids do not tell components apart: they may be null or repeated.
     first = found.filter("kept and n_shingles > 0").groupBy("comp").agg(F.min("place").alias("place"))
-    gone = found.filter("n_shingles > 0").join(first, "place", "left_anti").select(F.col("place").alias(place))
-    return docs.select(*columns, locator(docs).alias(place)).join(gone, place, "left_anti").select(*columns)
+    gone = found.filter("n_shingles > 0").join(sorted_side(first), "place", "left_anti").select(F.col("place").alias(place))
+    return docs.select(*columns, locator(docs).alias(place)).join(sorted_side(gone), place, "left_anti").select(*columns)

@@ -112,3 +112,28 @@ def test_two_equal_collections_share_a_table(spark):
     df = spark.createDataFrame([(signature,), (other,)], "signature array<long>").select(near_dedup.table_keys().alias("k"))
     a, b = (set(r.k) for r in df.collect())
     assert len(a & b) == 1 and len(a) == 66
+
+
+def test_exploded_rows_and_places_are_never_broadcast_by_a_guess(spark, monkeypatch):
+    """Spark counts 66 keys of a node as one row: keys, shingles and places are joined by sorting, at any size."""
+    plans, cut, buckets = [], near_dedup.Scratch.cut, near_dedup.Scratch.cut_buckets
+
+    def planned(write):
+        def run(self, df, name, *args, **options):
+            plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+            return write(self, df, name, *args, **options)
+
+        return run
+
+    monkeypatch.setattr(near_dedup.Scratch, "cut", planned(cut))
+    monkeypatch.setattr(near_dedup.Scratch, "cut_buckets", planned(buckets))
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    plans.append(("kept", near_dedup.drop_near_duplicates(docs)._jdf.queryExecution().sparkPlan().toString()))
+    first = {}
+    for name, plan in plans:
+        first.setdefault(name, plan)
+    assert {"members", "sets", "kept"} <= set(first)
+    for name in ("members", "sets", "kept"):
+        assert "SortMergeJoin" in first[name] and "BroadcastHashJoin" not in first[name], (name, first[name])
+    ranked = near_dedup.rare_prefixes(spark.createDataFrame([(1, [1, 2]), (2, [2, 3])], "node long, shingles array<long>"))
+    assert "BroadcastHashJoin" not in ranked._jdf.queryExecution().sparkPlan().toString()
