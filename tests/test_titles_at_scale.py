@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import dedup, similarity
+from newsloom.session import checkpoint_root
 
 
 def titles(spark, texts):
@@ -141,3 +143,23 @@ def test_the_cascade_sketches_its_titles_once(spark, monkeypatch):
     out = dedup.ingest_cascade(spark.createDataFrame(rows, schema), at, "edit")
     assert {r.arrival_seq: (r.outcome, r.leader_seq) for r in out.collect()} == {0: ("new", None), 1: ("new", None), 2: ("new", None), 3: ("duplicate", 0)}
     assert len(calls) == 1
+
+
+def test_a_cascade_in_slices_decides_alike_and_leaves_no_blocks_on_disk(spark, monkeypatch):
+    at = datetime(2025, 3, 1, tzinfo=timezone.utc)
+    near = ["ministry opens tender for coastal rail link number " + x for x in ("1", "2", "3", "4", "5")]
+    texts = [near[0], "port authority signs agreement with builder", near[1], near[2], "port authority signs agreement with builders", near[3], near[4]]
+    rows = [(i, f"u{i}", f"h{i}", f"e{i}", t, at, True) for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "arrival_seq bigint, url_key string, hash_key string, event_key string, title string, published_at timestamp, eligible boolean")
+    root = Path(checkpoint_root(spark).removeprefix("file:")) / "newsloom"
+    setting, during, cut, parts, sliced = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], dedup.cut_lineage, [], similarity.slices
+    monkeypatch.setattr(dedup, "cut_lineage", lambda *a: (during.append(spark.conf.get(setting, None)), cut(*a))[1])
+    monkeypatch.setattr(similarity, "slices", lambda blocks: parts.append(sliced(blocks)) or parts[-1])
+    monkeypatch.setattr(similarity, "SLICE_ROWS", 30)
+    before = set(root.iterdir()) if root.exists() else set()
+    out = dedup.ingest_cascade(items, at, "sequence", pivots=2)
+    got = {r.arrival_seq: (r.outcome, r.leader_seq) for r in out.collect()}
+    assert got == {0: ("new", None), 1: ("new", None), 4: ("duplicate", 1)} | {i: ("duplicate", 0) for i in (2, 3, 5, 6)}
+    assert len(parts[0]) > 1 and set(during) == {"true"} and spark.conf.get(setting, None) is None
+    left = Counter(p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before)
+    assert not {"places", "shared", "left", "components", "settled"} & set(left) and left["blocks"] <= 1 and left["undecided"] <= 2, left
