@@ -2,6 +2,7 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__
+from newsloom.llm import near_dedup
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +74,12 @@ def test_run_equals_its_stages(spark, kept, tmp_path):
 def test_registered_queries():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
+
+
+def test_the_near_stage_joins_its_exploded_keys_by_sorting(spark, monkeypatch):
+    """A broadcast of the keys, which Spark sizes as one row a node, would be built in the driver."""
+    plans, cut = {}, near_dedup.Scratch.cut
+    monkeypatch.setattr(near_dedup.Scratch, "cut", lambda self, df, name, **o: (plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()), cut(self, df, name, **o))[1])
+    docs = spark.createDataFrame([(i, f"a text of some words {i // 2} and a few more") for i in range(6)], "doc_id long, text string")
+    assert corpus_pipeline.near(spark, docs, "").count() == 3
+    assert "SortMergeJoin" in plans["members"] and "BroadcastHashJoin" not in plans["members"]
